@@ -202,3 +202,24 @@ def zscore_within(
         }
     )
     return scored.drop(*[f"_{k}_{c}" for k in "ms" for c in columns])
+
+
+def mean_via_lookup(
+    rows: DataFrame, key: str, value: str, lookup: DataFrame, by: Sequence[str], and_by: Sequence[str] = ()
+) -> DataFrame:
+    """Mean of ``value`` per attribute of a lookup table, rows without an entry left out.
+
+    Rows are reduced to one sum and count per key (and ``and_by``) before the join,
+    so a hot key reaches it as a single row.
+    """
+    partial = rows.groupBy(key, *and_by).agg(
+        F.sum(value).alias("_sum"), F.count(value).alias("_valid"), F.count(F.lit(1)).alias("_n")
+    )
+    return (
+        partial.join(lookup.select(key, *by), key, "inner")
+        .groupBy(*by, *and_by)
+        .agg(
+            F.try_divide(F.sum("_sum"), F.sum("_valid")).alias(f"mean_{value}"),
+            F.sum("_n").alias("n"),
+        )
+    )
