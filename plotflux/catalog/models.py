@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded
 from plotflux.functions.bins import day_or_night
 from plotflux.operators import correlate, linear
-from plotflux.operators.design import build_design, crossed, moment_columns
+from plotflux.operators.design import build_design, cell_table, collect_moments, crossed
 from plotflux.operators.mixed import mixed_model
+from plotflux.session import durable
 
 _VARIABLES = ("flux", "quality", "temperature", "moisture")
 _PAIRS = [(a, b) for i, a in enumerate(_VARIABLES) for b in _VARIABLES[i + 1 :]]
@@ -151,28 +153,53 @@ def anova_strata_crossed(spark, folder):
     return rounded(out, {"sum_sq": 3, "mean_sq": 3, "f_value": 5, "p_value": 6})
 
 
-@query(f"""WITH {READINGS}, x AS (
-  SELECT block, collar, CASE WHEN treatment = 'warming' THEN 1.0 ELSE 0.0 END AS x0, CAST(k AS DOUBLE) AS x1, value AS y
-  FROM readings WHERE value IS NOT NULL)
-SELECT block, collar, count(*) AS n, round(avg(x0), 6) AS mean_x0, round(avg(x1), 6) AS mean_x1, round(avg(y), 6) AS mean_y,
-  round(var_pop(x1) * count(*), 3) AS c_x1_x1, round(covar_pop(x1, y) * count(*), 3) AS c_x1_y, round(var_pop(y) * count(*), 3) AS c_y_y
+_MODEL_COLUMNS = """x AS (
+  SELECT block, collar, CASE WHEN treatment = 'warming' THEN 1.0 ELSE 0.0 END::DOUBLE AS x0, CAST(k AS DOUBLE) AS x1,
+    CASE WHEN treatment = 'warming' THEN k ELSE 0.0 END::DOUBLE AS x2, value AS y FROM readings WHERE value IS NOT NULL)"""
+
+
+def _design(spark, folder):
+    return build_design(
+        readings(spark, folder), "value", crossed(("treatment", "k")),
+        {"treatment": ["control", "warming"]}, keep=["block", "collar"],
+    )
+
+
+@query(f"""WITH {READINGS}, {_MODEL_COLUMNS}
+SELECT block, collar, count(*) AS n, round(avg(x0), 6) AS mean_x0, round(avg(x1), 6) AS mean_x1, round(avg(x2), 6) AS mean_x2,
+  round(avg(y), 6) AS mean_y, round(covar_pop(x1, y) * count(*), 3) AS cross_x1_y, round(var_pop(y) * count(*), 3) AS cross_y_y
 FROM x GROUP BY 1, 2""")
 def lmm_group_stats(spark, folder):
-    design = build_design(
-        readings(spark, folder), "value", [("treatment",), ("k",)], {"treatment": ["control", "warming"]},
-        keep=["block", "collar"],
-    )
-    groups = design.frame.groupBy("block", "collar").agg(*moment_columns(design.columns))
-    out = groups.select(
+    # Treatment is fixed per collar, so a cell is a collar.
+    out = cell_table(_design(spark, folder)).select(
         "block", "collar", "n",
-        *[F.col("m")[i].alias(f"mean_{c}") for i, c in enumerate(("x0", "x1", "y"))],
-        F.col("c")[3].alias("c_x1_x1"), F.col("c")[4].alias("c_x1_y"), F.col("c")[5].alias("c_y_y"),
+        *[F.col("m")[i].alias(f"mean_{c}") for i, c in enumerate(("x0", "x1", "x2", "y"))],
+        F.col("w")[1].alias("cross_x1_y"), F.col("w")[2].alias("cross_y_y"),
     )
     return rounded(
-        out, {"mean_x0": 6, "mean_x1": 6, "mean_y": 6, "c_x1_x1": 3, "c_x1_y": 3, "c_y_y": 3}
+        out,
+        {"mean_x0": 6, "mean_x1": 6, "mean_x2": 6, "mean_y": 6, "cross_x1_y": 3, "cross_y_y": 3},
     )
 
 
+_CROSS = [(a, b) for i, a in enumerate(("x0", "x1", "x2", "y")) for b in ("x0", "x1", "x2", "y")[i:]]
+
+
+@query(f"""WITH {READINGS}, {_MODEL_COLUMNS}
+{" UNION ALL ".join(
+    f"SELECT '{a}' AS var_x, '{b}' AS var_y, count(*) AS n, round(covar_pop({a}, {b}) * count(*), 3) AS cross_product FROM x"
+    for a, b in _CROSS)}""")
+def model_moments(spark, folder):
+    design = _design(spark, folder)
+    moments = collect_moments(durable(cell_table(design)), design)
+    rows = [
+        (a, b, moments.n, float(moments.cross[i, j]))
+        for (a, b), (i, j) in zip(_CROSS, zip(*np.triu_indices(4)))
+    ]
+    out = spark.createDataFrame(rows, "var_x string, var_y string, n long, cross_product double")
+    return rounded(out, 3, "cross_product")
+
+
 def _nested_fit(spark, folder):
     r = readings(spark, folder).withColumn("timeofday", day_or_night("ts"))
     return mixed_model(

@@ -256,7 +256,7 @@ def histogram_table(spark, folder):
 
 @query(f"""WITH {READINGS}, s AS (
   SELECT min(value) AS lo, max(value) AS hi, CAST(ceil(sqrt(count(*))) AS INTEGER) AS k FROM readings), b AS (
-  SELECT CAST(least(floor((value - lo) / (hi - lo) * k), k - 1) AS INTEGER) AS bin, lo, hi, k
+  SELECT CAST(least(floor((value - lo) / (hi - lo) * s.k), s.k - 1) AS INTEGER) AS bin, lo, hi, s.k AS k
   FROM readings, s WHERE value IS NOT NULL)
 SELECT bin, round(lo + bin * ((hi - lo) / k), 6) AS bin_start, round(lo + (bin + 1) * ((hi - lo) / k), 6) AS bin_end,
   count(*) AS n

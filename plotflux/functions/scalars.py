@@ -24,9 +24,19 @@ def try_number(column: Column | str) -> Column:
 
 
 def parse_timestamp(column: Column | str, formats: Sequence[str]) -> Column:
-    """Wall time from text: the first format that fits, or missing when none does."""
+    """Wall time from text: the first format that fits, or missing when none does.
+
+    A year of two digits lies between 1969 and 2068.
+    """
     text = F.trim(_c(column))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    tried = []
+    for f in formats:
+        time = F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
+        if "yy" in f and "yyyy" not in f:
+            century_back = time - F.make_ym_interval(F.lit(100))
+            time = F.when(F.year(time) > 2068, century_back).otherwise(time)
+        tried.append(time)
+    return F.coalesce(*tried)
 
 
 def parse_date(column: Column | str, formats: Sequence[str] = CAMPAIGN_DATE_FORMATS) -> Column:

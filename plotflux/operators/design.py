@@ -41,18 +41,39 @@ def factor_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list[s
     return sorted(levels)
 
 
+@dataclass
+class Slot:
+    """A model column: a product of factor levels times a product of numeric variables."""
+
+    name: str
+    term: int
+    levels: tuple[tuple[str, str], ...]  # (factor, level)
+    monomial: int | None  # index into the numeric products; None stands for 1
+
+
 @dataclass
 class Design:
     """Model columns (without intercept) of the rows complete in all variables."""
 
-    frame: DataFrame  # grouping columns, x0 .. x{p-1}, y
-    names: list[str]
-    term_of: list[int]  # index into terms for every column
+    frame: DataFrame  # grouping columns, factors as text, v0 .. v{r-1} numeric products, y
+    keep: list[str]
+    factors: list[str]
+    n_numeric: int
+    slots: list[Slot]
     terms: list[Term]
 
     @property
-    def columns(self) -> list[str]:
-        return [f"x{i}" for i in range(len(self.names))] + ["y"]
+    def names(self) -> list[str]:
+        return [s.name for s in self.slots]
+
+    @property
+    def term_of(self) -> list[int]:
+        return [s.term for s in self.slots]
+
+    @property
+    def size(self) -> int:
+        """Number of model columns and the response."""
+        return len(self.slots) + 1
 
 
 def build_design(
@@ -72,41 +93,73 @@ def build_design(
     complete = df.where(F.col(response).isNotNull())
     for v in [*variables, *keep]:
         complete = complete.where(F.col(v).isNotNull())
-    parts: dict[str, list[tuple[str, Column]]] = {}
-    for v in variables:
-        if v in given:
-            levels = list(given[v] or factor_levels(complete, v))
-            text = F.col(v).cast("string")
-            parts[v] = [(f"{v}[{level}]", (text == level).cast("double")) for level in levels[1:]]
-        else:
-            parts[v] = [(v, F.col(v).cast("double"))]
-    names, columns, term_of = [], [], []
+    levels = {v: list(given[v] or factor_levels(complete, v)) for v in variables if v in given}
+    products: list[tuple[str, ...]] = []
+    slots = []
     for i, term in enumerate(terms):
-        for combination in product(*[parts[v] for v in reversed(term)]):
-            combination = combination[::-1]
-            value = combination[0][1]
-            for _, c in combination[1:]:
-                value = value * c
-            names.append(":".join(n for n, _ in combination))
-            columns.append(value.alias(f"x{len(columns)}"))
-            term_of.append(i)
-    frame = complete.select(*keep, *columns, F.col(response).cast("double").alias("y"))
-    return Design(frame, names, term_of, list(terms))
-
-
-def moment_columns(columns: Sequence[str]) -> list[Column]:
-    """Count, means and centred cross products (upper triangle, by rows)."""
-    return [
+        numeric = tuple(v for v in term if v not in levels)
+        if numeric and numeric not in products:
+            products.append(numeric)
+        monomial = products.index(numeric) if numeric else None
+        # The first factor's levels vary fastest.
+        for chosen in product(*[levels[v][1:] for v in reversed(term) if v in levels]):
+            level = dict(zip([v for v in reversed(term) if v in levels], chosen))
+            name = ":".join(f"{v}[{level[v]}]" if v in level else v for v in term)
+            slots.append(Slot(name, i, tuple(level.items()), monomial))
+    columns = []
+    for k, numeric in enumerate(products):
+        value = F.col(numeric[0]).cast("double")
+        for v in numeric[1:]:
+            value = value * F.col(v).cast("double")
+        columns.append(value.alias(f"v{k}"))
+    frame = complete.select(
+        *keep,
+        *[F.col(f).cast("string").alias(f"_f_{f}") for f in levels],
+        *columns,
+        F.col(response).cast("double").alias("y"),
+    )
+    return Design(frame, list(keep), list(levels), len(products), slots, list(terms))
+
+
+def _pairs(size: int) -> list[tuple[int, int]]:
+    """Upper triangle by rows."""
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def cell_table(design: Design) -> DataFrame:
+    """Rows reduced to one per group and combination of factor levels.
+
+    Each cell has its count ``n``, the means ``m`` of all model columns and the
+    response, and for its numeric products and response the centred cross products
+    ``w``; ``d`` says which columns are switched on by the cell's levels. Only
+    numeric variables are aggregated over the rows, dummy columns cost nothing.
+    """
+    numeric = [f"v{k}" for k in range(design.n_numeric)] + ["y"]
+    cells = design.frame.groupBy(*design.keep, *[f"_f_{f}" for f in design.factors]).agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in columns]).alias("m"),
+        F.array(*[F.avg(c) for c in numeric]).alias("_m"),
         F.array(
             *[
-                F.covar_pop(columns[i], columns[j]) * F.count(F.lit(1))
-                for i in range(len(columns))
-                for j in range(i, len(columns))
+                F.covar_pop(numeric[i], numeric[j]) * F.count(F.lit(1))
+                for i, j in _pairs(len(numeric))
             ]
-        ).alias("c"),
-    ]
+        ).alias("w"),
+    )
+    on, means = [], []
+    for slot in design.slots:
+        hit = F.lit(True)
+        for factor, level in slot.levels:
+            hit = hit & (F.col(f"_f_{factor}") == level)
+        value = F.lit(1.0) if slot.monomial is None else F.col("_m")[slot.monomial]
+        on.append(hit.cast("int"))
+        means.append(F.when(hit, value).otherwise(0.0))
+    return cells.select(
+        *design.keep,
+        "n",
+        F.array(*means, F.col("_m")[design.n_numeric]).alias("m"),
+        F.array(*on, F.lit(1)).alias("d"),
+        "w",
+    )
 
 
 def square_matrix(upper: Sequence[float], size: int) -> np.ndarray:
@@ -122,12 +175,52 @@ class Moments:
     cross: np.ndarray  # centred cross products; the response is last
 
 
-def collect_moments(design: Design) -> Moments:
-    row = design.frame.agg(*moment_columns(design.columns)).first()
-    size = len(design.columns)
-    if not row["n"]:
+def column_means(size: int) -> Column:
+    """Weighted mean of the entries' means as aggregates."""
+    return F.array(*[F.sum(F.col("n") * F.col("m")[i]) / F.sum("n") for i in range(size)])
+
+
+def collect_moments(cells: DataFrame, design: Design) -> Moments:
+    """Merge all cells; two small jobs on the cell table, which should be durable."""
+    first = cells.agg(F.sum("n").alias("n"), column_means(design.size).alias("m")).first()
+    if not first["n"]:
         raise ValueError("no row is complete in all model variables")
-    return Moments(row["n"], np.array(row["m"], dtype=float), square_matrix(row["c"], size))
+    mean = [float(v) for v in first["m"]]
+    return Moments(first["n"], np.array(mean), cross_products(cells, mean, design))
+
+
+def cross_products(table: DataFrame, mean: Sequence[float], design: Design | None = None) -> np.ndarray:
+    """Sum of n (m - mean)(m - mean)' over the entries of ``table``.
+
+    With a ``design`` the entries are its cells, and the cross products inside
+    them are added.
+    """
+    size = len(mean)
+    pairs = _pairs(size)
+    at, i = F.col("at"), F.col("i")
+    j = F.lit([j for _, j in pairs])[at]
+    centre = F.lit([float(v) for v in mean])
+    value = F.col("n") * (F.col("m")[i] - centre[i]) * (F.col("m")[j] - centre[j])
+    columns = ["n", "m"]
+    if design is not None:
+        columns += ["d", "w"]
+        r = design.n_numeric + 1
+        place = {pair: k for k, pair in enumerate(_pairs(r))}
+        source = [s.monomial for s in design.slots] + [r - 1]
+        inside = [
+            -1 if source[a] is None or source[b] is None
+            else place[min(source[a], source[b]), max(source[a], source[b])]
+            for a, b in pairs
+        ]
+        k = F.lit(inside)[at]
+        value = value + F.when(k >= 0, F.col("d")[i] * F.col("d")[j] * F.get("w", k)).otherwise(0.0)
+    sums = (
+        table.select(*columns, F.posexplode(F.lit([i for i, _ in pairs])).alias("at", "i"))
+        .groupBy("at")
+        .agg(F.sum(value).alias("value"))
+    )
+    found = {row["at"]: row["value"] for row in sums.collect()}
+    return square_matrix([found[k] for k in range(len(pairs))], size)
 
 
 def eliminate(cross: np.ndarray, scale: np.ndarray, tolerance: float = 1e-10):

@@ -19,10 +19,11 @@ from plotflux.operators.design import (
     Moments,
     Term,
     build_design,
+    cell_table,
     collect_moments,
+    column_means,
+    cross_products,
     eliminate,
-    moment_columns,
-    square_matrix,
 )
 from plotflux.session import durable
 
@@ -122,7 +123,8 @@ def linear_model(
     Use ``design.crossed`` to write interactions.
     """
     design = build_design(df, response, terms, factors)
-    return solve(df.sparkSession, design, collect_moments(design))
+    moments = collect_moments(durable(cell_table(design)), design)
+    return solve(df.sparkSession, design, moments)
 
 
 def vif_table(fit) -> DataFrame:
@@ -189,36 +191,28 @@ def anova_oneway(df: DataFrame, response: str, factor: str) -> DataFrame:
 class GroupedMoments:
     """Moments split at a grouping: inside groups and between group means."""
 
-    groups: DataFrame  # grouping columns, n, m, c; in the checkpoint folder
+    groups: DataFrame  # grouping columns, n, m; in the checkpoint folder
     n: int
     n_groups: int
     mean: np.ndarray
-    within: np.ndarray
+    total: np.ndarray
     between: np.ndarray
 
+    @property
+    def within(self) -> np.ndarray:
+        return self.total - self.between
+
 
 def grouped_moments(design: Design, by: Sequence[str]) -> GroupedMoments:
-    """One pass over the rows gives moments per group; the rest works on that table."""
-    columns = design.columns
-    size = len(columns)
-    groups = durable(design.frame.groupBy(*by).agg(*moment_columns(columns)))
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    m = F.col("m")
-    first = groups.agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("k"),
-        F.array(*[F.sum(F.col("n") * m[i]) / F.sum("n") for i in range(size)]).alias("mean"),
-        F.array(*[F.sum(F.col("c")[i]) for i in range(len(pairs))]).alias("within"),
-    ).first()
-    if not first["n"]:
-        raise ValueError("no row is complete in all model variables")
-    mean = [float(v) for v in first["mean"]]
-    second = groups.agg(
-        F.array(*[F.sum(F.col("n") * (m[i] - mean[i]) * (m[j] - mean[j])) for i, j in pairs]).alias("between")
-    ).first()
+    """One pass over the rows gives the cells; the rest works on that table."""
+    cells = durable(cell_table(design))
+    moments = collect_moments(cells, design)
+    groups = durable(
+        cells.groupBy(*by).agg(F.sum("n").alias("n"), column_means(design.size).alias("m"))
+    )
     return GroupedMoments(
-        groups, first["n"], first["k"], np.array(mean),
-        square_matrix(first["within"], size), square_matrix(second["between"], size),
+        groups, moments.n, groups.count(), moments.mean, moments.cross,
+        cross_products(groups, moments.mean),
     )
 
 
@@ -237,7 +231,7 @@ def anova_strata(
     """
     design = build_design(df, response, terms, factors, keep=[error])
     g = grouped_moments(design, [error])
-    scale = np.diag(g.within + g.between)
+    scale = np.diag(g.total)
     rows = []
     for stratum, cross, df_total in (
         (error, g.between, g.n_groups - 1),

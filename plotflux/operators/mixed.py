@@ -30,7 +30,7 @@ def _total(g: GroupedMoments) -> np.ndarray:
     size = len(g.mean) + 1
     out = np.zeros((size, size))
     out[0, 0] = g.n
-    out[1:, 1:] = g.within + g.between
+    out[1:, 1:] = g.total
     return out
 
 
@@ -124,7 +124,7 @@ def _restrict(g: GroupedMoments, keep: list[int]) -> GroupedMoments:
         return g
     groups = g.groups.withColumn("m", F.array(*[F.col("m")[k] for k in keep]))
     at = np.ix_(keep, keep)
-    return GroupedMoments(groups, g.n, g.n_groups, g.mean[keep], g.within[at], g.between[at])
+    return GroupedMoments(groups, g.n, g.n_groups, g.mean[keep], g.total[at], g.between[at])
 
 
 @dataclass
@@ -280,7 +280,7 @@ def mixed_model(
         raise ValueError("give one group, or an outer and an inner one")
     design = build_design(df, response, terms, factors, keep=groups)
     g = grouped_moments(design, groups)
-    kept, _ = eliminate(g.within + g.between, np.diag(g.within + g.between))
+    kept, _ = eliminate(g.total, np.diag(g.total))
     g = _restrict(g, [*kept, len(design.names)])
     outer = groups[0] if len(groups) == 2 else None
     small = g.n_groups * (len(g.mean) + 3) <= max_cells
@@ -296,8 +296,7 @@ def mixed_model(
     estimate[0] += g.mean[-1]
     covariance = ve * back @ s.inverse @ back.T
     if p > 1:
-        total = (g.within + g.between)[:-1, :-1]
-        fixed_variance = float(s.beta[1:] @ total @ s.beta[1:] / (g.n - 1))
+        fixed_variance = float(s.beta[1:] @ g.total[:-1, :-1] @ s.beta[1:] / (g.n - 1))
     else:
         fixed_variance = 0.0
     degrees = _satterthwaite(evaluate, [lc * ve, lb * ve, ve], g.n, back)
