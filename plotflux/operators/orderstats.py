@@ -47,15 +47,15 @@ def _pick(
     running = counted.withColumns(
         {"_cum": F.sum("_k").over(upto), "_n": F.sum("_k").over(window)}
     )
-    ranks = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank"))
-            for name, rank in wanted.items()
-        ]
-    )
+    at = {name: rank(F.col("_n")).cast("long") for name, rank in wanted.items()}
     before = F.col("_cum") - F.col("_k")
+    holds_any = F.lit(False)
+    for rank in at.values():
+        holds_any = holds_any | ((rank > before) & (rank <= F.col("_cum")))
+    ranks = F.array(*[F.struct(F.lit(n).alias("name"), r.alias("rank")) for n, r in at.items()])
     return (
-        running.withColumn("_before", before)
+        running.where(holds_any)
+        .withColumn("_before", before)
         .withColumn("_hit", F.explode(ranks))
         .where((F.col("_hit.rank") > F.col("_before")) & (F.col("_hit.rank") <= F.col("_cum")))
         .select(

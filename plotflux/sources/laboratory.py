@@ -39,8 +39,7 @@ def read_by_header(
         return F.array(*[values.getField(f"c{i}") for i in range(max_fields)])
 
     files = (
-        spark.read.options(wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-        .text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .select(
             F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("lines"),
             F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("path"),
