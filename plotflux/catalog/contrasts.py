@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded, table
-from plotflux.operators.reshape import contrast, to_long, to_wide
-from plotflux.operators.rollup import daily_rollup, hourly_rollup, summarise
+from plotflux.functions.scalars import hour_floor
+from plotflux.operators.reshape import contrast, to_long, to_wide, wide_means
+from plotflux.operators.rollup import daily_rollup, summarise
 
 
 @query(" UNION ALL ".join(
@@ -29,8 +30,10 @@ _SIDES = ["control", "warming"]
 
 
 def _pair_days(spark, folder):
-    means = daily_rollup(readings(spark, folder), ["block", "pair", "treatment"], "ts", ["value", "k"])
-    return to_wide(means, ["block", "pair", "day"], "treatment", _SIDES, ["mean_value", "mean_k"])
+    r = readings(spark, folder).withColumn("day", F.col("ts").cast("date"))
+    return wide_means(
+        r, ["block", "pair", "day"], "treatment", _SIDES, {"value": "mean_value", "k": "mean_k"}
+    )
 
 
 @query(f"""WITH {READINGS}, {_PAIR_DAYS}
@@ -51,9 +54,10 @@ SELECT collar, season, {", ".join(
     f"round(max(CASE WHEN treatment = '{t}' THEN {c} END), 6) AS mean_{c}_{t}" for c in _WIDE for t in _FLAGS)}
 FROM m GROUP BY 1, 2""")
 def pivot_many_values(spark, folder):
-    means = summarise(fluxes(spark, folder), ["collar", "season", "treatment"], _WIDE, ("mean",))
     values = [f"mean_{c}" for c in _WIDE]
-    out = to_wide(means, ["collar", "season"], "treatment", _FLAGS, values)
+    out = wide_means(
+        fluxes(spark, folder), ["collar", "season"], "treatment", _FLAGS, dict(zip(_WIDE, values))
+    )
     return rounded(out, 6, *[f"{v}_{t}" for v in values for t in _FLAGS])
 
 
@@ -68,10 +72,10 @@ diff AS (
 
 
 def _block_hour_differences(spark, folder):
-    hourly = hourly_rollup(
-        readings(spark, folder), ["block", "treatment"], "ts", {"value": "value", "k": "k"}, na_rm=False
+    wide = wide_means(
+        readings(spark, folder).withColumn("hour_start", hour_floor("ts")), ["block", "hour_start"],
+        "treatment", _SIDES, {"value": "mean_value", "k": "mean_k"}, na_rm=False,
     )
-    wide = to_wide(hourly, ["block", "hour_start"], "treatment", _SIDES, ["mean_value", "mean_k"])
     return contrast(wide, {"mean_value": "d_value", "mean_k": "d_k"})
 
 

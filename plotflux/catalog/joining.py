@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded, table
+from plotflux.functions.bins import day_or_night
 from plotflux.operators.joins import join_chain, keyed_join, natural_join
-from plotflux.operators.rollup import daily_rollup, hourly_rollup, sd, summarise
+from plotflux.operators.reshape import wide_means
+from plotflux.operators.rollup import daily_rollup, hourly_rollup, mean_of_means, sd, summarise
 
 
 @query(f"""WITH {READINGS}, h AS (
@@ -93,39 +95,46 @@ def full_outer_join(spark, folder):
     return natural_join(docs, labels, "full")
 
 
-@query("""WITH p AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n FROM orders GROUP BY 1),
-y AS (SELECT o_custkey, max(o_totalprice) AS best, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY 1),
-u AS (SELECT o_custkey, avg(o_totalprice) AS mean_urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-f AS (SELECT o_custkey, count(*) AS n_finished FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT c_custkey, c_mktsegment, c_nationkey, round(mean_price, 4) AS mean_price, n, best, first_day,
-  round(mean_urgent, 4) AS mean_urgent, n_finished, n_name, r_name
-FROM customer LEFT JOIN p ON c_custkey = p.o_custkey LEFT JOIN y ON c_custkey = y.o_custkey
-  LEFT JOIN u ON c_custkey = u.o_custkey LEFT JOIN f ON c_custkey = f.o_custkey
+@query(f"""WITH {READINGS}, p AS (
+  SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n, max(o_totalprice) AS best, min(CAST(o_orderdate AS DATE)) AS first_day,
+    avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS mean_urgent, count(*) FILTER (o_orderstatus = 'F') AS n_finished
+  FROM orders GROUP BY 1),
+d AS (SELECT plot, CAST(ts AS DATE) AS day, avg(value) AS v, avg(k) AS k FROM readings GROUP BY 1, 2),
+m AS (SELECT plot, avg(v) AS mean_value, avg(k) AS mean_k FROM d GROUP BY 1),
+w AS (SELECT plot, avg(CASE WHEN hour(ts) BETWEEN 7 AND 20 THEN value END) AS value_day,
+    avg(CASE WHEN hour(ts) NOT BETWEEN 7 AND 20 THEN value END) AS value_night FROM readings GROUP BY 1)
+SELECT c_custkey, c_mktsegment, c_nationkey, round(mean_price, 4) AS mean_price, n, best, first_day, round(mean_urgent, 4) AS mean_urgent,
+  n_finished, round(mean_value, 6) AS mean_value, round(mean_k, 6) AS mean_k, round(value_day, 6) AS value_day,
+  round(value_night, 6) AS value_night, n_name, r_name
+FROM customer LEFT JOIN p ON c_custkey = p.o_custkey LEFT JOIN m ON c_custkey = m.plot LEFT JOIN w ON c_custkey = w.plot
   LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def master_table(spark, folder):
-    orders = table(spark, folder, "orders").withColumn("c_custkey", F.col("o_custkey"))
     by = ["c_custkey"]
-    prices = orders.groupBy(*by).agg(
-        F.avg("o_totalprice").alias("mean_price"), F.count(F.lit(1)).alias("n")
+    price = F.col("o_totalprice")
+    orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.avg(price).alias("mean_price"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(price).alias("best"),
+        F.min(F.col("o_orderdate").cast("date")).alias("first_day"),
+        F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", price)).alias("mean_urgent"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"),
     )
-    extremes = orders.groupBy(*by).agg(
-        F.max("o_totalprice").alias("best"), F.min(F.col("o_orderdate").cast("date")).alias("first_day")
+    r = readings(spark, folder).withColumnRenamed("plot", "c_custkey")
+    means = mean_of_means(
+        r.withColumn("day", F.col("ts").cast("date")), [*by, "day"], by, ["value", "k"]
     )
-    urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy(*by).agg(
-        F.avg("o_totalprice").alias("mean_urgent")
+    day_night = wide_means(
+        r.withColumn("timeofday", day_or_night("ts")), by, "timeofday", ["day", "night"], ["value"]
     )
-    finished = orders.where("o_orderstatus = 'F'").groupBy(*by).agg(F.count(F.lit(1)).alias("n_finished"))
     nations = (
         table(spark, folder, "nation")
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
     )
     base = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    out = join_chain(
-        base,
-        [(prices, by), (extremes, by), (urgent, by), (finished, by), (nations, ["c_nationkey"])],
-    )
-    return rounded(out, 4, "mean_price", "mean_urgent")
+    out = join_chain(base, [(orders, by), (means, by), (day_night, by), (nations, ["c_nationkey"])])
+    digits = {"mean_value": 6, "mean_k": 6, "value_day": 6, "value_night": 6}
+    return rounded(out, {"mean_price": 4, "mean_urgent": 4, **digits})
 
 
 @query(f"""WITH {READINGS}, d AS (

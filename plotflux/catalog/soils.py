@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded, table
 from plotflux.functions import units
 from plotflux.operators.clean import constant_lookup
-from plotflux.operators.reshape import to_wide
+from plotflux.operators.reshape import wide_means
 from plotflux.operators.rollup import summarise
 
 
@@ -76,8 +76,8 @@ b AS (SELECT *, cf / 0.45::DOUBLE - cu AS mbc, nf / 0.45::DOUBLE - nu AS mbn FRO
 
 
 def _pools(spark, folder):
-    means = summarise(fluxes(spark, folder), ["collar", "season"], {"flux": "c", "temperature": "n"}, ("mean",))
-    wide = to_wide(means, ["collar"], "season", ["F", "O"], ["mean_c", "mean_n"])
+    names = {"flux": "mean_c", "temperature": "mean_n"}
+    wide = wide_means(fluxes(spark, folder), ["collar"], "season", ["F", "O"], names)
     return wide.withColumns(
         {
             "mbc": units.biomass("mean_c_F", "mean_c_O"),

@@ -145,10 +145,17 @@ def order_statistics(
     Missing values are left out. ``probs`` says roughly where the ranks lie.
     """
     values = _values(df, value, by)
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()
-    if (sizes[0] or 0) <= window_rows:
+    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = durable(sizes.where(F.col("_rows") > window_rows))
+    if large.isEmpty():
         return _by_window(values, by, wanted)
-    return _by_cells(values, by, wanted, probs, cells)
+    if not by:
+        return _by_cells(values, by, wanted, probs, cells)
+    # Only the large groups, of which there cannot be many, take the longer way.
+    marked = join_checked(values, large, by, "left")
+    small = marked.where(F.col("_rows").isNull()).drop("_rows")
+    rest = marked.where(F.col("_rows").isNotNull()).drop("_rows")
+    return _by_window(small, by, wanted).unionByName(_by_cells(rest, by, wanted, probs, cells))
 
 
 def quantiles(

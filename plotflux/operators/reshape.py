@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,31 @@ def to_wide(
     return df.groupBy(*ids).agg(*aggregates)
 
 
+def wide_means(
+    df: DataFrame,
+    ids: Sequence[str | Column],
+    key: str,
+    levels: Sequence[str],
+    columns: Sequence[str] | Mapping[str, str],
+    na_rm: bool = True,
+) -> DataFrame:
+    """Group means per level side by side: ``{name}_{level}``, with one shuffle.
+
+    Gives what grouping by (ids, key) and then ``to_wide`` gives, but every reading
+    goes straight into the column of its level.
+    """
+    names = columns if isinstance(columns, Mapping) else {c: c for c in columns}
+    aggregates = []
+    for c, name in names.items():
+        for level in levels:
+            hit = F.col(key) == level
+            value = F.avg(F.when(hit, F.col(c)))
+            if not na_rm:
+                value = F.when(F.count_if(hit & F.col(c).isNull()) == 0, value)
+            aggregates.append(value.alias(f"{name}_{level}"))
+    return df.groupBy(*ids).agg(*aggregates)
+
+
 def contrast(
     wide: DataFrame,
     columns: Sequence[str] | Mapping[str, str],

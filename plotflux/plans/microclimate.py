@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotflux.functions.bins import day_or_night, season_by_date, season_by_month
+from plotflux.functions.scalars import hour_floor
 from plotflux.functions.units import gsm_quadratic, vwc_linear, vwc_quadratic
 from plotflux.operators.clean import date_window
 from plotflux.operators.design import crossed
 from plotflux.operators.mixed import MixedFit, mixed_model
-from plotflux.operators.reshape import contrast, to_long, to_wide
-from plotflux.operators.rollup import hourly_rollup, measures, sd, summarise, summary_sets
+from plotflux.operators.reshape import contrast, to_long, wide_means
+from plotflux.operators.rollup import hourly_rollup, sd, summarise, summary_sets
 
 # The analysis window.
 WINDOW = ("2021-10-03", "2022-02-02")
@@ -55,10 +56,9 @@ def treatment_differences(readings: DataFrame) -> DataFrame:
     A missing reading makes the hour's mean missing, so a difference only stands
     for complete hours of both sides.
     """
-    hourly = hourly_rollup(readings, ["block", "plot", "treatment"], "ts", SHORT, na_rm=False)
-    values = [f"mean_{name}" for name in SHORT.values()]
-    wide = to_wide(
-        hourly, ["block", "plot", "hour_start"], "treatment", ["control", "warming"], values
+    wide = wide_means(
+        readings.withColumn("hour_start", hour_floor("ts")), ["block", "plot", "hour_start"], "treatment",
+        ["control", "warming"], {c: f"mean_{name}" for c, name in SHORT.items()}, na_rm=False,
     )
     return contrast(wide, {f"mean_{name}": f"{name}_diff" for name in SHORT.values()})
 
@@ -99,9 +99,7 @@ def summary_tables(readings: DataFrame) -> DataFrame:
 def day_night_means(readings: DataFrame, keys: tuple[str, ...] = ("collar", "season")) -> DataFrame:
     """Day and night means side by side per collar, by default also per season."""
     channels = {c: SHORT[c] for c in (*TEMPERATURES, "vwc")}
-    long = readings.groupBy(*keys, "timeofday").agg(*measures(channels, ("mean",)))
-    renamed = long.withColumnsRenamed({f"mean_{n}": n for n in channels.values()})
-    return to_wide(renamed, keys, "timeofday", ["day", "night"], list(channels.values()))
+    return wide_means(readings, keys, "timeofday", ["day", "night"], channels)
 
 
 def microclimate_model(readings: DataFrame, channel: str) -> MixedFit:

@@ -16,7 +16,7 @@ from plotflux.operators.correlate import pearson_tests, spearman_matrix, spearma
 from plotflux.operators.orderstats import average_ranks, hinges, quantiles
 from plotflux.operators.outliers import outlier_rows, tukey_fences
 
-WAYS = [10**6, 0]
+WAYS = [10**6, 500, 0]
 PROBS = {"a": 0.1, "b": 0.25, "c": 0.5, "d": 0.75, "e": 1.0}
 
 
@@ -152,5 +152,5 @@ def test_pearson_is_pairwise_complete(spark):
 @given(st.lists(st.integers(-3, 3), min_size=1, max_size=30))
 def test_both_ways_agree(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    a, b = (tuple(quantiles(df, "v", PROBS, (), way).first()) for way in WAYS)
+    a, b = (tuple(quantiles(df, "v", PROBS, (), way).first()) for way in (10**6, 0))
     assert a == b and np.allclose(a[1:], np.quantile(values, list(PROBS.values())))
