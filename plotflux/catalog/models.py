@@ -10,7 +10,6 @@ from plotflux.functions.bins import day_or_night
 from plotflux.operators import correlate, linear
 from plotflux.operators.design import build_design, cell_table, collect_moments, crossed
 from plotflux.operators.mixed import mixed_model
-from plotflux.session import durable
 
 _VARIABLES = ("flux", "quality", "temperature", "moisture")
 _PAIRS = [(a, b) for i, a in enumerate(_VARIABLES) for b in _VARIABLES[i + 1 :]]
@@ -191,7 +190,7 @@ _CROSS = [(a, b) for i, a in enumerate(("x0", "x1", "x2", "y")) for b in ("x0",
     for a, b in _CROSS)}""")
 def model_moments(spark, folder):
     design = _design(spark, folder)
-    moments = collect_moments(durable(cell_table(design)), design)
+    moments = collect_moments(cell_table(design), design)
     rows = [
         (a, b, moments.n, float(moments.cross[i, j]))
         for (a, b), (i, j) in zip(_CROSS, zip(*np.triu_indices(4)))

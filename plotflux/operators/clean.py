@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotflux.functions.scalars import parse_date
+from plotflux.session import null_safe_join
+
 # Control samples in the laboratory files, quality cut-off of a flux fit.
 CONTROL_SAMPLE_PATTERN = "CHECK|BKL|STD|Untitled"
 MIN_R2 = 0.8
@@ -31,14 +34,18 @@ def quality_filter(df: DataFrame, quality: str, minimum: float = MIN_R2) -> Data
     return df.filter(F.col(quality) > minimum)
 
 
-def date_window(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:
+def date_window(df: DataFrame, ts: str, first: str, last: str, day: str | None = None) -> DataFrame:
     """Rows from the first to the last day, both included.
 
     The raw timestamp is compared with literals, so the predicate reaches the scan.
+    ``day`` names a date column the table is partitioned by; other days' files are
+    then not opened at all.
     """
     after = dt.date.fromisoformat(last) + dt.timedelta(days=1)
     lower = F.lit(first).cast("timestamp_ntz")
     upper = F.lit(after.isoformat()).cast("timestamp_ntz")
+    if day:
+        df = df.filter(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return df.filter((F.col(ts) >= lower) & (F.col(ts) < upper))
 
 
@@ -55,8 +62,6 @@ def campaign_lookup(
 
     The table has one entry per listed day, so its size is fixed by the argument.
     """
-    from plotflux.functions.scalars import parse_date
-
     entries = [(d, label) for label, days in campaigns.items() for d in days]
     table = df.sparkSession.createDataFrame(entries, "_day string, _label string").select(
         F.col("_day").cast("date").alias("_day"), parse_date("_label").alias(name)
@@ -84,12 +89,14 @@ def label_campaigns(df: DataFrame, keys: Sequence[str], day: str, gap_days: int)
 
     The join key holds the day, so the rows of a hot key spread over its days.
     """
-    table = campaign_table(df, keys, day, gap_days)
-    return df.join(table, [*keys, day], "left")
+    return null_safe_join(df, campaign_table(df, keys, day, gap_days), [*keys, day])
 
 
 def constant_lookup(df: DataFrame, key: str, values: Mapping, name: str) -> DataFrame:
-    """Add a constant per key from a literal table; keys without an entry get none."""
+    """Add a constant per key from a literal table; keys without an entry get none.
+
+    The table is as small as the argument it is written from.
+    """
     key_type = dict(df.dtypes)[key]
     table = df.sparkSession.createDataFrame(
         [(str(k), float(v)) for k, v in values.items()], "_key string, _value double"

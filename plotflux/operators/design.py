@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotflux.session import durable
+
 MAX_LEVELS = 100
 
 Term = tuple[str, ...]
@@ -34,7 +36,7 @@ def crossed(*products: Term) -> list[Term]:
 
 def factor_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list[str]:
     """Levels in alphabetical order; the first is the baseline."""
-    rows = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
+    rows = df.select(column).distinct()
     levels = [r[0] for r in rows.limit(limit + 1).collect()]
     if len(levels) > limit:
         raise ValueError(f"{column} has more than {limit} levels; is it a factor?")
@@ -55,7 +57,7 @@ class Slot:
 class Design:
     """Model columns (without intercept) of the rows complete in all variables."""
 
-    frame: DataFrame  # grouping columns, factors as text, v0 .. v{r-1} numeric products, y
+    reduced: DataFrame  # rows reduced per group and factor levels, in the checkpoint folder
     keep: list[str]
     factors: list[str]
     n_numeric: int
@@ -85,66 +87,81 @@ def build_design(
 ) -> Design:
     """Columns for every term, with treatment contrasts for factors.
 
-    A factor's levels may be given, first one the baseline; otherwise they are
-    looked up and ordered alphabetically.
+    The rows are read once and reduced to one entry per ``keep`` group and
+    combination of factor levels, holding the moments of the numeric products and
+    the response. A factor's levels may be given, first one the baseline; otherwise
+    they are those found, in alphabetical order.
     """
     given = dict(factors) if isinstance(factors, Mapping) else {f: None for f in factors}
     variables = list(dict.fromkeys(v for t in terms for v in t))
-    complete = df.where(F.col(response).isNotNull())
-    for v in [*variables, *keep]:
-        complete = complete.where(F.col(v).isNotNull())
-    levels = {v: list(given[v] or factor_levels(complete, v)) for v in variables if v in given}
+    used = [v for v in variables if v in given]
     products: list[tuple[str, ...]] = []
-    slots = []
-    for i, term in enumerate(terms):
-        numeric = tuple(v for v in term if v not in levels)
+    for term in terms:
+        numeric = tuple(v for v in term if v not in given)
         if numeric and numeric not in products:
             products.append(numeric)
+    reduced = durable(_reduce(df, response, variables, used, products, keep))
+    levels = {v: list(given[v] or factor_levels(reduced, f"_f_{v}")) for v in used}
+    slots = []
+    for i, term in enumerate(terms):
+        numeric = tuple(v for v in term if v not in given)
         monomial = products.index(numeric) if numeric else None
+        backwards = [v for v in reversed(term) if v in levels]
         # The first factor's levels vary fastest.
-        for chosen in product(*[levels[v][1:] for v in reversed(term) if v in levels]):
-            level = dict(zip([v for v in reversed(term) if v in levels], chosen))
+        for chosen in product(*[levels[v][1:] for v in backwards]):
+            level = dict(zip(backwards, chosen))
             name = ":".join(f"{v}[{level[v]}]" if v in level else v for v in term)
             slots.append(Slot(name, i, tuple(level.items()), monomial))
+    return Design(reduced, list(keep), used, len(products), slots, list(terms))
+
+
+def _pairs(size: int) -> list[tuple[int, int]]:
+    """Upper triangle by rows."""
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def _reduce(
+    df: DataFrame,
+    response: str,
+    variables: Sequence[str],
+    factors: Sequence[str],
+    products: Sequence[tuple[str, ...]],
+    keep: Sequence[str],
+) -> DataFrame:
+    """Count, means and centred cross products of the numeric columns per group and levels."""
+    complete = df
+    for v in dict.fromkeys([response, *variables, *keep]):
+        complete = complete.where(F.col(v).isNotNull())
     columns = []
     for k, numeric in enumerate(products):
         value = F.col(numeric[0]).cast("double")
         for v in numeric[1:]:
             value = value * F.col(v).cast("double")
         columns.append(value.alias(f"v{k}"))
-    frame = complete.select(
+    names = [f"v{k}" for k in range(len(products))] + ["y"]
+    rows = complete.select(
         *keep,
-        *[F.col(f).cast("string").alias(f"_f_{f}") for f in levels],
+        *[F.col(f).cast("string").alias(f"_f_{f}") for f in factors],
         *columns,
         F.col(response).cast("double").alias("y"),
     )
-    return Design(frame, list(keep), list(levels), len(products), slots, list(terms))
-
-
-def _pairs(size: int) -> list[tuple[int, int]]:
-    """Upper triangle by rows."""
-    return [(i, j) for i in range(size) for j in range(i, size)]
+    cross = [
+        F.covar_pop(names[i], names[j]) * F.count(F.lit(1)) for i, j in _pairs(len(names))
+    ]
+    return rows.groupBy(*keep, *[f"_f_{f}" for f in factors]).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(c) for c in names]).alias("_m"),
+        F.array(*cross).alias("w"),
+    )
 
 
 def cell_table(design: Design) -> DataFrame:
-    """Rows reduced to one per group and combination of factor levels.
+    """The reduced rows in terms of model columns.
 
     Each cell has its count ``n``, the means ``m`` of all model columns and the
     response, and for its numeric products and response the centred cross products
-    ``w``; ``d`` says which columns are switched on by the cell's levels. Only
-    numeric variables are aggregated over the rows, dummy columns cost nothing.
+    ``w``; ``d`` says which columns are switched on by the cell's levels.
     """
-    numeric = [f"v{k}" for k in range(design.n_numeric)] + ["y"]
-    cells = design.frame.groupBy(*design.keep, *[f"_f_{f}" for f in design.factors]).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in numeric]).alias("_m"),
-        F.array(
-            *[
-                F.covar_pop(numeric[i], numeric[j]) * F.count(F.lit(1))
-                for i, j in _pairs(len(numeric))
-            ]
-        ).alias("w"),
-    )
     on, means = [], []
     for slot in design.slots:
         hit = F.lit(True)
@@ -153,7 +170,7 @@ def cell_table(design: Design) -> DataFrame:
         value = F.lit(1.0) if slot.monomial is None else F.col("_m")[slot.monomial]
         on.append(hit.cast("int"))
         means.append(F.when(hit, value).otherwise(0.0))
-    return cells.select(
+    return design.reduced.select(
         *design.keep,
         "n",
         F.array(*means, F.col("_m")[design.n_numeric]).alias("m"),
@@ -177,11 +194,11 @@ class Moments:
 
 def column_means(size: int) -> Column:
     """Weighted mean of the entries' means as aggregates."""
-    return F.array(*[F.sum(F.col("n") * F.col("m")[i]) / F.sum("n") for i in range(size)])
+    return F.expr(f"array({', '.join(f'sum(n * m[{i}]) / sum(n)' for i in range(size))})")
 
 
 def collect_moments(cells: DataFrame, design: Design) -> Moments:
-    """Merge all cells; two small jobs on the cell table, which should be durable."""
+    """Merge all cells; two small jobs on the reduced rows."""
     first = cells.agg(F.sum("n").alias("n"), column_means(design.size).alias("m")).first()
     if not first["n"]:
         raise ValueError("no row is complete in all model variables")
@@ -197,10 +214,12 @@ def cross_products(table: DataFrame, mean: Sequence[float], design: Design | Non
     """
     size = len(mean)
     pairs = _pairs(size)
-    at, i = F.col("at"), F.col("i")
-    j = F.lit([j for _, j in pairs])[at]
-    centre = F.lit([float(v) for v in mean])
-    value = F.col("n") * (F.col("m")[i] - centre[i]) * (F.col("m")[j] - centre[j])
+
+    def listed(values) -> str:
+        return f"array({', '.join(str(v) for v in values)})"
+
+    centre = listed(f"{float(v)!r}D" for v in mean)
+    value = f"n * (m[i] - {centre}[i]) * (m[j] - {centre}[j])"
     columns = ["n", "m"]
     if design is not None:
         columns += ["d", "w"]
@@ -212,12 +231,12 @@ def cross_products(table: DataFrame, mean: Sequence[float], design: Design | Non
             else place[min(source[a], source[b]), max(source[a], source[b])]
             for a, b in pairs
         ]
-        k = F.lit(inside)[at]
-        value = value + F.when(k >= 0, F.col("d")[i] * F.col("d")[j] * F.get("w", k)).otherwise(0.0)
+        value += f" + if({listed(inside)}[at] >= 0, d[i] * d[j] * get(w, {listed(inside)}[at]), 0D)"
     sums = (
-        table.select(*columns, F.posexplode(F.lit([i for i, _ in pairs])).alias("at", "i"))
+        table.selectExpr(*columns, f"posexplode({listed(i for i, _ in pairs)}) as (at, i)")
+        .selectExpr("*", f"{listed(j for _, j in pairs)}[at] as j")
         .groupBy("at")
-        .agg(F.sum(value).alias("value"))
+        .agg(F.expr(f"sum({value})").alias("value"))
     )
     found = {row["at"]: row["value"] for row in sums.collect()}
     return square_matrix([found[k] for k in range(len(pairs))], size)

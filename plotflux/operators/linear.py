@@ -123,7 +123,7 @@ def linear_model(
     Use ``design.crossed`` to write interactions.
     """
     design = build_design(df, response, terms, factors)
-    moments = collect_moments(durable(cell_table(design)), design)
+    moments = collect_moments(cell_table(design), design)
     return solve(df.sparkSession, design, moments)
 
 
@@ -204,8 +204,8 @@ class GroupedMoments:
 
 
 def grouped_moments(design: Design, by: Sequence[str]) -> GroupedMoments:
-    """One pass over the rows gives the cells; the rest works on that table."""
-    cells = durable(cell_table(design))
+    """Moments per group, in total and between groups, all from the reduced rows."""
+    cells = cell_table(design)
     moments = collect_moments(cells, design)
     groups = durable(
         cells.groupBy(*by).agg(F.sum("n").alias("n"), column_means(design.size).alias("m"))

@@ -64,48 +64,35 @@ def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
     size = len(g.mean) + 1
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     total = _total(g)
-    z = [F.lit(1.0)] + [F.col("m")[i] - float(g.mean[i]) for i in range(size - 1)]
-    groups = g.groups.select(
-        (F.col(outer) if outer else F.lit(0)).alias("b"),
-        F.col("n").cast("double").alias("n"),
-        *[c.alias(f"z{i}") for i, c in enumerate(z)],
+    groups = g.groups.selectExpr(
+        f"`{outer}` as b" if outer else "0 as b",
+        "cast(n as double) as n",
+        "1D as z0",
+        *[f"m[{i}] - {float(g.mean[i])!r}D as z{i + 1}" for i in range(size - 1)],
     )
 
     def grid(ratios, name):
-        return F.inline(
-            F.array(*[F.struct(F.lit(k).alias(f"{name}i"), F.lit(float(r)).alias(name)) for k, r in enumerate(ratios)])
-        )
+        entries = ", ".join(f"struct({k} as {name}i, {float(r)!r}D as {name})" for k, r in enumerate(ratios))
+        return f"inline(array({entries}))"
 
     def evaluate(inner_ratios, outer_ratios):
-        w = F.col("n") / (1 + F.col("lc") * F.col("n"))
         per_block = (
-            groups.select("*", grid(inner_ratios, "lc"))
-            .withColumn("w", w)
+            groups.selectExpr("*", grid(inner_ratios, "lc"))
+            .selectExpr("*", "n / (1 + lc * n) as w")
             .groupBy("b", "lci")
             .agg(
-                F.sum("w").alias("m"),
-                F.sum(F.log1p(F.col("lc") * F.col("n"))).alias("d"),
-                *[F.sum(F.col("w") * F.col(f"z{i}")).alias(f"u{i}") for i in range(size)],
-                *[
-                    F.sum(F.col("lc") * F.col("w") * F.col("n") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{k}")
-                    for k, (i, j) in enumerate(pairs)
-                ],
+                F.expr("sum(w) as m"),
+                F.expr("sum(log1p(lc * n)) as d"),
+                *[F.expr(f"sum(w * z{i}) as u{i}") for i in range(size)],
+                *[F.expr(f"sum(lc * w * n * z{i} * z{j}) as p{k}") for k, (i, j) in enumerate(pairs)],
             )
         )
-        share = F.col("lb") / (1 + F.col("lb") * F.col("m"))
+        taken = ", ".join(f"sum(p{k} + g * u{i} * u{j})" for k, (i, j) in enumerate(pairs))
         sums = (
-            per_block.select("*", grid(outer_ratios, "lb"))
-            .withColumn("g", share)
+            per_block.selectExpr("*", grid(outer_ratios, "lb"))
+            .selectExpr("*", "lb / (1 + lb * m) as g")
             .groupBy("lci", "lbi")
-            .agg(
-                F.sum(F.col("d") + F.log1p(F.col("lb") * F.col("m"))).alias("d"),
-                F.array(
-                    *[
-                        F.sum(F.col(f"p{k}") + F.col("g") * F.col(f"u{i}") * F.col(f"u{j}"))
-                        for k, (i, j) in enumerate(pairs)
-                    ]
-                ).alias("taken"),
-            )
+            .agg(F.expr("sum(d + log1p(lb * m)) as d"), F.expr(f"array({taken}) as taken"))
         )
         out = {}
         for row in sums.collect():  # one row per candidate
@@ -151,7 +138,7 @@ def _criterion(s: Solution, df: int) -> float:
     return df * np.log(s.rss / df) + s.log_det + s.log_det_x
 
 
-def _search(evaluate: Evaluator, df: int, nested: bool, points: int = 9, rounds: int = 18):
+def _search(evaluate: Evaluator, df: int, nested: bool, points: int = 17, rounds: int = 10):
     """Minimise over both ratios by grids that close in on the best point so far.
 
     Zero, no variance between groups, is a candidate in every round.

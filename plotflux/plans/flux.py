@@ -24,7 +24,7 @@ from plotflux.operators.integrate import trapezoid
 from plotflux.operators.joins import keyed_join
 from plotflux.operators.linear import anova_oneway, anova_strata
 from plotflux.operators.mixed import MixedFit, mixed_model
-from plotflux.operators.rollup import measures, se, zscore
+from plotflux.operators.rollup import measures, se, summarise, zscore
 
 # Highest plausible campaign mean, collar left out of the integral.
 MAX_MEAN_FLUX = 225.0
@@ -141,3 +141,50 @@ def observation_anova(fluxes: DataFrame) -> DataFrame:
         fluxes, "flux_umol", crossed(("treatment", "month_name", "block")), "collar",
         ["treatment", "month_name"],
     )
+
+
+def daily_means(fluxes: DataFrame) -> DataFrame:
+    """Daily means per collar; one missing value makes the day's mean missing."""
+    columns = {
+        "flux_mg": "flux",
+        "mean_soil_t": "soil_t",
+        "mean_surface_t": "surface_t",
+        "mean_air_t": "air_t",
+        "mean_gsm": "gsm",
+        "mean_vwc": "vwc",
+    }
+    keys = ["treatment", "block", "plot", "collar", "day", "season"]
+    return summarise(fluxes, keys, columns, ("mean",), na_rm=False)
+
+
+def daily_models(daily: DataFrame) -> dict[str, MixedFit]:
+    """Daily flux against microclimate, and against treatment, season and block."""
+    micro = [("mean_soil_t",), ("mean_surface_t",), ("mean_air_t",), ("mean_gsm",)]
+    specs = {
+        "microclimate": micro,
+        "without surface": [micro[0], micro[2], micro[3]],
+        "soil and moisture": [micro[0], micro[3]],
+        "soil, moisture and treatment": [micro[0], micro[3], ("treatment",)],
+        "treatment, season and block": [("treatment",), ("season",), ("block",)],
+        "treatment x season x block": [("treatment", "season", "block")],
+    }
+    return {
+        name: mixed_model(
+            daily, "mean_flux", crossed(*products), ["collar"], ["treatment", "season", "block"]
+        )
+        for name, products in specs.items()
+    }
+
+
+def observation_model(fluxes: DataFrame) -> MixedFit:
+    """Single fluxes by treatment, season and block (numeric), collars as groups."""
+    return mixed_model(
+        fluxes, "flux_umol", crossed(("treatment", "season", "block")), ["collar"], ["treatment", "season"]
+    )
+
+
+def season_means(fluxes: DataFrame) -> DataFrame:
+    """Mean flux per season, plot and treatment."""
+    return summarise(
+        fluxes, ["season", "plot_id", "treatment"], {"flux_umol": "flux_umol", "flux_mg": "flux"}, ("mean",)
+    )

@@ -102,11 +102,18 @@ def day_night_means(readings: DataFrame, keys: tuple[str, ...] = ("collar", "sea
     return wide_means(readings, keys, "timeofday", ["day", "night"], channels)
 
 
-def microclimate_model(readings: DataFrame, channel: str) -> MixedFit:
-    """Treatment by season and by time of day, collars nested in blocks."""
-    products = [("treatment", "season")]
-    if channel in TEMPERATURES:
-        products.append(("treatment", "timeofday"))
+def microclimate_model(readings: DataFrame, channel: str, nested: bool = True) -> MixedFit:
+    """Effect of treatment on one channel.
+
+    Nested: by season and, for temperatures, time of day, collars within blocks.
+    Otherwise temperatures by time of day, moisture by season, collars alone.
+    """
+    warm = channel in TEMPERATURES
+    season, timeofday = ("treatment", "season"), ("treatment", "timeofday")
+    if nested:
+        products, groups = [season, timeofday] if warm else [season], ["block", "collar"]
+    else:
+        products, groups = [timeofday] if warm else [season], ["collar"]
     return mixed_model(
-        readings, channel, crossed(*products), ["block", "collar"], ["treatment", "season", "timeofday"]
+        readings, channel, crossed(*products), groups, ["treatment", "season", "timeofday"]
     )

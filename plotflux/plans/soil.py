@@ -22,12 +22,15 @@ from plotflux.functions.units import (
     extraction_chemistry,
     per_cm3,
     ratio,
+    stoichiometric_imbalance,
     yearly_rate,
 )
 from plotflux.operators.clean import constant_lookup
+from plotflux.operators.correlate import pearson_tests, spearman_matrix, with_significance
+from plotflux.operators.design import crossed
 from plotflux.operators.joins import join_chain, natural_join
 from plotflux.operators.linear import LinearFit, linear_model
-from plotflux.operators.reshape import to_wide
+from plotflux.operators.reshape import contrast, to_wide
 from plotflux.operators.rollup import measures
 
 # Limits beyond which a laboratory value is an outlier to leave out.
@@ -38,6 +41,22 @@ LIMITS = {
     "mbcn": (0.0, 20.0),
     "mg_nh4_kgsoil": (None, 14.0),
 }
+CORRELATED = (
+    "cumulative_flux",
+    "mg_c_gsoil_uf",
+    "mg_n_gsoil_uf",
+    "mbc",
+    "mbn",
+    "dcn",
+    "mbcn",
+    "mg_nh4_gsoil",
+    "mg_no3_gsoil",
+    "perc_c",
+    "perc_n",
+    "c_n_ratio",
+    "cover",
+    "soil_ph",
+)
 
 
 def dissolved_pools(lab: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -172,3 +191,95 @@ def treatment_model(
 
 def treatment_models(table: DataFrame, responses: Sequence[str]) -> dict[str, LinearFit]:
     return {r: treatment_model(table, r, LIMITS.get(r, (None, None))) for r in responses}
+
+
+# Plot left out of the models for its dissolved carbon; measures set side by side.
+EXCLUDED_PLOT = "2-17"
+CONTRASTED = {
+    "mean_flux": "flux",
+    "mg_c_gsoil_uf": "doc",
+    "mg_n_gsoil_uf": "tdn",
+    "mbc": "mbc",
+    "mbn": "mbn",
+    "mg_nh4_gsoil": "nh4",
+    "mg_no3_gsoil": "no3",
+    "inorganic_n": "inorganic_n",
+    "perc_c": "perc_c",
+    "perc_n": "perc_n",
+    "c_n_ratio": "c_n_ratio",
+}
+
+
+def season_table(season_means: DataFrame, microbial: DataFrame, nitrogen: DataFrame) -> DataFrame:
+    """Season means of the flux with the soil values of their plot, which repeat per season."""
+    chemistry = nitrogen.select(
+        "collar", "mg_nh4_gsoil", "mg_no3_gsoil", "perc_c", "perc_n", "c_n_ratio"
+    )
+    soil = natural_join(microbial.withColumn("plot_id", compound_key("block", "plot")), chemistry)
+    joined = natural_join(season_means, soil)
+    return joined.withColumns(
+        {
+            "inorganic_n": F.col("mg_nh4_gsoil") + F.col("mg_no3_gsoil"),
+            "doc_per_mbc": ratio("mg_c_gsoil_uf", "mbc"),
+            "imbalance": stoichiometric_imbalance("dcn", "mbcn"),
+        }
+    )
+
+
+def plot_contrasts(table: DataFrame, kind: str = "ratio") -> DataFrame:
+    """Treated against control per plot and season, with both sides kept.
+
+    ``kind`` is ``ratio``, ``percent`` or ``difference``; columns are ``d_{measure}``.
+    """
+    wide = to_wide(
+        table, ["plot_id", "season", "block"], "treatment", ["control", "warming"], list(CONTRASTED)
+    )
+    return contrast(wide, {c: f"d_{name}" for c, name in CONTRASTED.items()}, kind)
+
+
+def season_models(table: DataFrame) -> dict[str, LinearFit]:
+    """Flux of a season against the pools of its plot."""
+    wet, dry = (table.where(F.col("season") == s) for s in ("wet", "dry"))
+    usual = F.col("plot_id") != EXCLUDED_PLOT
+    t, mbc, doc = "treatment", "mbc", "mg_c_gsoil_uf"
+    specs = {
+        "wet: treatment x mbc": (wet, [(t, mbc)]),
+        "dry: treatment x doc": (dry.where(usual), [(t, doc)]),
+        "carbon pools": (table, [(mbc,), (doc,)]),
+        "nitrogen pools": (table, [("perc_n",), ("inorganic_n",), ("mbn",), ("mg_n_gsoil_uf",), (t,)]),
+        "wet: doc per mbc x treatment": (wet.where(usual), [("doc_per_mbc", t)]),
+        "wet: mbc and doc x treatment": (wet.where(usual), [(mbc,), (doc, t)]),
+        "wet: pools and quality": (wet, [(mbc,), (doc,), ("dcn",)]),
+        "dry: pools and quality": (dry, [(mbc,), (doc,), ("dcn",)]),
+    }
+    return {
+        name: linear_model(rows, "mean_flux", crossed(*products), [t])
+        for name, (rows, products) in specs.items()
+    }
+
+
+def ratio_models(contrasts: DataFrame) -> dict[str, LinearFit]:
+    """Does the response to warming depend on what the soil holds without it?"""
+    carbon, nitrogen = ("perc_c_control",), ("inorganic_n_control",)
+    return {
+        "carbon by carbon": linear_model(contrasts, "d_perc_c", [carbon]),
+        "carbon by carbon and nitrogen": linear_model(contrasts, "d_perc_c", [carbon, nitrogen]),
+        "flux by carbon and nitrogen": linear_model(contrasts, "d_flux", [carbon, nitrogen]),
+    }
+
+
+def block_models(table: DataFrame, responses: Sequence[str]) -> dict[str, LinearFit]:
+    """Soil values of the dry season by block and treatment."""
+    dry = table.where(F.col("season") == "dry")
+    factors = ["block", "treatment"]
+    return {r: linear_model(dry, r, crossed(("block", "treatment")), factors) for r in responses}
+
+
+def collar_model(master: DataFrame) -> LinearFit:
+    """Cumulative flux against soil carbon by treatment."""
+    return linear_model(master, "cumulative_flux", crossed(("perc_c", "treatment")), ["treatment"])
+
+
+def correlations(master: DataFrame, columns: Sequence[str] = CORRELATED) -> tuple[DataFrame, DataFrame]:
+    """Rank correlations over complete collars, and pairwise tests with their marks."""
+    return spearman_matrix(master, columns), with_significance(pearson_tests(master, columns))

@@ -178,7 +178,7 @@ def test_microclimate(prepared):
     assert rows(prepared.groupBy("season").count()) == [("dry", 96), ("wet", 192)]
     hourly = microclimate.hourly_by_collar(prepared)
     assert hourly.count() == 8 * 18 and hourly.where("sd_vwc = 0").count() == 8 * 18
-    differences = microclimate.treatment_differences(prepared)
+    differences = microclimate.treatment_differences(prepared).cache()
     assert differences.count() == 4 * 18
     assert abs(differences.agg(F.avg("soil_t_diff")).first()[0] - 1) < 0.5
     assert abs(differences.agg(F.max(F.abs("air_t_diff"))).first()[0]) < 1e-9
@@ -188,6 +188,7 @@ def test_microclimate(prepared):
     fit = microclimate.microclimate_model(prepared, "subsoil_t")
     effect = {r["term"]: r["estimate"] for r in fit.coefficients().collect()}["treatment[warming]"]
     assert 0 < effect < 2
+    assert microclimate.microclimate_model(prepared, "vwc", nested=False).n == 288
 
 
 def test_moisture_curves_and_season_rules(readings):
@@ -214,10 +215,10 @@ def test_flux_analysis(prepared, campaigns):
     factor = 12.001 * 3600 / 1000
     assert abs(first["mean_flux"] - factor * 1.15) < 1e-9
     assert abs(first["se_flux"] - factor * math.sqrt(0.005) / math.sqrt(3)) < 1e-9
-    table = flux.model_table(campaigns, microclimate.day_night_means(prepared), max_flux=150.0)
+    table = flux.model_table(campaigns, microclimate.day_night_means(prepared), max_flux=150.0).cache()
     assert table.where("mean_flux > 150").count() == 0 and table.where("sqrt_flux is null").count() > 0
     assert abs(table.agg(F.avg("z_mean_soil_t")).first()[0]) < 1e-9
-    cumulative = flux.cumulative_flux(campaigns, exclude=["1-3-con"])
+    cumulative = flux.cumulative_flux(campaigns, exclude=["1-3-con"]).cache()
     assert cumulative.count() == 7
     got = cumulative.where("collar = '2-4-con'").first()["cumulative_flux"]
     means = [factor * (1.1 + k) for k in range(3)]
@@ -226,7 +227,7 @@ def test_flux_analysis(prepared, campaigns):
 
 
 def test_flux_models(campaigns, prepared):
-    table = flux.model_table(campaigns, microclimate.day_night_means(prepared))
+    table = flux.model_table(campaigns, microclimate.day_night_means(prepared)).cache()
     fits = flux.flux_models(table)
     assert len(fits) == 5 and all(f.n == 24 for f in fits.values())
 
@@ -266,6 +267,44 @@ def test_soil_analysis(spark, site, prepared, campaigns):
     assert soil.treatment_means(master, ["mbc", "perc_c"]).count() == 2
     assert soil.overall_means(master, ["mbc"]).first()["mean_mbc"] > 0
     assert set(soil.treatment_models(master, ["mbc", "soil_ph"])) == {"mbc", "soil_ph"}
+    assert soil.collar_model(master).n == 7
+    ranks, tests = soil.correlations(master, ["mbc", "perc_c", "cover", "soil_ph"])
+    assert ranks.count() == tests.count() == 6 and len(soil.CORRELATED) == 14
+
+
+def test_daily_and_season_models(spark, site, prepared):
+    read = lambda name, spec: tables.read_table(spark, str(site / name), spec)
+    registry = read("registry.csv", tables.REGISTRY)
+    located = instruments.locate_fluxes(instruments.read_flux_files(spark, str(site / "flux")), registry)
+    cleaned = flux.with_microclimate(flux.clean_fluxes(located), microclimate.hourly_by_collar(prepared)).cache()
+    daily = flux.daily_means(cleaned).cache()
+    # The day with a negative flux has no strict mean.
+    assert daily.count() == 24 and daily.where("mean_flux is null").count() == 1
+    fits = flux.daily_models(daily)
+    assert len(fits) == 6 and all(f.n <= 23 for f in fits.values())
+    assert fits["without surface"].vif().count() == 3
+    assert flux.observation_model(cleaned).n == 70
+    assert flux.observation_anova(cleaned).where("term = 'residuals'").count() == 2
+    microbial = soil.microbial_biomass(
+        soil.dissolved_pools(
+            laboratory.read_carbon_files(spark, str(site / "lab")), read("toc_metadata.csv", tables.EXTRACT_METADATA)
+        )
+    )
+    nitrogen = soil.nitrogen_and_carbon(
+        read("inorganic.csv", tables.INORGANIC_N), read("inorganic_meta.csv", tables.INORGANIC_N_METADATA),
+        read("bulk.csv", tables.BULK_CN), read("bulk_meta.csv", tables.BULK_CN_METADATA),
+    )
+    table = soil.season_table(flux.season_means(cleaned), microbial, nitrogen).cache()
+    assert table.count() == 16 and table.where("perc_c is null").count() == 0
+    ratios = soil.plot_contrasts(table).cache()
+    assert ratios.count() == 8
+    one = ratios.where("plot_id = '2-4' and season = 'dry'").first()
+    assert abs(one["d_flux"] - 3.6 / 3.1) < 1e-9 and abs(one["d_perc_c"] - 10 / 9) < 1e-9
+    percent = soil.plot_contrasts(table, "percent").where("plot_id = '2-4' and season = 'dry'").first()
+    assert abs(percent["d_perc_c"] - 100 / 9) < 1e-9
+    assert len(soil.season_models(table)) == 8 and len(soil.ratio_models(ratios)) == 3
+    block = soil.block_models(table, ["perc_c", "mbc"])["perc_c"]
+    assert block.names == ["(intercept)", "block[2]", "treatment[warming]", "block[2]:treatment[warming]"]
 
 
 def test_hourly_stream_equals_batch(spark, site, tmp_path):

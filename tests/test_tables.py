@@ -33,6 +33,17 @@ def test_date_window_is_closed_and_pushed_down(spark, tmp_path):
     assert "GreaterThanOrEqual(ts" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_date_window_opens_only_its_days(spark, tmp_path):
+    from plotflux.sources.tables import write_parquet
+
+    stamps = [dt.datetime(2021, 10, d, h) for d in (2, 3, 4) for h in (0, 23)]
+    df = spark.createDataFrame([(s,) for s in stamps], "ts timestamp_ntz").withColumn("day", F.col("ts").cast("date"))
+    write_parquet(df, str(tmp_path / "readings"), "day")
+    kept = clean.date_window(spark.read.parquet(str(tmp_path / "readings")), "ts", "2021-10-03", "2021-10-03", "day")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 2 and "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_control_samples_are_dropped_case_sensitively(spark):
     df = spark.createDataFrame([("CHECK 1",), ("check",), ("Untitled",), ("1-2 CON",)], "id string")
     assert rows(clean.exclude_matching(df, "id")) == [("1-2 CON",), ("check",)]
