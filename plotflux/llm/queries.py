@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotflux.llm import pii
 from plotflux.llm.mixing import mix_sources
 from plotflux.llm.secrets import secret_spans, span_text
 from plotflux.llm.shared import table
@@ -32,3 +33,21 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("base", _of_rank(k))).cast("long").alias(f"n_{name}")
+            for k, name in enumerate(pii.KINDS)
+        ],
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _of_rank(rank: int):
+    return lambda span: span["rank"] == rank
