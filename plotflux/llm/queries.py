@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotflux.llm import pii
+from plotflux.llm import pii, url_filter, warc
 from plotflux.llm.mixing import mix_sources
 from plotflux.llm.secrets import secret_spans, span_text
 from plotflux.llm.shared import table
@@ -51,3 +51,13 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def _of_rank(rank: int):
     return lambda span: span["rank"] == rank
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, folder, "pages"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"))
