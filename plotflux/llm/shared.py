@@ -146,7 +146,7 @@ def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """
     place = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = (
-        df.select(F.shiftright(place, 5).alias("at"), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND(31).cast("int")).alias("bit"))
+        df.select(F.shiftright(place, 5).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int")).alias("bit"))
         .groupBy("at")
         .agg(F.bit_or("bit").alias("bit"))
     )
