@@ -230,11 +230,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Equal sets are one class. By size band the universe of shingles is hashed into segments; by the
     pigeonhole principle two linked sets agree on some segment's subset, or differ there by one
     shingle where one-deletion neighbourhoods are indexed (``allocation`` weighs both). Sets that share a
-    signature are candidates and are verified exactly. In a group of up to ``FREQUENT`` sets that is every
-    pair; in a larger one each set meets its neighbours by size and the group's first set, which joins
-    a family of near copies without its pairs. Frequent signatures do not count for the guarantee: a set
-    left with too few others is compared, in the groups of its frequent signatures, with every other such
-    set that is not yet in its component. So no link is lost, and no group is expanded into all pairs.
+    signature are candidates and are verified exactly. The bound leaves slack, so linked sets share several:
+    pairs that share fewer are dropped unverified. Signatures of more than ``FREQUENT`` sets do not count;
+    a set left with too few others is short. In the groups of its frequent signatures a short set meets its
+    neighbours by size and the group's first set, which joins a family of near copies without its pairs, and
+    then every other short set that is not yet in its component. Two linked sets of which one is not
+    short share an infrequent signature, and two short ones a frequent one, so no link is lost.
 
     Null, empty and blank texts have size 0 and are groups of their own, as is a text alone. Null ids
     share in groups but are never their smallest id; a group of null ids has a null component. Repeated
@@ -251,48 +252,53 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "sig", "cls", "mark", F.lag("cls").over(by_class).alias("before"), F.lead("cls").over(by_class).alias("after")
     )
     near = near.where("(before is null or before <> cls) and (before is not null or after is not null)")
-    by_size = W.partitionBy("sig").orderBy("mark", "cls")
     whole = W.partitionBy("sig")
-    shared = stored(
-        near.select(
-            "sig",
-            "cls",
-            "mark",
-            F.count("*").over(whole).alias("held"),
-            F.min(F.struct("cls", "mark")).over(whole).alias("first"),
-            F.collect_list(F.struct("cls", "mark")).over(by_size.rowsBetween(1 - FREQUENT, -1)).alias("near"),
+    size, role = F.shiftright("mark", 3), F.shiftright("mark", 2).bitwiseAND(1)
+    shared = near.withColumn("held", F.count("*").over(whole)).where("held > 1")
+    shared = stored(shared.select("sig", "cls", size.alias("n"), role.alias("role"), F.col("mark").bitwiseAND(3).alias("weight"), "held"))
+
+    # Each side's guarantee without its frequent signatures: how many others two linked sets share at least.
+    often = shared.where(F.col("held") > FREQUENT)
+    lost = often.groupBy("cls", "role").agg(F.sum("weight").alias("lost"))
+    roles = F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("slack0").alias("slack")), F.struct(F.lit(1).alias("role"), F.col("slack1").alias("slack"))))
+    spare = classes.select("cls", roles.alias("r")).select("cls", F.col("r.role").cast("long").alias("role"), "r.slack")
+    spare = spare.join(lost, ["cls", "role"], "left").select("cls", "role", (F.col("slack") - F.coalesce("lost", F.lit(0))).alias("spare"))
+    spare = stored(spare)
+    short = spare.where("spare < 0").select("cls", "role")
+
+    # Infrequent signatures: all pairs of a group of at most FREQUENT sets, and how many they share.
+    by_size = W.partitionBy("sig").orderBy("n", "cls")
+    before = F.collect_list(F.struct("cls", "n", "role")).over(by_size.rowsBetween(1 - FREQUENT, -1))
+    few = shared.where(F.col("held") <= FREQUENT).select("cls", "n", "role", F.explode(before).alias("o"))
+    few = few.where(_fitting(F.col("n"), F.col("o.n")) & (F.col("role") + F.col("o.role") < 2))
+    few = few.groupBy(F.col("cls").alias("a"), F.col("role").alias("role_a"), F.col("o.cls").alias("b"), F.col("o.role").alias("role_b")).agg(F.count("*").alias("times"))
+    for side in ("a", "b"):
+        least = spare.where("spare > 1").select(
+            F.col("cls").alias(side), F.col("role").alias(f"role_{side}"), (F.floor(F.col("spare") / 2) + 1).alias(f"least_{side}")
         )
-        .where("held > 1")
+        few = few.join(least, [side, f"role_{side}"], "left").where(F.coalesce(F.col(f"least_{side}"), F.lit(0)) <= F.col("times"))
+
+    # Frequent signatures: a short set meets its neighbours by size and its group's first set.
+    held_back = stored(often.join(short, ["cls", "role"]).select("sig", "cls", "n"))
+    around = F.collect_list("cls").over(by_size.rowsBetween(1 - FREQUENT, -1))
+    first = F.first("cls").over(W.partitionBy("sig").orderBy("cls"))
+    many = held_back.select("cls", F.explode(F.array_union(around, F.array(first))).alias("other")).where("cls <> other").distinct()
+    pairs = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(
+        many.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"))
     )
-    other = F.explode(F.array_union("near", F.array("first")))
-    size = F.shiftright("mark", 3)
-    pairs = (
-        shared.select("cls", size.alias("n"), other.alias("o"))
-        .where(_fitting(F.col("n"), F.shiftright("o.mark", 3)) & (F.col("cls") != F.col("o.cls")))
-        .select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
-        .distinct()
-    )
-    pairs = stored(pairs)
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    pairs = stored(pairs.distinct())
+
+    # What is still open: short sets of one frequent group that are in different components.
+    open_ids = held_back.select("cls").distinct()
+    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(open_ids).distinct()
     sets = stored(sets_of(docs, classes.join(involved, "cls", "left_semi").select("id"), id_col, text_col))
     links = stored(verified(pairs, sets))
     labels = stored(components(links))
-
-    # What the guarantee does not cover: sets short of infrequent signatures, within frequent groups.
-    often = shared.where(F.col("held") > FREQUENT).select(
-        "sig", "cls", size.alias("n"), F.shiftright("mark", 2).bitwiseAND(1).alias("role"), F.col("mark").bitwiseAND(3).alias("weight")
-    )
-    lost = often.groupBy("cls", "role").agg(F.sum("weight").alias("lost"))
-    short = (
-        lost.join(classes.select("cls", "slack0", "slack1"), "cls")
-        .where(F.col("lost") > F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1")))
-        .select("cls", "role")
-    )
-    left = often.join(short, ["cls", "role"]).join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
+    left = held_back.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
         "sig", "cls", "n", F.coalesce("component", "cls").alias("component")
     )
-    open_ = left.withColumn("spread", F.min("component").over(whole) != F.max("component").over(whole)).where("spread")
-    open_ = stored(open_.select("sig", "cls", "n", "component"))
+    spread = F.min("component").over(whole) != F.max("component").over(whole)
+    open_ = stored(left.withColumn("spread", spread).where("spread").drop("spread"))
     if not open_.isEmpty():
         b = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "component")])
         rest = (

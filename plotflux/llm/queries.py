@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotflux.llm import jaccard, pii, url_filter, warc
+from plotflux.llm import jaccard, pii, quality, toxicity, url_filter, warc
 from plotflux.llm.mixing import mix_sources
 from plotflux.llm.secrets import secret_spans, span_text
 from plotflux.llm.shared import table
@@ -66,3 +66,16 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    judged = quality.judge_quality(docs, model)
+    return judged.select("_row.doc_id", *[F.col(f"_quality.{c}").alias(c) for c in ("document", "host", "path", "score", "keep")])
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
