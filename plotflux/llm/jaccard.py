@@ -68,8 +68,8 @@ def shingle_set(data: bytes | None, size: int = 5) -> np.ndarray:
 
 def class_of(s: np.ndarray) -> int:
     """Fingerprint of a set: texts with equal sets are one class."""
-    total = mix(s ^ _TOKEN).sum(dtype=np.uint64)
-    return int(mix(np.array([total + np.uint64(len(s)) * _BAND], np.uint64)).astype(np.int64)[0])
+    total = mix(s ^ _TOKEN).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.array([len(s)], np.uint64) * _BAND).astype(np.int64)[0])
 
 
 def _in_band(s: np.ndarray, band: int, partner: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -269,7 +269,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Infrequent signatures: all pairs of a group of at most FREQUENT sets, and how many they share.
     by_size = W.partitionBy("sig").orderBy("n", "cls")
     before = F.collect_list(F.struct("cls", "n", "role")).over(by_size.rowsBetween(1 - FREQUENT, -1))
-    few = shared.where(F.col("held") <= FREQUENT).select("cls", "n", "role", F.explode(before).alias("o"))
+    few = shared.where(F.col("held") <= FREQUENT).withColumn("before", before).select("cls", "n", "role", F.explode("before").alias("o"))
     few = few.where(_fitting(F.col("n"), F.col("o.n")) & (F.col("role") + F.col("o.role") < 2))
     few = few.groupBy(F.col("cls").alias("a"), F.col("role").alias("role_a"), F.col("o.cls").alias("b"), F.col("o.role").alias("role_b")).agg(F.count("*").alias("times"))
     for side in ("a", "b"):
@@ -282,7 +282,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held_back = stored(often.join(short, ["cls", "role"]).select("sig", "cls", "n"))
     around = F.collect_list("cls").over(by_size.rowsBetween(1 - FREQUENT, -1))
     first = F.first("cls").over(W.partitionBy("sig").orderBy("cls"))
-    many = held_back.select("cls", F.explode(F.array_union(around, F.array(first))).alias("other")).where("cls <> other").distinct()
+    many = held_back.withColumn("around", around).withColumn("first", first)
+    many = many.select("cls", F.explode(F.array_union("around", F.array("first"))).alias("other")).where("cls <> other").distinct()
     pairs = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(
         many.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"))
     )
