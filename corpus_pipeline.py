@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from plotflux.llm.decontaminate import decontaminate
+from plotflux.llm.jaccard import keep_one
 from plotflux.llm.mixing import mix_sources
+from plotflux.llm.quality import keep_good
+from plotflux.llm.secrets import redact_secrets
 from plotflux.llm.shared import stored, table
 
-#: The stages cannot be said in one SQL statement; tests hold every stage against a brute-force version.
+#: A trained classifier and edit distances have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return redact_secrets(docs)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the weighted mix takes of every document that is left."""
     return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("mixing", mix_to_weights)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("mixing_to_weights", mixing_to_weights),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, in_bit_map, mix, stored, word_hashes
+from plotflux.llm.shared import bit_map, in_bit_map, mix, stored, without_ids, word_hashes
 
 _PROBES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -270,11 +270,6 @@ def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], plan: P
     return np.concatenate(owners), np.concatenate(places), np.concatenate(keys)
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found; leaks of a null id take the rows without an id."""
-    ids = leaks.select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    return without_leaks(docs, stored(find_leaks(docs, items)))
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents in which no item was found, with their own columns."""
+    return without_ids(docs, find_leaks(docs, items, id_col).select(id_col), id_col)

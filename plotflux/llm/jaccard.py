@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, stored, word_hashes
+from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, stored, without_ids, word_hashes
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -321,3 +321,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are their group's smallest id, with their own columns.
+
+    An id stays if any of its rows is its group's smallest; of rows that repeat id and text one stays.
+    Rows without an id cannot be told apart and stay.
+    """
+    groups = stored(jaccard_groups(docs, id_col, text_col).withColumnRenamed(id_col, "_of"))
+    ids = groups.where("_of is not null").groupBy("_of").agg(
+        F.max((F.col("_of") == F.col("component_id")).cast("int")).alias("own"), F.count("*").alias("times")
+    )
+    ids = stored(ids)
+    kept = without_ids(docs, ids.where("own = 0").select("_of"), id_col)
+    repeated = ids.where("own = 1 and times > 1").select("_of")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, kept[id_col] == repeated["_of"], "left_semi").dropDuplicates([id_col, text_col])
+    return without_ids(kept, repeated, id_col).unionByName(again)

@@ -118,6 +118,11 @@ def fit_quality(
     return QualityModel([float(w) for w in model.coefficients.toArray()], float(model.intercept), base)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    return judge_quality(docs, fit_quality(docs, labels), keep_at=keep_at).where("_quality.keep").select("_row.*")
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -191,7 +196,7 @@ def judge_quality(
     narrow = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), signals.alias("signals"))
     scored = narrow.select("host", "path", (1 / (1 + F.exp(-model.logit(F.col("signals"))))).alias("p"))
     sites, rate, k_host, k_path = site_posteriors(scored)
-    lookup, _ = counted_broadcast(
+    lookup = counted_broadcast(
         sites.select(F.struct("host", "path", "s", "n", "host_s", "host_n").alias("_site"))
     )
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), signals.alias("_signals"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotflux.llm import decontaminate, jaccard, pii, quality, toxicity, url_filter, warc
+from plotflux.llm import decontaminate, jaccard, neighbours, pii, quality, toxicity, url_filter, warc
 from plotflux.llm.mixing import mix_sources
 from plotflux.llm.secrets import secret_spans, span_text
 from plotflux.llm.shared import table
@@ -84,3 +84,14 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Exact search in SQL, for comparison only: the operator is approximate.
+EXACT_NEIGHBOURS = """SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+  list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score
+FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id"""

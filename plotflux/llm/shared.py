@@ -37,10 +37,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ascii_lower(column: Column) -> Column:
     """Lower-case A to Z and leave every other character alone."""
     return F.translate(column, UPPER, LOWER)
@@ -161,11 +157,6 @@ def in_bit_map(filled: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (filled[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def spans_digest(spans: Column) -> Column:
-    """Lower-case hex SHA-256 of a digest string."""
-    return F.sha2(spans, 256)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id in ``edges``: columns ``id`` and ``component``.
 
@@ -207,11 +198,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
 
 
-def counted_broadcast(df: DataFrame, cells: int = 2_000_000) -> tuple[DataFrame, bool]:
+def counted_broadcast(df: DataFrame, cells: int = 2_000_000) -> DataFrame:
     """Store a statistics table; hint a broadcast when its counted size allows one."""
     kept = stored(df)
-    fits = kept.count() * max(1, len(kept.columns)) <= cells
-    return (F.broadcast(kept) if fits else kept), fits
+    return F.broadcast(kept) if kept.count() * max(1, len(kept.columns)) <= cells else kept
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; a null id matches a null id.
+
+    The ids are broadcast while counted small, so no text is shuffled; beyond, it is a shuffle join.
+    """
+    name = fresh(docs, ["gone"], "_")["gone"]
+    gone = counted_broadcast(ids.toDF(name).distinct())
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
 
 
 def fresh(df: DataFrame, names: Sequence[str], prefix: str) -> dict[str, str]:
