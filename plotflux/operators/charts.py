@@ -15,9 +15,14 @@ from plotflux.session import join_checked
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _number(column: str):
+    """The column as a double; NaN counts as missing, as it does for order statistics."""
+    return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count, one row per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    long = df.select(*[_number(c).alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
     basic = long.groupBy("column").agg(
@@ -41,7 +46,7 @@ def box_table(
     the quartile when no value lies between.
     """
     boxes = quantiles(df, value, QUARTILES, by, window_rows)
-    joined = join_checked(df.select(*by, value), boxes, by, "inner")
+    joined = join_checked(df.select(*by, _number(value).alias(value)), boxes, by, "inner")
     v, spread = F.col(value), F.col("q3") - F.col("q1")
     inside = v.between(F.col("q1") - spread * reach, F.col("q3") + spread * reach)
     same = ["n", *QUARTILES]
@@ -137,8 +142,10 @@ def smooth_band(lines: DataFrame, by: Sequence[str], points: int = 80, level: fl
     x = F.col("min_x") + (F.col("max_x") - F.col("min_x")) * F.col("_i") / (points - 1)
     d = F.col("x") - F.col("mean_x")
     error = F.col("sigma") * F.sqrt(1 / F.col("n") + F.try_divide(d * d, F.col("sxx")))
-    half = t_quantile(F.lit(0.5 + level / 2), F.col("n").cast("double") - 2) * error
+    half = F.col("_t") * error
     fit = F.col("intercept") + F.col("slope") * F.col("x")
+    # One quantile per line, worked out before the points are.
+    lines = lines.withColumn("_t", t_quantile(F.lit(0.5 + level / 2), F.col("n").cast("double") - 2))
     return (
         lines.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", x)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from plotflux.session import durable
 
-MAX_LEVELS = 100
-
 Term = tuple[str, ...]
 
 
@@ -34,13 +32,12 @@ def crossed(*products: Term) -> list[Term]:
     return sorted(found, key=len)
 
 
-def factor_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list[str]:
-    """Levels in alphabetical order; the first is the baseline."""
-    rows = df.select(column).distinct()
-    levels = [r[0] for r in rows.limit(limit + 1).collect()]
-    if len(levels) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; is it a factor?")
-    return sorted(levels)
+def factor_levels(df: DataFrame, column: str) -> list[str]:
+    """Levels in alphabetical order; the first is the baseline.
+
+    Each level is a column of the model, so the driver solves equations of their number.
+    """
+    return sorted(r[0] for r in df.select(column).distinct().collect())
 
 
 @dataclass

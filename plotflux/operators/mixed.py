@@ -25,12 +25,11 @@ from plotflux.session import BROADCAST_CELLS
 Evaluator = Callable[[Sequence[float], Sequence[float]], dict[tuple[int, int], tuple[np.ndarray, float]]]
 
 
-def _total(g: GroupedMoments) -> np.ndarray:
-    """Cross products of (1, columns, response) with columns centred at the grand mean."""
+def _within(g: GroupedMoments) -> np.ndarray:
+    """Cross products of (1, columns, response) around their group means; the constant has none."""
     size = len(g.mean) + 1
     out = np.zeros((size, size))
-    out[0, 0] = g.n
-    out[1:, 1:] = g.total
+    out[1:, 1:] = g.within
     return out
 
 
@@ -41,19 +40,21 @@ def local_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
     n = data["n"].to_numpy(dtype=float)
     z = np.column_stack([np.ones(len(n)), np.vstack(data["m"].to_numpy()) - g.mean])
     block = data[outer].astype("category").cat.codes.to_numpy() if outer else np.zeros(len(n), dtype=int)
-    total = _total(g)
+    within = _within(g)
 
     def evaluate(inner_ratios, outer_ratios):
+        # Sums of positive parts only: a difference of large totals would lose the digits.
         out = {}
         for i, lc in enumerate(inner_ratios):
             w = n / (1 + lc * n)
-            inner = total - (z * (lc * w * n)[:, None]).T @ z
             base = np.log1p(lc * n).sum()
             m = np.bincount(block, weights=w)
-            u = np.column_stack([np.bincount(block, weights=w * z[:, k]) for k in range(z.shape[1])])
+            centre = np.column_stack([np.bincount(block, weights=w * z[:, k]) for k in range(z.shape[1])]) / m[:, None]
+            apart = z - centre[block]
+            inner = within + (apart * w[:, None]).T @ apart
             for j, lb in enumerate(outer_ratios):
-                g_b = lb / (1 + lb * m)
-                out[i, j] = (inner - (u * g_b[:, None]).T @ u, base + np.log1p(lb * m).sum())
+                left = m / (1 + lb * m)
+                out[i, j] = (inner + (centre * left[:, None]).T @ centre, base + np.log1p(lb * m).sum())
         return out
 
     return evaluate
@@ -63,7 +64,7 @@ def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
     """Evaluate in Spark, one job per grid of ratios."""
     size = len(g.mean) + 1
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    total = _total(g)
+    within = _within(g)
     groups = g.groups.selectExpr(
         f"`{outer}` as b" if outer else "0 as b",
         "cast(n as double) as n",
@@ -83,14 +84,15 @@ def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
             .agg(
                 F.expr("sum(w) as m"),
                 F.expr("sum(log1p(lc * n)) as d"),
-                *[F.expr(f"sum(w * z{i}) as u{i}") for i in range(size)],
-                *[F.expr(f"sum(lc * w * n * z{i} * z{j}) as p{k}") for k, (i, j) in enumerate(pairs)],
+                *[F.expr(f"sum(w * z{i}) / sum(w) as c{i}") for i in range(size)],
+                *[F.expr(f"sum(w * z{i} * z{j}) as p{k}") for k, (i, j) in enumerate(pairs)],
             )
         )
-        taken = ", ".join(f"sum(p{k} + g * u{i} * u{j})" for k, (i, j) in enumerate(pairs))
+        # Around the block's centre: the cross products there, plus what the outer variance leaves of the centre.
+        taken = ", ".join(f"sum(p{k} - m * c{i} * c{j} + g * c{i} * c{j})" for k, (i, j) in enumerate(pairs))
         sums = (
             per_block.selectExpr("*", grid(outer_ratios, "lb"))
-            .selectExpr("*", "lb / (1 + lb * m) as g")
+            .selectExpr("*", "m / (1 + lb * m) as g")
             .groupBy("lci", "lbi")
             .agg(F.expr("sum(d + log1p(lb * m)) as d"), F.expr(f"array({taken}) as taken"))
         )
@@ -99,7 +101,7 @@ def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
             taken = np.zeros((size, size))
             taken[np.triu_indices(size)] = row["taken"]
             taken = taken + np.triu(taken, 1).T
-            out[row["lci"], row["lbi"]] = (total - taken, row["d"])
+            out[row["lci"], row["lbi"]] = (within + taken, row["d"])
         return out
 
     return evaluate
@@ -157,9 +159,10 @@ def _search(evaluate: Evaluator, df: int, nested: bool, points: int = 17, rounds
                 best = (value, grids[0][i], grids[1][j])
         for k in (0, 1):
             ratio = best[k + 1]
+            # A best ratio of zero keeps its width, so a later improvement stays in reach.
             if ratio > 0:
                 centre[k] = float(np.log(ratio))
-            width[k] /= points / 4
+                width[k] /= points / 4
     return best
 
 

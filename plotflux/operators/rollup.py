@@ -125,7 +125,8 @@ def summary_sets(
 
     Readings are reduced once to (n, mean, m2) per combination of all grouping
     columns; the groupings then merge those few cells, so the readings are not
-    repeated once per grouping. ``grouping`` names the set a row belongs to.
+    repeated once per grouping. Cells are merged around the grand mean, so a mean that is
+    large against its spread costs no digits. ``grouping`` names the set a row belongs to.
     """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
     cells = df.groupBy(*keys).agg(
@@ -139,11 +140,15 @@ def summary_sets(
             )
         ]
     )
+    grand = df.agg(F.struct(*[F.avg(c).alias(f"g_{c}") for c in columns]).alias("g")).select("g").scalar()
+    cells = cells.withColumns({f"m_{c}": F.col(f"m_{c}") - grand.getField(f"g_{c}") for c in columns})
+    cells = cells.withColumns({f"g_{c}": grand.getField(f"g_{c}") for c in columns})
     merged = []
     for c in columns:
         n, m, q = F.sum(f"n_{c}"), F.col(f"m_{c}"), F.sum(f"q_{c}")
-        centre = F.try_divide(F.sum(m * F.col(f"n_{c}")), n)
-        spread = q + F.sum(F.col(f"n_{c}") * m * m) - n * centre * centre
+        shift = F.try_divide(F.sum(m * F.col(f"n_{c}")), n)
+        spread = q + F.sum(F.col(f"n_{c}") * m * m) - n * shift * shift
+        centre = F.max(f"g_{c}") + shift
         merged += [
             centre.alias(f"mean_{c}"),
             F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias(f"sd_{c}"),

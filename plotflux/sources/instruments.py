@@ -17,7 +17,7 @@ from plotflux.functions.scalars import (
 from plotflux.sources.tables import TableSpec, choose, read_header_files
 
 # File names and columns of the instruments' exports.
-LOGGER_FILE_PATTERN = r"data_942[0-1]6[1-6][0-9]{2}_[0-4].csv"
+LOGGER_FILE_PATTERN = r"^data_[0-9A-Za-z]+_[0-9]+\.csv$"
 LOGGER_COLUMNS = ("index", "datetime", "timezone", "t1", "t2", "t3", "soilm_count")
 LOGGER_SCHEMA = (
     "index string, datetime string, timezone string, t1 string, t2 string, t3 string, "
@@ -85,10 +85,13 @@ def logger_columns(raw: DataFrame, file_pattern: str) -> DataFrame:
 def read_logger_files(
     spark: SparkSession, folder: str, file_pattern: str = LOGGER_FILE_PATTERN
 ) -> DataFrame:
-    """All logger files of a folder: headerless, separated by semicolons."""
+    """All logger files of a folder and its sub-folders: headerless, separated by semicolons.
+
+    ``file_pattern`` alone decides which file names count, for any number of sensors.
+    """
     raw = (
         spark.read.schema(LOGGER_SCHEMA)
-        .options(sep=";", header=False, pathGlobFilter="data_*.csv", recursiveFileLookup=True)
+        .options(sep=";", header=False, recursiveFileLookup=True)
         .csv(folder)
     )
     return logger_columns(raw, file_pattern)

@@ -13,7 +13,6 @@ from plotflux.operators.clean import CONTROL_SAMPLE_PATTERN, exclude_matching
 # Layout of the carbon analyser's files.
 PREAMBLE_LINES = 9
 CARBON_COLUMNS = {"Sample Name": "sample_id", "Result(NPOC)": "npoc_mg_l", "Result(TN)": "tdn_mg_l"}
-MAX_FIELDS = 64
 
 
 def read_by_header(
@@ -23,21 +22,14 @@ def read_by_header(
     preamble: int = 0,
     glob: str = "*.csv",
     sep: str = ",",
-    max_fields: int = MAX_FIELDS,
 ) -> DataFrame:
     """Text columns picked by the header of each file, whatever its column order.
 
     One row of the scan is one whole file, since the header counts for the lines
     below it; this is for laboratory runs, which are small and many. A file
-    without one of the headers stops the job.
+    without one of the headers stops the job. Files may have any number of columns: the
+    longest header is measured first.
     """
-    fields = ", ".join(f"c{i} string" for i in range(max_fields))
-    options = {"sep": sep, "nullValue": "NA"}
-
-    def parsed(line):
-        values = F.from_csv(line, fields, options)
-        return F.array(*[values.getField(f"c{i}") for i in range(max_fields)])
-
     files = (
         spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .select(
@@ -45,6 +37,15 @@ def read_by_header(
             F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("path"),
         )
     )
+    header = F.get("lines", F.lit(preamble))
+    width = files.agg(F.max(F.size(F.split(header, "\\Q" + sep + "\\E")))).collect()[0][0] or 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": sep, "nullValue": "NA"}
+
+    def parsed(line):
+        values = F.from_csv(line, fields, options)
+        return F.array(*[values.getField(f"c{i}") for i in range(width)])
+
     lines = (
         files.withColumn("header", parsed(F.get("lines", F.lit(preamble))))
         .withColumn("line", F.explode(F.slice("lines", preamble + 2, F.greatest(F.size("lines"), F.lit(1)))))

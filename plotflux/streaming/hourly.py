@@ -4,43 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from plotflux.operators.rollup import measures
 from plotflux.sources.instruments import LOGGER_FILE_PATTERN, LOGGER_SCHEMA, logger_columns
 
 
 def stream_logger_files(
     spark: SparkSession, folder: str, file_pattern: str = LOGGER_FILE_PATTERN, files_per_batch: int = 1000
 ) -> DataFrame:
-    """The folder's files as a stream with the columns of ``read_logger_files``."""
+    """The files of a folder and its sub-folders as a stream with the columns of ``read_logger_files``."""
     raw = (
         spark.readStream.schema(LOGGER_SCHEMA)
-        .options(sep=";", header=False, pathGlobFilter="data_*.csv", maxFilesPerTrigger=files_per_batch)
+        .options(sep=";", header=False, recursiveFileLookup=True, maxFilesPerTrigger=files_per_batch)
         .csv(folder)
     )
     return logger_columns(raw, file_pattern)
 
 
-def hourly_stream(
-    readings: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    ts: str = "ts_utc",
-    stats: Sequence[str] = ("mean",),
-    lateness: str = "2 days",
+def hourly_partials(
+    readings: DataFrame, partials: str, checkpoint: str, keys: Sequence[str], columns: Sequence[str], ts: str = "ts_utc"
+) -> StreamingQuery:
+    """Start writing each batch's sums per key and hour below ``partials``; nothing is ever too late.
+
+    Loggers are read out one after the other, weeks apart, so no watermark fits them all. A batch
+    writes the count, mean and squared deviations of its own readings into the folder of its
+    number, and overwrites it when it runs again; ``merge_hours`` puts the batches together. Both folders
+    must be shared by all executors.
+    """
+    hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour_start")
+    parts = [
+        x
+        for c in columns
+        for x in (
+            F.count(c).alias(f"n_{c}"),
+            F.avg(c).alias(f"m_{c}"),
+            (F.var_pop(c) * F.count(c)).alias(f"q_{c}"),
+        )
+    ]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys, hour).agg(*parts).write.mode("overwrite").parquet(f"{partials}/batch={number}")
+
+    return readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def merge_hours(
+    spark: SparkSession, partials: str, keys: Sequence[str], columns: Sequence[str], stats: Sequence[str] = ("mean",)
 ) -> DataFrame:
-    """Per key and hour, emitted once the watermark has passed the hour.
+    """The hourly table of all batches so far, equal to the batch roll-up: ``stats`` of mean, sd and n.
 
-    Loggers are read out weeks apart; ``lateness`` must cover the longest delay
-    between files whose hours overlap, since later rows are not counted.
-    State is one row of partial sums per key and open hour.
+    An hour whose readings came in several batches has a row in each; they are merged by their counts,
+    around a common centre so that large means cost no digits.
     """
-    timed = readings.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
-    return (
-        timed.groupBy(*keys, F.window("_ts", "1 hour").alias("_w"))
-        .agg(*measures(columns, stats))
-        .select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("hour_start"),
-                *[f"{s}_{c}" for c in columns for s in stats])
+    rows = spark.read.parquet(partials)
+    centres = rows.groupBy(*keys, "hour_start").agg(
+        *[F.max(f"m_{c}").alias(f"_c_{c}") for c in columns],
+        F.collect_list(F.struct(*[f"{k}_{c}" for c in columns for k in "nmq"])).alias("_parts"),
     )
+    out: list[Column] = []
+    for c in columns:
+        n = _sum("n", c)
+        shift = F.try_divide(_sum("nm", c), n)
+        spread = _sum("q", c) + _sum("nmm", c) - n * shift * shift
+        made = {
+            "n": n.cast("long"),
+            "mean": F.col(f"_c_{c}") + shift,
+            "sd": F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))),
+        }
+        out += [made[s].alias(f"{s}_{c}") for s in stats]
+    return centres.select(*keys, "hour_start", *out)
+
+
+def _sum(what: str, column: str) -> Column:
+    """Sum over an hour's batches of n, q, or n times the (squared) distance of the mean from the centre."""
+
+    def part(p: Column) -> Column:
+        away = F.coalesce(p[f"m_{column}"] - F.col(f"_c_{column}"), F.lit(0.0))
+        n = p[f"n_{column}"].cast("double")
+        return {"n": n, "q": F.coalesce(p[f"q_{column}"], F.lit(0.0)), "nm": n * away, "nmm": n * away * away}[what]
+
+    return F.aggregate("_parts", F.lit(0.0), lambda total, p: total + part(p))

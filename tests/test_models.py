@@ -9,12 +9,12 @@ import pytest
 
 from plotflux.functions import pvalues
 from plotflux.operators.design import crossed
-from plotflux.operators.linear import anova_oneway, anova_strata, linear_model
-from plotflux.operators.mixed import mixed_model
+from plotflux.operators.linear import GroupedMoments, anova_oneway, anova_strata, linear_model
+from plotflux.operators.mixed import local_evaluator, mixed_model, spark_evaluator
 from plotflux.operators.outliers import outlier_rows
 from plotflux.plans.soil import treatment_model
 
-# Soil samples of 34 collars, published with the experiment: percent carbon, C/N, mg ammonium per kg.
+# Soil samples of 34 collars, published with the experiment: percent carbon, C/N, mg ammonium per kg.
 SOIL = [
     ("1-2-con", 5.81, 12.4, 5.270624), ("1-2-war", 5.63, 13.4, 4.541004),
     ("1-4-con", 4.76, 11.6, 5.319658), ("1-4-war", 11.67, 13.7, 6.884670),
@@ -241,3 +241,39 @@ def test_no_group_variance_equals_least_squares(spark):
     assert mixed.variances["g"] == 0
     assert np.allclose(mixed.estimate, plain.estimate) and np.allclose(mixed.covariance, plain.covariance)
     assert np.allclose(mixed.df, 58, atol=1e-2)
+
+
+def test_tail_probabilities_are_continuous_in_df():
+    for f, df1 in ((50.0, 1.0), (200.0, 1.0), (30.0, 4.0), (0.5, 2.0)):
+        below, above = (float(pvalues.f_p(f, df1, df)) for df in (9.999999e6, 1.0000001e7))
+        assert abs(above / below - 1) < 1e-6
+        limit = float(pvalues.f_p(f, df1, math.inf))
+        gaps = [abs(float(pvalues.f_p(f, df1, df)) / limit - 1) for df in (1e5, 1e6, 1e8, 1e10)]
+        assert gaps == sorted(gaps, reverse=True) and gaps[-1] < 1e-4
+    # With one numerator degree of freedom F is a squared t.
+    for df in (12.0, 1e6, 1e9):
+        assert abs(float(pvalues.f_p(6.25, 1.0, df)) / float(pvalues.t_p(2.5, df)) - 1) < 1e-9
+    assert abs(float(pvalues.t_p(1.959963984540054, 1e12)) - 0.05) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [1e3, 1e10])
+def test_weighted_products_keep_their_digits(spark, rows):
+    """Huge groups: the constant's entry is a sum of positive parts, one per group."""
+    count, ratio = 30, 100.0
+    data = [(f"g{k}", rows, [float(k % 7), 2.0 * (k % 3)]) for k in range(count)]
+    groups = spark.createDataFrame(data, "g string, n double, m array<double>")
+    means = np.array([d[2] for d in data])
+    spread = np.diag([rows * count, rows * count])
+    between = rows * (means - means.mean(0)).T @ (means - means.mean(0))
+    g = GroupedMoments(groups, int(rows * count), count, means.mean(0), spread + between, between)
+    want = count * rows / (1 + ratio * rows)
+    for evaluator in (local_evaluator, spark_evaluator):
+        weighted, log_det = evaluator(g, None)([ratio], [0.0])[0, 0]
+        assert abs(weighted[0, 0] / want - 1) < 1e-9
+        assert abs(log_det / (count * math.log1p(ratio * rows)) - 1) < 1e-12
+
+
+def test_factor_of_many_levels(spark):
+    data = [(f"p{k:03d}", float(k) + r) for k in range(150) for r in (0.0, 1.0, 2.0)]
+    fit = linear_model(spark.createDataFrame(data, "plot string, y double"), "y", [("plot",)], ["plot"])
+    assert len(fit.names) == 150 and abs(fit.estimate[149] - 149) < 1e-8

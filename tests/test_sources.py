@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotflux.plans import flux, microclimate, soil
 from plotflux.sources import instruments, laboratory, tables
-from plotflux.streaming.hourly import hourly_stream, stream_logger_files
+from plotflux.streaming.hourly import hourly_partials, merge_hours, stream_logger_files
 
 BOM = "﻿"
 COLLARS = [(b, p, t) for b in (1, 2) for p in (2 * b, 2 * b + 1) for t in ("con", "war")]
@@ -118,7 +118,9 @@ def test_registry_without_mark_and_carriage_return(spark, site):
 
 
 def test_logger_files(spark, site):
-    df = instruments.read_logger_files(spark, str(site / "logger data"))
+    # Every serial number counts unless the pattern narrows it.
+    assert instruments.read_logger_files(spark, str(site / "logger data")).count() == 8 * 36 + 1
+    df = instruments.read_logger_files(spark, str(site / "logger data"), r"^data_942[01]6[1-6][0-9]{2}_[0-4]\.csv$")
     assert df.count() == 8 * 36 and df.where("subsoil_t is null or ts_utc is null").count() == 0
     first = df.where(F.col("index") == 0).orderBy("sensor_id").first()
     assert first["sensor_id"] == sensor(0) and first["filename"] == f"data_{sensor(0)}_0.csv"
@@ -307,20 +309,42 @@ def test_daily_and_season_models(spark, site, prepared):
     assert block.names == ["(intercept)", "block[2]", "treatment[warming]", "block[2]:treatment[warming]"]
 
 
-def test_hourly_stream_equals_batch(spark, site, tmp_path):
-    folder = str(site / "logger data")
-    stream = hourly_stream(stream_logger_files(spark, folder), ["sensor_id"], ["air_t"], stats=("mean", "n"))
-    query = (
-        stream.writeStream.format("memory").queryName("hours").outputMode("complete")
-        .option("checkpointLocation", str(tmp_path / "state")).start()
-    )
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
+def test_hourly_stream_equals_batch(spark, tmp_path):
+    """Many one-file batches, sub-folders, a sensor that comes last, hours split between files."""
+    folder = tmp_path / "loggers"
+    for day in range(6):
+        for sensor in range(3):
+            place = folder / f"visit {sensor}"
+            place.mkdir(parents=True, exist_ok=True)
+            lines = [
+                f"{k};2023.0{sensor + 1}.1{day} {k // 4:02d}:{15 * (k % 4):02d};0;{1 + k};2,5;{1e9 + sensor + k % 7};300;0;0;"
+                for k in range(day % 2, 96, 2)
+            ]
+            (place / f"data_9420610{sensor}_{day}.csv").write_text("\n".join(lines))
+    (folder / "notes.csv").write_text("a;b")
+    keys, partials = ["sensor_id"], str(tmp_path / "partials")
+
+    def run():
+        query = hourly_partials(
+            stream_logger_files(spark, str(folder), files_per_batch=1), partials, str(tmp_path / "state"), keys, ["air_t"]
+        )
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return merge_hours(spark, partials, keys, ["air_t"], ("mean", "n", "sd"))
+
+    first = run().count()
+    late = folder / "visit 0" / "data_94206100_99.csv"
+    late.write_text("1;2023.01.10 00:10;0;1;2;1000000003;300;0;0;")
+    merged = run()
     batch = (
-        instruments.read_logger_files(spark, folder)
+        instruments.read_logger_files(spark, str(folder))
         .groupBy("sensor_id", F.date_trunc("hour", "ts_utc").cast("timestamp_ntz").alias("hour_start"))
-        .agg(F.avg("air_t"), F.count("air_t"))
+        .agg(F.avg("air_t"), F.count("air_t"), F.stddev_samp("air_t"))
     )
-    assert rows(spark.table("hours")) == rows(batch)
+    got, want = rows(merged), rows(batch)
+    assert first == len(want) == 3 * 6 * 24
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-6
+        assert (a[4] is None) == (b[4] is None) and (a[4] is None or abs(a[4] - b[4]) < 1e-6)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plotflux import session
 from plotflux.operators import clean, joins, reshape, rollup
 from plotflux.operators.integrate import trapezoid
+from plotflux.operators.rollup import summary_sets
 
 
 def day(text):
@@ -234,3 +235,17 @@ def test_trapezoid_of_a_hot_group_equals_brute_force(spark):
 def test_area_of_a_constant_and_ties(spark):
     df = spark.createDataFrame([("a", 0.0, 2.0), ("a", 4.0, 1.0), ("a", 4.0, 3.0)], "k string, x double, y double")
     assert rows(trapezoid(df, ["k"], "x", "y")) == [("a", 8.0)]
+
+
+def test_summary_sets_of_values_far_from_zero(spark):
+    """A large common offset leaves means and spreads of all groupings exact."""
+    data = [(k % 3, k % 2, 1.7e9 + (k * 37 % 101) / 25, None if k % 5 == 0 else 1e9 + k % 4) for k in range(600)]
+    df = spark.createDataFrame(data, "a int, b int, x double, y double")
+    sets = {"a": ["a"], "b": ["b"], "a x b": ["a", "b"]}
+    for r in summary_sets(df, sets, ["x", "y"]).collect():
+        mine = [d for d in data if (r["a"] is None or d[0] == r["a"]) and (r["b"] is None or d[1] == r["b"])]
+        for c, at in (("x", 2), ("y", 3)):
+            values = [d[at] for d in mine if d[at] is not None]
+            centre = math.fsum(values) / len(values)
+            sd = math.sqrt(math.fsum((v - centre) ** 2 for v in values) / (len(values) - 1))
+            assert abs(r[f"mean_{c}"] - centre) < 1e-5 and abs(r[f"sd_{c}"] - sd) < 1e-6
