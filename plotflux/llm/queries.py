@@ -95,3 +95,40 @@ def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 EXACT_NEIGHBOURS = """SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
   list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score
 FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id"""
+
+
+ORACLE["op3_jaccard"] = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+    THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words),
+sizes AS (
+  SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN sets s USING (doc_id) GROUP BY d.doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * same >= 75 * (x.n + y.n - same)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = sizes.doc_id) AS component_id FROM sizes"""
+
+# Base32 of the 160 bits of a SHA-1, five at a time.
+ORACLE["op7_warc"] = """WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(body) AS n, sha1(body) AS h, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM payloads),
+digests AS (
+  SELECT page_id, n, h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(
+    [CAST(substr(bits, CAST(i + k + 1 AS BIGINT), 1) AS INTEGER) * (16 >> CAST(k AS INTEGER)) FOR k IN range(0, 5)]) AS INTEGER), 1)
+    FOR i IN range(0, 160, 5)], '') AS d
+  FROM hashed),
+firsts AS (SELECT h, min(page_id) AS first FROM hashed GROUP BY h)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests JOIN firsts USING (h)"""
