@@ -142,16 +142,8 @@ _PRIORITIES = ("1-URGENT", "3-MEDIUM", "2-HIGH", "5-LOW")
   CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '5-LOW' THEN 4 END AS imposed
 FROM orders""")
 def factor_levels(spark, folder):
-    from pyspark.sql import Window
-
-    # Distinct levels first: the window then sees one row per level.
-    levels = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("level")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("level")
-    return levels.select(
-        "level",
-        F.dense_rank().over(order).alias("alphabetical"),
-        level_order("level", _PRIORITIES).alias("imposed"),
-    )
+    levels = clean.level_table(table(spark, folder, "orders"), "o_orderpriority")
+    return levels.select("level", "alphabetical", level_order("level", _PRIORITIES).alias("imposed"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((CAST(l_linenumber AS DOUBLE) + l_quantity

@@ -34,32 +34,28 @@ def flux_microclimate_join(spark, folder):
 
 
 @query("""WITH d AS (SELECT CASE WHEN doc_id % 100 = 7 THEN NULL ELSE doc_id END AS doc_id, lang, n_chars FROM documents),
-l AS (SELECT nullif(doc_id, 7) AS doc_id, quality, toxic FROM labels WHERE doc_id < 20 OR doc_id % 100 <> 7)
+l AS (SELECT nullif(doc_id, 7) AS doc_id, quality, toxic FROM labels)
 SELECT d.doc_id AS doc_id, lang, n_chars, quality, toxic FROM d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def natural_left_join(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.when(F.col("doc_id") % 100 != 7, F.col("doc_id")).alias("doc_id"), "lang", "n_chars"
     )
-    labels = table(spark, folder, "labels").where("doc_id < 20 OR doc_id % 100 <> 7").withColumn(
-        "doc_id", F.nullif("doc_id", F.lit(7))
-    )
+    labels = table(spark, folder, "labels").withColumn("doc_id", F.nullif("doc_id", F.lit(7)))
     return natural_join(docs, labels)
 
 
 @query(f"""WITH {READINGS}, h AS (
   SELECT plot, CAST(ts AS DATE) AS day, hour(ts) AS hour, avg(k) AS mean_k
-  FROM readings WHERE channel = 'view' GROUP BY 1, 2, 3)
+  FROM readings GROUP BY 1, 2, 3)
 SELECT event_id, count(hour) AS n_hours, round(avg(mean_k), 6) AS mean_k
 FROM readings LEFT JOIN h ON readings.plot = h.plot AND CAST(ts AS DATE) = h.day
-WHERE channel = 'click' GROUP BY event_id""")
+GROUP BY event_id""")
 def many_to_many_join(spark, folder):
     r = readings(spark, folder)
-    hourly = hourly_rollup(r.where("channel = 'view'"), ["plot"], "ts", ["k"]).select(
+    hourly = hourly_rollup(r, ["plot"], "ts", ["k"]).select(
         "plot", F.col("hour_start").cast("date").alias("day"), F.hour("hour_start").alias("hour"), "mean_k"
     )
-    observed = r.where("channel = 'click'").select(
-        "event_id", "plot", F.col("ts").cast("date").alias("day")
-    )
+    observed = r.select("event_id", "plot", F.col("ts").cast("date").alias("day"))
     # At most 24 hours match a plot's day; the repeats are averaged away again.
     joined = natural_join(observed, hourly, "left", "many-to-many")
     out = joined.groupBy("event_id").agg(
@@ -86,12 +82,13 @@ def registry_inner_join(spark, folder):
     return rounded(means.join(registry, "collar", "inner"), 6, "mean_flux")
 
 
-@query("""WITH a AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0),
-b AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH a AS (SELECT doc_id, lang FROM documents),
+b AS (SELECT doc_id + 50 AS doc_id, quality, toxic FROM labels)
 SELECT doc_id, lang, quality, toxic FROM a FULL JOIN b USING (doc_id)""")
 def full_outer_join(spark, folder):
-    docs = table(spark, folder, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang")
-    labels = table(spark, folder, "labels").where("doc_id % 2 = 0")
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    # Moved keys, so that both sides have rows without a partner.
+    labels = table(spark, folder, "labels").withColumn("doc_id", F.col("doc_id") + 50)
     return natural_join(docs, labels, "full")
 
 

@@ -205,9 +205,9 @@ def season_plot_rollup(spark, folder):
 @query(f"""WITH {READINGS}
 SELECT CAST(hour(ts) AS INTEGER) AS hour, channel, treatment, round(avg(value), 6) AS mean_value,
   round(stddev_samp(value), 6) AS sd_value
-FROM readings WHERE channel <> 'error' GROUP BY 1, 2, 3""")
+FROM readings GROUP BY 1, 2, 3""")
 def hour_of_day_profile(spark, folder):
-    r = readings(spark, folder).where(F.col("channel") != "error").withColumn("hour", F.hour("ts"))
+    r = readings(spark, folder).withColumn("hour", F.hour("ts"))
     out = summarise(r, ["hour", "channel", "treatment"], ["value"])
     return rounded(out, 6, "mean_value", "sd_value")
 
@@ -287,10 +287,9 @@ def smooth_band(spark, folder):
 
 
 @query(f"""WITH {FLUXES}
-SELECT temperature, flux, treatment, season FROM fluxes WHERE quality > 0.08""")
+SELECT temperature, flux, treatment, season FROM fluxes WHERE temperature IS NOT NULL AND flux IS NOT NULL""")
 def scatter_table(spark, folder):
-    good = fluxes(spark, folder).where(F.col("quality") > 0.08)
-    return charts.scatter_table(good, "temperature", "flux", "treatment", "season")
+    return charts.scatter_table(fluxes(spark, folder), "temperature", "flux", "treatment", "season")
 
 
 @query(f"""WITH {FLUXES}, t AS (

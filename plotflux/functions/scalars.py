@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text formats found in the instrument files.
-FLUX_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "M/d/yy H:mm")
+FLUX_DATE_FORMATS = (
+    "yyyy-M-d H:mm:ss[.SSS]", "M/d/yyyy H:mm[:ss]", "M/d/yy H:mm[:ss]",
+    "yyyy-M-d'T'H:mm:ss[.SSS]['Z']", "yyyy/M/d H:mm[:ss]", "yyyy.M.d H:mm[:ss]", "M-d-yyyy H:mm[:ss]",
+)
 LOGGER_DATE_FORMATS = ("yyyy.MM.dd HH:mm", "dd.MM.yyyy HH:mm")
 CAMPAIGN_DATE_FORMATS = ("M/d/yy",)
 LOCAL_ZONE = "Etc/GMT+6"  # six hours behind UTC, without daylight saving

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotflux.functions.scalars import parse_date
-from plotflux.session import null_safe_join
+from plotflux.session import durable, null_safe_join
 
 # Control samples in the laboratory files, quality cut-off of a flux fit.
 CONTROL_SAMPLE_PATTERN = "CHECK|BKL|STD|Untitled"
@@ -102,3 +102,23 @@ def constant_lookup(df: DataFrame, key: str, values: Mapping, name: str) -> Data
         [(str(k), float(v)) for k, v in values.items()], "_key string, _value double"
     ).select(F.col("_key").cast(key_type).alias("_key"), F.col("_value").alias(name))
     return df.join(F.broadcast(table), df[key] == table["_key"], "left").drop("_key")
+
+
+def level_table(df: DataFrame, column: str) -> DataFrame:
+    """Levels of a factor and their alphabetical place, from 1: ``level``, ``alphabetical``.
+
+    Places are counted within ranges of levels and shifted by the ranges' sizes, so
+    any number of levels is ordered without one task seeing them all. Missing is no level.
+    """
+    levels = durable(df.select(F.col(column).alias("level")).where("level is not null").distinct())
+    ranged = durable(levels.repartitionByRange("level").withColumn("_range", F.spark_partition_id()))
+    sizes = dict(ranged.groupBy("_range").count().collect())
+    before, offset = {}, 0
+    for part in sorted(sizes):
+        before[part] = offset
+        offset += sizes[part]
+    if not before:
+        return ranged.select("level", F.lit(None).cast("int").alias("alphabetical"))
+    shift = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("level"))
+    return ranged.select("level", (place + F.element_at(shift, F.col("_range"))).cast("int").alias("alphabetical"))

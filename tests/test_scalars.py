@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -145,3 +146,12 @@ def test_bulk_density_of_blocks(spark):
     out = rows(summarise(df.withColumn("d", units.bulk_density("dry")), ["block"], ["d"]))
     for (_, mean, sd), (m, s) in zip(out, ((1.00, 0.0551), (0.58, 0.1617), (0.87, 0.1291))):
         assert abs(mean - m) < 0.005 and abs(sd - s) < 5e-4
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["2022-01-05 07:30:00", "2022-1-5 7:30:00.250", "2022-01-05T07:30:00Z", "2022/1/5 07:30", "2022.01.05 07:30:00", "1/5/2022 7:30", "1/5/22 7:30:00", "1-5-2022 7:30"],
+)
+def test_dates_of_many_exports(spark, text):
+    (got,) = one(spark, text, "string", scalars.parse_timestamp("x", scalars.FLUX_DATE_FORMATS))
+    assert got.replace(microsecond=0).isoformat() == "2022-01-05T07:30:00"
