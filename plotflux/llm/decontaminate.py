@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,13 +101,14 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
                             pa.array(keys.astype(np.int64)),
                             pa.array([item.as_py()] * len(keys), batch.schema.field(0).type),
                             pa.array(starts, pa.int64()),
+                            pa.array([len(words)] * len(keys), pa.int64()),
                             pa.array(probes, pa.list_(pa.int64())),
                         ],
-                        names=["key", "item", "start", "probes"],
+                        names=["key", "item", "start", "words", "probes"],
                     )
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"key long, item {kind}, start long, probes array<long>")
+    return items.mapInArrow(run, f"key long, item {kind}, start long, words long, probes array<long>")
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -150,8 +152,9 @@ def find_leaks(
     Document windows as long as the band of item sizes asks for are embedded by the random walk (edit
     distance becomes Hamming distance) and hashed at sampled places; the number of repetitions follows from
     the target recall. Keys that no item has are dropped where they arise, by a bit map of the items'
-    keys whose size is fixed; the rest meet the items by a shuffle join on the key, and every hit is
-    checked by the exact distance between the item and the text around it. The whole text of every
+    keys whose size is fixed; the rest (ids and places, no text) meet the items by a shuffle join on the key.
+    Documents with a hit are read again and every hit is checked by the exact distance between the item
+    and the text around it. The whole text of every
     document is walked. Exact copies agree everywhere, so they are always found.
 
     Null, empty and blank texts hold nothing, and such items match nothing; items of up to nine words
@@ -172,7 +175,6 @@ def find_leaks(
     filled = bit_map(keys.select(F.explode("probes").alias("h")), "h", bits)
     sizes = wanted.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n")).where("n > 0")
     bands = sorted(r["b"] for r in sizes.select(F.floor(F.log2("n")).cast("int").alias("b")).distinct().collect())
-    widest = (2 << max(bands)) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,32 +193,53 @@ def find_leaks(
                     continue
                 owner, start, key = found
                 begins = np.concatenate(([0], np.cumsum(lengths)))
-                # The words around a hit travel with it; few pass the bit map.
-                regions, lows = [], []
-                for doc, place in zip(owner, start):
-                    low = max(0, int(place - begins[doc]) - widest)
-                    regions.append(parts[doc][low : int(place - begins[doc]) + 2 * widest].astype(np.int64))
-                    lows.append(low)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[first + int(d)] for d in owner], batch.schema.field(0).type),
                         pa.array(key.astype(np.int64)),
-                        pa.array([int(p - begins[d]) for d, p in zip(owner, start)], pa.int64()),
-                        pa.array(lows, pa.int64()),
-                        pa.array(regions, pa.list_(pa.int64())),
+                        pa.array(start - begins[owner], pa.int64()),
                     ],
-                    names=["id", "key", "place", "low", "region"],
+                    names=["id", "key", "place"],
                 )
 
-    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, key long, place long, low long, region array<long>"
-    )
-    met = hits.join(keys.select("key", "item", F.col("start").alias("offset")), "key")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    hits = texts.mapInArrow(run, f"id {kind}, key long, place long")
     # One check per document, item and alignment, however many tables agree on it.
-    met = met.groupBy("id", "item", (F.col("place") - F.col("offset")).alias("line")).agg(
-        F.first(F.struct("low", "region")).alias("hit")
-    )
-    checked = met.select("id", "item", "line", "hit.low", "hit.region").join(wanted, "item")
+    met = hits.join(keys.select("key", "item", "words", F.col("start").alias("offset")), "key")
+    met = stored(met.select("id", "item", "words", (F.col("place") - F.col("offset")).alias("line")).distinct())
+    # Only documents with a hit are read again, picked by a bit map of their ids, and cut to what is compared.
+    owners = met.select("id").distinct()
+    id_bits = min(27, max(12, math.ceil(math.log2(64 * owners.count() + 1))))
+    named = bit_map(owners.select(F.xxhash64("id").alias("h")), "h", id_bits)
+
+    @F.pandas_udf("boolean")
+    def may_hold(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bit_map(named, id_bits, hashes.to_numpy()))
+
+    lines = met.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("item", "words", "line")).alias("lines"))
+    picked = texts.where(may_hold(F.xxhash64("id"))).join(lines, F.col("id").eqNullSafe(F.col("of")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column(1)[k].as_py()
+                words = word_hashes(text.encode()).astype(np.int64) if text else np.empty(0, np.int64)
+                listed = batch.column(2)[k].as_py()
+                lows = [min(max(0, x["line"] - int(plan.max_rate * x["words"])), len(words)) for x in listed]
+                ends = [max(0, x["line"]) + x["words"] + 2 * int(plan.max_rate * x["words"]) + 1 for x in listed]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column(0)[k].as_py()] * len(listed), batch.schema.field(0).type),
+                        pa.array([x["item"] for x in listed], batch.schema.field(2).type.value_type.field("item").type),
+                        pa.array(lows, pa.int64()),
+                        pa.array([words[low:end] for low, end in zip(lows, ends)], pa.list_(pa.int64())),
+                    ],
+                    names=["id", "item", "low", "region"],
+                )
+
+    regions = picked.select("id", "text", "lines").mapInArrow(cut, f"id {kind}, item {item_kind}, low long, region array<long>")
+    whole = wanted.withColumnRenamed("item", "_item")
+    checked = regions.join(whole, F.col("item").eqNullSafe(F.col("_item")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,20 +248,17 @@ def find_leaks(
             for k in range(batch.num_rows):
                 item = word_hashes((columns["text"][k].as_py() or "").encode())
                 region = columns["region"][k].values.to_numpy().astype(np.uint64)
-                low, line = columns["low"][k].as_py(), columns["line"][k].as_py()
-                most = int(plan.max_rate * len(item))
-                begin = max(0, line - low - most)
-                part = region[begin : max(begin, line - low) + len(item) + 2 * most + 1]
-                distance, start, end = edit_distance(item, part)
-                if distance <= most:
-                    out.append((columns["id"][k].as_py(), columns["item"][k].as_py(), distance, low + begin + start, low + begin + end))
+                distance, start, end = edit_distance(item, region)
+                if distance <= int(plan.max_rate * len(item)):
+                    low = columns["low"][k].as_py()
+                    out.append((columns["id"][k].as_py(), columns["item"][k].as_py(), distance, low + start, low + end))
             if out:
                 kinds = (batch.schema.field("id").type, batch.schema.field("item").type, pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[id_col, "item", "distance", "start", "end"]
                 )
 
-    found = checked.select("id", "item", "line", "low", "region", "text").mapInArrow(check, result)
+    found = checked.select("id", "item", "low", "region", "text").mapInArrow(check, result)
     best = F.min(F.struct("distance", "start", "end")).alias("best")
     return found.groupBy(id_col, "item").agg(best).select(id_col, "item", "best.distance", "best.start", "best.end")
 
