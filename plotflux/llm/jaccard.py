@@ -91,13 +91,7 @@ def _in_band(s: np.ndarray, band: int, partner: int) -> tuple[np.ndarray, np.nda
     picked = double[member]
     deleted = mix((sums[member] - content + where[member])[picked])
     slack = int(weights.sum()) - need(len(s), partner)
-    sigs, weights = np.concatenate((subsets, deleted)), np.concatenate((weights, np.ones(len(deleted), np.int64)))
-    if slack < 0:
-        # Too few segments are filled: two such sets still share one of their least shingles.
-        first = np.sort(scattered)[: len(s) - -(-len(s) * NUMERATOR // DENOMINATOR) + 1]
-        sigs = np.concatenate((sigs, mix(first * _TOKEN + salt)))
-        weights = np.concatenate((weights, np.zeros(len(first), np.int64)))
-    return sigs, weights, slack
+    return np.concatenate((subsets, deleted)), np.concatenate((weights, np.ones(len(deleted), np.int64))), slack
 
 
 def _bands(n: int) -> list[tuple[int, int, int]]:
@@ -217,6 +211,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * DENOMINATOR >= union * NUMERATOR).select("a", "b")
 
 
+def open_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of ``sets`` (``cls``, ``items``) in different components that may link, by prefixes.
+
+    In one order of all shingles, rarest first, linked sets share one of their first quarter, and at
+    the first one they share enough must be left in both. Edited places make rare shingles, so a far
+    copy meets nobody, and a group within one component is passed over.
+    """
+    each = sets.select("cls", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    common = each.groupBy("item").agg(F.count("*").alias("sets"))
+    place = F.row_number().over(W.partitionBy("cls").orderBy("sets", "item"))
+    ranked = each.join(common, "item").withColumn("place", place.cast("long"))
+    ranked = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1) & (F.col("sets") > 1))
+    known = labels.select(F.col("id").alias("cls"), "component")
+    of_size = known.groupBy("component").agg(F.count("*").alias("members"))
+    known = known.join(of_size, "component")
+    ranked = ranked.join(known, "cls", "left").select(
+        "item", "cls", "n", "place", F.coalesce("component", "cls").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
+    )
+    # Of two sets in different components one is outside the group's largest component.
+    largest = F.max(F.struct("members", "component")).over(W.partitionBy("item"))["component"]
+    ranked = stored(ranked.withColumn("largest", largest))
+    apart = ranked.where("component <> largest").select("item", "cls", "n", "place", "component")
+    other = ranked.select("item", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "place", "component")])
+    enough = (1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))) * _SEVENTH >= (F.col("n") + F.col("n_b")) * NUMERATOR
+    met = apart.join(other, "item").where((F.col("component") != F.col("component_b")) & _fitting(F.col("n"), F.col("n_b")) & enough)
+    return met.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
+
+
 def _fitting(a: Column, b: Column) -> Column:
     """Whether two set sizes can link."""
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
@@ -233,9 +255,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signature are candidates and are verified exactly. The bound leaves slack, so linked sets share several:
     pairs that share fewer are dropped unverified. Signatures of more than ``FREQUENT`` sets do not count;
     a set left with too few others is short. In the groups of its frequent signatures a short set meets its
-    neighbours by size and the group's first set, which joins a family of near copies without its pairs, and
-    then every other short set that is not yet in its component. Two linked sets of which one is not
-    short share an infrequent signature, and two short ones a frequent one, so no link is lost.
+    neighbours by size and the group's first set, which joins most of a family of near copies without its
+    pairs; then short sets of different components meet by their rarest shingles (``open_pairs``). Two linked
+    sets of which one is not short share an infrequent signature, and any two share a prefix: no link is lost.
 
     Null, empty and blank texts have size 0 and are groups of their own, as is a text alone. Null ids
     share in groups but are never their smallest id; a group of null ids has a null component. Repeated
@@ -279,8 +301,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         few = few.join(least, [side, f"role_{side}"], "left").where(F.coalesce(F.col(f"least_{side}"), F.lit(0)) <= F.col("times"))
 
     # Frequent signatures: a short set meets its neighbours by size and its group's first set.
-    held_back = stored(often.join(short, ["cls", "role"]).select("sig", "cls", "n"))
-    around = F.collect_list("cls").over(by_size.rowsBetween(1 - FREQUENT, -1))
+    held_back = often.join(short, ["cls", "role"]).select("sig", "cls", "n")
+    around = F.collect_list("cls").over(by_size.rowsBetween(-2, -1))
     first = F.first("cls").over(W.partitionBy("sig").orderBy("cls"))
     many = held_back.withColumn("around", around).withColumn("first", first)
     many = many.select("cls", F.explode(F.array_union("around", F.array("first"))).alias("other")).where("cls <> other").distinct()
@@ -288,27 +310,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         many.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"))
     )
     pairs = stored(pairs.distinct())
-
-    # What is still open: short sets of one frequent group that are in different components.
-    open_ids = held_back.select("cls").distinct()
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(open_ids).distinct()
+    short = stored(short.select("cls").distinct())
+    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(short).distinct()
     sets = stored(sets_of(docs, classes.join(involved, "cls", "left_semi").select("id"), id_col, text_col))
     links = stored(verified(pairs, sets))
     labels = stored(components(links))
-    left = held_back.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "sig", "cls", "n", F.coalesce("component", "cls").alias("component")
-    )
-    spread = F.min("component").over(whole) != F.max("component").over(whole)
-    open_ = stored(left.withColumn("spread", spread).where("spread").drop("spread"))
-    if not open_.isEmpty():
-        b = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "component")])
-        rest = (
-            open_.join(b, "sig")
-            .where((F.col("cls") < F.col("cls_b")) & (F.col("component") != F.col("component_b")) & _fitting(F.col("n"), F.col("n_b")))
-            .select(F.col("cls").alias("a"), F.col("cls_b").alias("b"))
-            .distinct()
-        )
-        rest = stored(rest.join(pairs, ["a", "b"], "left_anti"))
+
+    # What is still open: short sets in different components.
+    if not short.isEmpty():
+        rest = stored(open_pairs(sets.join(short, "cls"), labels).join(pairs, ["a", "b"], "left_anti"))
         more = stored(verified(rest, sets))
         if not more.isEmpty():
             labels = stored(components(links.union(more)))
