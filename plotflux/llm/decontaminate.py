@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, in_bit_map, mix, stored, without_ids, word_hashes
+from plotflux.llm.shared import bit_map, in_bit_map, mix, small_batches, stored, without_ids, word_hashes
 
 _PROBES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -161,6 +161,7 @@ def find_leaks(
     must match exactly. Repeated rows of one id are one document for the result; a null id is
     reported like any other. Other columns are ignored. Empty tables: no rows.
     """
+    small_batches(docs.sparkSession)
     plan = plan or Plan()
     wanted = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     wanted = stored(wanted)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, stored, without_ids, word_hashes
+from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, small_batches, stored, without_ids, word_hashes
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -264,6 +264,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows and ids are rows of their own. Other columns are ignored. Empty table: no rows. A class is a
     64-bit fingerprint, so among ten billion different texts about three pairs would be taken for equal.
     """
+    small_batches(docs.sparkSession)
     rows = stored(shapes(docs, id_col, text_col))
     classes = stored(
         rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("slack0").alias("slack0"), F.first("slack1").alias("slack1"))

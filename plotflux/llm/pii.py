@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import stored
+from plotflux.llm.shared import small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "validity", "gazetteer", "context", "boundary")
@@ -259,6 +259,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no spans; null and repeated ids and repeated rows stay rows of their own.
     Other columns are ignored. Empty table: no rows. Texts are read whole, in time linear in their length.
     """
+    small_batches(docs.sparkSession)
     found = stored(find_spans(docs, id_col, text_col))
     each = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy(F.col("s.code").alias("code"))
     seen = each.agg(F.count("*").alias("n")).orderBy("code").toPandas()

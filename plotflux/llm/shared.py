@@ -37,6 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers of the session take at most ``rows`` whole texts at a time.
+
+    Workers stay alive and keep what their largest batch took, so this bounds their memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name, "10000"))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A to Z and leave every other character alone."""
     return F.translate(column, UPPER, LOWER)
