@@ -1,4 +1,4 @@
-"""Benchmark decontamination: random-walk embedding of word windows, bit-sampling, exact edit check."""
+"""Benchmark decontamination: random-walk embedding of word windows, bit-sampling, intact pieces, exact edit check."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ class Plan:
 
     ``bands``: windows of ``width`` words every ``stride`` words of a document, one such pair per band of
     item sizes ``low`` to ``2 * low - 1``: any copy of an item holds a whole window of its band.
+    Edited copies whose walks fall out of step, the likelier the longer the window, are met by ``pieces``.
     """
 
     def __init__(self, max_rate: float = 0.1, target_recall: float = 0.99, agree: float = 0.82, samples: int = 8, walks: int = 3):
@@ -40,6 +41,15 @@ class Plan:
         stride = max(1, low // 3)
         return low - stride + 1, stride
 
+    def edits(self, n: int) -> int:
+        """Edits that a copy of an item of ``n`` words may have."""
+        return int(self.max_rate * n)
+
+    def pieces(self, n: int) -> tuple[int, range]:
+        """Length and starts of disjoint pieces of an item, one more than it may have edits: a copy holds one intact."""
+        size = max(1, n // (self.edits(n) + 1))
+        return size, range(0, min(self.edits(n) + 1, n // size) * size, size)
+
     def places(self, band: int, walk: int) -> list[list[int]]:
         """The sampled places of the embedding, per table; all in the part that every walk reaches."""
         width, _ = self.window(band)
@@ -77,13 +87,28 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, band: int, plan: Plan) -> I
         yield from keys
 
 
+def piece_keys(words: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the runs of each of the ``sizes`` words, at every place."""
+    h = np.zeros(len(words), np.uint64)
+    for k in range(max(sizes, default=0)):
+        if k >= len(words):
+            return
+        h = (h[: len(words) - k] ^ words[k:]) * _GOLD
+        h ^= h >> np.uint64(29)
+        if k + 1 in sizes:
+            yield k + 1, mix(h + np.uint64(k + 1))
+
+
 def probe(keys: np.ndarray, k: int) -> np.ndarray:
     """The k-th of the hashes under which a key is marked in the bit map."""
     return keys if k == 0 else mix(keys + np.uint64(k))
 
 
 def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
-    """Keys of every window offset of every item: ``key``, ``item``, ``start`` (word of the item), ``band``."""
+    """Keys of every window offset and every piece of every item.
+
+    ``key``, ``item``, ``start`` (word of the item), ``words``, ``size`` (of the piece, 0 for windows), ``probes``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +119,10 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
                 band = plan.band(len(words))
                 width, _ = plan.window(band)
                 starts = np.arange(len(words) - width + 1)
-                for keys in walk_keys(words, starts, band, plan):
+                found = [(starts, keys, 0) for keys in walk_keys(words, starts, band, plan)]
+                size, begins = plan.pieces(len(words))
+                found += [(np.asarray(begins), keys[begins.start : begins.stop : begins.step], k) for k, keys in piece_keys(words, [size])]
+                for starts, keys, size in found:
                     probes = [list(p) for p in zip(*(probe(keys, k).astype(np.int64).tolist() for k in range(_PROBES)))]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -102,13 +130,14 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
                             pa.array([item.as_py()] * len(keys), batch.schema.field(0).type),
                             pa.array(starts, pa.int64()),
                             pa.array([len(words)] * len(keys), pa.int64()),
+                            pa.array([size] * len(keys), pa.int64()),
                             pa.array(probes, pa.list_(pa.int64())),
                         ],
-                        names=["key", "item", "start", "words", "probes"],
+                        names=["key", "item", "start", "words", "size", "probes"],
                     )
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"key long, item {kind}, start long, words long, probes array<long>")
+    return items.mapInArrow(run, f"key long, item {kind}, start long, words long, size long, probes array<long>")
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -150,12 +179,13 @@ def find_leaks(
     ``start``, ``end`` (words of the document, end exclusive): one row per document and item, the best place.
 
     Document windows as long as the band of item sizes asks for are embedded by the random walk (edit
-    distance becomes Hamming distance) and hashed at sampled places; the number of repetitions follows from
-    the target recall. Keys that no item has are dropped where they arise, by a bit map of the items'
+    distance becomes Hamming distance) and hashed at sampled places. Walks in long windows fall out of step, so
+    items are also cut into one more piece than a copy may have edits; one of them is intact in every copy, and
+    the documents' runs of as many words are looked up at every place. So no copy within the distance is lost. Keys that no item has are dropped where they arise, by a bit map of the items'
     keys whose size is fixed; the rest (ids and places, no text) meet the items by a shuffle join on the key.
     Documents with a hit are read again and every hit is checked by the exact distance between the item
     and the text around it. The whole text of every
-    document is walked. Exact copies agree everywhere, so they are always found.
+    document is walked.
 
     Null, empty and blank texts hold nothing, and such items match nothing; items of up to nine words
     must match exactly. Repeated rows of one id are one document for the result; a null id is
@@ -175,6 +205,7 @@ def find_leaks(
     bits = min(27, max(12, math.ceil(math.log2(256 * n))))
     filled = bit_map(keys.select(F.explode("probes").alias("h")), "h", bits)
     sizes = wanted.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n")).where("n > 0")
+    pieces = sorted(r["size"] for r in keys.where("size > 0").select("size").distinct().collect())
     bands = sorted(r["b"] for r in sizes.select(F.floor(F.log2("n")).cast("int").alias("b")).distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +220,7 @@ def find_leaks(
                     parts.append(word_hashes(text.encode()) if text else np.empty(0, np.uint64))
                     lengths.append(len(parts[-1]))
                     at += 1
-                found = _hits(parts, lengths, bands, plan, filled, bits)
+                found = _hits(parts, lengths, bands, pieces, plan, filled, bits)
                 if not len(found):
                     continue
                 owner, start, key = found
@@ -205,9 +236,10 @@ def find_leaks(
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hits = texts.mapInArrow(run, f"id {kind}, key long, place long")
-    # One check per document, item and alignment, however many tables agree on it.
+    # One check per document, item and stretch of the item's length in which it starts, however many keys agree on it.
     met = hits.join(keys.select("key", "item", "words", F.col("start").alias("offset")), "key")
-    met = stored(met.select("id", "item", "words", (F.col("place") - F.col("offset")).alias("line")).distinct())
+    stretch = F.floor((F.col("place") - F.col("offset")) / F.col("words")).cast("long")
+    met = stored(met.select("id", "item", "words", (stretch * F.col("words")).alias("line")).distinct())
     # Only documents with a hit are read again, picked by a bit map of their ids, and cut to what is compared.
     owners = met.select("id").distinct()
     id_bits = min(27, max(12, math.ceil(math.log2(64 * owners.count() + 1))))
@@ -226,8 +258,8 @@ def find_leaks(
                 text = batch.column(1)[k].as_py()
                 words = word_hashes(text.encode()).astype(np.int64) if text else np.empty(0, np.int64)
                 listed = batch.column(2)[k].as_py()
-                lows = [min(max(0, x["line"] - int(plan.max_rate * x["words"])), len(words)) for x in listed]
-                ends = [max(0, x["line"]) + x["words"] + 2 * int(plan.max_rate * x["words"]) + 1 for x in listed]
+                lows = [min(max(0, x["line"] - plan.edits(x["words"])), len(words)) for x in listed]
+                ends = [max(0, x["line"] + 2 * x["words"] + plan.edits(x["words"])) for x in listed]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0)[k].as_py()] * len(listed), batch.schema.field(0).type),
@@ -250,7 +282,7 @@ def find_leaks(
                 item = word_hashes((columns["text"][k].as_py() or "").encode())
                 region = columns["region"][k].values.to_numpy().astype(np.uint64)
                 distance, start, end = edit_distance(item, region)
-                if distance <= int(plan.max_rate * len(item)):
+                if distance <= plan.edits(len(item)):
                     low = columns["low"][k].as_py()
                     out.append((columns["id"][k].as_py(), columns["item"][k].as_py(), distance, low + start, low + end))
             if out:
@@ -264,12 +296,26 @@ def find_leaks(
     return found.groupBy(id_col, "item").agg(best).select(id_col, "item", "best.distance", "best.start", "best.end")
 
 
-def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], plan: Plan, filled: np.ndarray, bits: int):
-    """Windows with a key that the bit map holds: document, place in the joined words, key."""
+def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], pieces: list[int], plan: Plan, filled: np.ndarray, bits: int):
+    """Windows and runs with a key that the bit map holds: document, place in the joined words, key."""
     words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     ends = np.cumsum(lengths)
     begins = ends - lengths
     owners, places, keys = [], [], []
+
+    def marked(key: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(in_bit_map(filled, bits, key))
+        for k in range(1, _PROBES):
+            hit = hit[in_bit_map(filled, bits, probe(key[hit], k))]
+        return hit
+
+    for size, key in piece_keys(words, pieces):
+        hit = marked(key)
+        owner = np.searchsorted(ends, hit, side="right")
+        inside = hit + size <= ends[owner]
+        owners.append(owner[inside])
+        places.append(hit[inside])
+        keys.append(key[hit[inside]])
     for band in bands:
         width, stride = plan.window(band)
         counts = np.maximum((np.asarray(lengths) - width) // stride + 1, 0)
@@ -280,9 +326,7 @@ def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], plan: P
         order = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = begins[owner] + order * stride
         for key in walk_keys(words, starts, band, plan):
-            hit = np.flatnonzero(in_bit_map(filled, bits, key))
-            for k in range(1, _PROBES):
-                hit = hit[in_bit_map(filled, bits, probe(key[hit], k))]
+            hit = marked(key)
             owners.append(owner[hit])
             places.append(starts[hit])
             keys.append(key[hit])

@@ -207,3 +207,22 @@ def test_recall_at_the_largest_distance():
         starts = np.arange(0, len(text) - width + 1, stride)
         met += any(set(k.tolist()) & held for k, held in zip(decontaminate.walk_keys(text, starts, band, plan), keys))
     assert met >= 0.97 * 150
+
+
+@pytest.mark.parametrize("size", [10, 32, 64, 128, 256, 512, 1000])
+def test_edited_copies_of_every_size_are_found(spark, size):
+    """Copies with a tenth of the words edited, at random places or evenly spread, for each item size alone."""
+    rng = random.Random(size)
+    items = [(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(size))) for k in range(12)]
+    rows = []
+    for k, text in items:
+        for spread in (False, True):
+            w, edits = text.split(), size // 10
+            places = range(size // (edits + 1), size, max(1, size // (edits + 1)))[:edits] if spread else rng.sample(range(size), edits)
+            for at in sorted(places, reverse=True):
+                kind = rng.randrange(3)
+                w[at : at + (kind != 2)] = [] if kind == 1 else ["edited"]
+            rows.append((k * 2 + spread, " ".join([sentence(rng, rng.randrange(80)), *w, sentence(rng, 30)])))
+    got = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item"]) for r in got} == {(d, d // 2) for d, _ in rows}
+    assert all(r["distance"] <= size // 10 for r in got)
