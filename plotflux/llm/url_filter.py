@@ -41,6 +41,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return fits
 
 
+def _suffixes(padded: Column, end: Column, order: int) -> Column:
+    """The grams that end at a place: the character with its contexts of 0 to ``order`` characters."""
+    return F.transform(F.sequence(F.lit(0), F.least(F.lit(order), end - 1)), lambda k: F.substring(padded, end - k, k + 1))
+
+
+def _padded(shown: Column) -> Column:
+    return F.concat(F.lit(_START), shown, F.lit(_END))
+
+
 def gram_counts(urls: DataFrame, order: int) -> DataFrame:
     """Occurrences of every context of up to ``order`` characters with the next one, per label.
 
@@ -48,17 +57,10 @@ def gram_counts(urls: DataFrame, order: int) -> DataFrame:
     once and multiplied; counts combine before the shuffle.
     """
     same = urls.groupBy("shown", "label").agg(F.count("*").alias("times"))
-    padded = F.concat(F.lit(_START), F.col("shown"), F.lit(_END))
     ends = F.sequence(F.lit(2), F.length("padded"))
-
-    def grams(end: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(order), end - 1)), lambda k: F.substring(F.col("padded"), end - k, k + 1)
-        )
-
     return (
-        same.withColumn("padded", padded)
-        .select("label", "times", F.explode(F.flatten(F.transform(ends, grams))).alias("gram"))
+        same.withColumn("padded", _padded(F.col("shown")))
+        .select("label", "times", F.explode(F.flatten(F.transform(ends, lambda end: _suffixes(F.col("padded"), end, order)))).alias("gram"))
         .groupBy("gram")
         .agg(
             F.sum(F.when(F.col("label") == 0, F.col("times")).otherwise(0)).alias("n0"),
@@ -71,7 +73,7 @@ class UrlModel:
     """Two variable-order Markov models over characters, smoothed by Witten and Bell's rule.
 
     A context's prediction is mixed with that of the context one shorter, down to an even
-    spread over the alphabet; contexts that were pruned fall through to the shorter one.
+    spread over the alphabet; contexts that were never seen fall through to the shorter one.
     """
 
     def __init__(self, grams: pd.DataFrame, order: int):
@@ -107,22 +109,67 @@ class UrlModel:
         return (self._log_likelihood(text, 1) - self._log_likelihood(text, 0)) / (len(text) + 1)
 
 
-def fit_url_model(urls: DataFrame, order: int = 4, max_grams: int = 300_000) -> UrlModel:
-    """Count over all labelled URLs; keep at most ``max_grams`` grams by raising the least count.
+def add_scores(rows: DataFrame, counts: DataFrame, order: int, most: int) -> DataFrame:
+    """``rows`` with the ``score`` of ``shown`` under the models of all ``counts``.
 
-    Pruning by count is the model's variable order; its bound keeps the model small enough
-    to send to every task, whatever the number of URLs. Single characters always stay.
+    Models of up to ``most`` grams go to every task; larger ones stay a table that the texts' grams are joined to.
     """
-    counts = stored(gram_counts(urls, order).withColumn("n", F.col("n0") + F.col("n1")))
-    bins = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("bin")).agg(F.count("*").alias("grams")).toPandas()
-    least, held = 0, 0
-    for at, grams in sorted(zip(bins["bin"], bins["grams"]), reverse=True):
-        held += grams
-        if held > max_grams:
-            least = at + 1
-            break
-    kept = counts.where((F.floor(F.log2("n") * 4) >= least) | (F.length("gram") == 1))
-    return UrlModel(kept.select("gram", "n0", "n1").orderBy("gram").toPandas(), order)
+    if counts.count() <= most:
+        return rows.withColumn("score", _scorer(UrlModel(counts.orderBy("gram").toPandas(), order))(F.col("shown")))
+    texts = stored(rows.groupBy("shown").agg(F.count("*").alias("uses")).withColumn("text", F.monotonically_increasing_id()))
+    return _spread_join(rows, stored(joined_scores(texts, counts, order)), "shown")
+
+
+def joined_scores(texts: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """``shown``, ``uses``, ``score`` of distinct texts with a number ``text``: what ``UrlModel`` gives, by joins.
+
+    The probabilities of the texts' distinct grams are worked out from the shortest to the longest; a key of
+    these joins has at most as many rows as there are characters.
+    """
+    grams = F.transform(
+        F.sequence(F.lit(2), F.length("padded")),
+        lambda end: F.struct(_suffixes(F.col("padded"), end, order).alias("all")),
+    )
+    places = texts.withColumn("padded", _padded(F.col("shown"))).select("text", F.explode(grams).alias("at"))
+    tops = places.select("text", F.element_at("at.all", -1).alias("gram"))
+    wanted = places.select(F.posexplode("at.all").alias("k", "gram"), (F.size("at.all") - 1).alias("last"))
+    wanted = stored(wanted.groupBy("gram").agg(F.sum((F.col("k") == F.col("last")).cast("long")).alias("uses")))
+    totals = [f(label) for label in ("0", "1") for f in (lambda i: F.sum(f"n{i}").alias(f"all{i}"), lambda i: F.count_if(F.col(f"n{i}") > 0).alias(f"kinds{i}"))]
+    contexts = stored(counts.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(*totals))
+    even = 1.0 / max(2, counts.where(F.length("gram") == 1).count() + 1)
+    shorter, levels = None, []
+    for k in range(order + 1):
+        level = wanted.where(F.length("gram") == k + 1).join(counts, "gram", "left")
+        level = level.withColumn("context", F.substring("gram", 1, k)).join(contexts, "context", "left")
+        if shorter is None:
+            level = level.withColumn("q0", F.lit(even)).withColumn("q1", F.lit(even))
+        else:
+            level = level.withColumn("shorter", F.substring("gram", 2, k)).join(
+                shorter.select(F.col("gram").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "shorter"
+            )
+        mixed = [
+            F.expr(f"CASE WHEN all{i} > 0 THEN (coalesce(n{i}, 0) + kinds{i} * q{i}) / (all{i} + kinds{i}) ELSE q{i} END").alias(f"p{i}")
+            for i in (0, 1)
+        ]
+        shorter = stored(level.select("gram", "uses", *mixed))
+        levels.append(shorter)
+    weights = levels[0]
+    for level in levels[1:]:
+        weights = weights.union(level)
+    weights = stored(weights.where("uses > 0").select("gram", "uses", F.expr("ln(p1) - ln(p0)").alias("weight")))
+    sums = _spread_join(tops, weights, "gram").groupBy("text").agg(F.sum("weight").alias("sum"))
+    return texts.join(sums, "text").select("shown", "uses", (F.col("sum") / (F.length("shown") + 1)).alias("score"))
+
+
+def _spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join to a stored table of distinct keys and their ``uses`` (rows on the left).
+
+    Keys with more than a thousandth of the rows, so under a thousand, are broadcast; the rest is shuffled.
+    """
+    total = right.agg(F.sum("uses")).first()[0] or 0
+    hot, rest = right.where(F.col("uses") * share > total).drop("uses"), right.where(F.col("uses") * share <= total).drop("uses")
+    others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(hot), key).union(others)
 
 
 def judge_urls(
@@ -131,11 +178,12 @@ def judge_urls(
     order: int = 4,
     id_col: str = "page_id",
     url_col: str = "url",
+    most: int = 300_000,
 ) -> DataFrame:
     """Verdict on every URL: ``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``score``.
 
     URLs that a rule fits get its verdict, and are what the two models learn from: character
-    counts of all of them. The cut on the length-normalised log-likelihood difference lies where
+    counts of all of them, none left out. Models of more than ``most`` grams stay in Spark (``add_scores``). The cut on the length-normalised log-likelihood difference lies where
     labelled URLs in the fold that the calibration models did not see are told apart best (equal weight to both
     sides, the middle of the best stretch). With only one side labelled, or none, unruled URLs are allowed.
 
@@ -154,21 +202,17 @@ def judge_urls(
         )
     )
     sides = {r[0] for r in labelled.select("label").distinct().collect()}
-    score: Column = F.lit(None).cast("double")
-    verdict: Column = F.lit("allow")
+    open_ = rows.where("_fits is null")
     if sides == {0, 1}:
-        cut = calibrated_cut(labelled, order)
-        scorer = _scorer(fit_url_model(labelled, order))
-        score = F.when(F.col("_fits").isNull(), scorer(F.when(F.col("_fits").isNull(), F.col("_shown")).otherwise("")))
-        verdict = F.when(F.col("_score") >= cut, "allow").otherwise("block")
-    return rows.withColumn("_score", score).select(
-        F.col("_id").alias(id_col),
-        "host",
-        "path",
-        F.col("_fits.rule").alias("rule"),
-        F.coalesce(F.col("_fits.verdict"), verdict).alias("verdict"),
-        F.col("_score").alias("score"),
-    )
+        cut = calibrated_cut(labelled, order, most)
+        counts = stored(gram_counts(labelled, order))
+        open_ = add_scores(open_.withColumnRenamed("_shown", "shown"), counts, order, most)
+        open_ = open_.withColumn("verdict", F.when(F.col("score") >= cut, "allow").otherwise("block"))
+    else:
+        open_ = open_.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.lit("allow"))
+    ruled = rows.where("_fits is not null").withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.col("_fits.verdict"))
+    out = [F.col("_id").alias(id_col), "host", "path", F.col("_fits.rule").alias("rule"), "verdict", "score"]
+    return ruled.select(*out).union(open_.select(*out))
 
 
 def _scorer(model: UrlModel):
@@ -187,13 +231,13 @@ def _scorer(model: UrlModel):
     return score
 
 
-def calibrated_cut(labelled: DataFrame, order: int, bins: int = 4000, reach: float = 4.0) -> float:
+def calibrated_cut(labelled: DataFrame, order: int, most: int, bins: int = 4000, reach: float = 4.0) -> float:
     """Cut with the best mean of both sides' shares on the held-out fold, from a histogram of its scores."""
     fit, held = labelled.where("not held"), labelled.where("held")
     if {r[0] for r in fit.select("label").distinct().collect()} != {0, 1}:
         return 0.0
-    scorer = _scorer(fit_url_model(fit, order))
-    place = F.floor((F.least(F.greatest(scorer(F.col("shown")), F.lit(-reach)), F.lit(reach)) + reach) * (bins / (2 * reach)))
+    held = add_scores(held.select("shown", "label"), stored(gram_counts(fit, order)), order, most)
+    place = F.floor((F.least(F.greatest(F.col("score"), F.lit(-reach)), F.lit(reach)) + reach) * (bins / (2 * reach)))
     found = held.select(place.alias("bin"), "label").groupBy("bin", "label").agg(F.count("*").alias("n")).toPandas()
     held_out = np.zeros((2, bins + 2))
     for at, label, n in found.itertuples(index=False):

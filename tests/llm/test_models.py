@@ -135,6 +135,31 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false")).collect() == []
 
 
+def test_url_models_keep_all_grams(spark):
+    """Models beyond the size that goes to every task give the scores of a model of all grams."""
+    rng = random.Random(4)
+    urls = [f"http://{sentence(rng, 1)}.com/a/{rng.randrange(9999)}" for _ in range(60)] + [f"http://z{rng.randrange(999)}é😀.net/es/{rng.randrange(999)}" for _ in range(25)]
+    urls += [f"http://{sentence(rng, 1)}.org/q/{rng.randrange(999)}" for _ in range(15)] + ["http://z1é.io/es/7", "http://日本.org/"] + ["http://hot.org/a"] * 40 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parts = [("".join(judged(u)[:2]), judged(u)[3]) for u in urls]
+    counts = {}
+    for shown, verdict in parts:
+        padded = f"\x02{shown}\x03"
+        for end in range(1, len(padded)) if verdict else ():
+            for k in range(min(4, end) + 1):
+                counts.setdefault(padded[end - k : end + 1], [0, 0])[verdict == "allow"] += 1
+    model = url_filter.UrlModel(pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "n0", "n1"]), 4)
+    assert len(counts) > 500
+    small, large = ({r["page_id"]: r for r in url_filter.judge_urls(df, most=m).collect()} for m in (300_000, 500))
+    assert len(large) == len(small) == len(urls)
+    for k, (shown, verdict) in enumerate(parts):
+        assert large[k]["verdict"] == small[k]["verdict"] and large[k]["rule"] == small[k]["rule"]
+        if verdict:
+            assert large[k]["score"] is None
+        else:
+            assert abs(large[k]["score"] - model.score(shown)) < 1e-9 and abs(small[k]["score"] - model.score(shown)) < 1e-9
+
+
 def labelled(spark, n=400):
     rng = random.Random(5)
     rows, labels = corpus(), []
