@@ -226,3 +226,13 @@ def test_edited_copies_of_every_size_are_found(spark, size):
     got = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item"]) for r in got} == {(d, d // 2) for d, _ in rows}
     assert all(r["distance"] <= size // 10 for r in got)
+
+
+def test_decontaminate_judges_rows_of_shared_ids_by_their_own_text(spark):
+    rng = random.Random(6)
+    item, clean = sentence(rng, 30), [sentence(rng, 40) for _ in range(4)]
+    rows = [(None, clean[0]), (None, f"{clean[1]} {item}"), (None, None), (7, clean[2]), (7, item), (7, item), (8, clean[3]), (9, item)]
+    left = decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == frame(spark, rows).columns
+    want = [(None, clean[0]), (None, None), (7, clean[2]), (8, clean[3])]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
