@@ -131,6 +131,38 @@ def join_checked(
     return salted_join(rows, lookup, on, how, salts)
 
 
+def hot_key_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_share: float = 0.001, salts: int = 64
+) -> DataFrame:
+    """Join rows of any key distribution to a lookup of one row per key, copying no lookup row.
+
+    The rows' keys are counted (combined before the shuffle). Keys above ``hot_share`` of all rows, so at
+    most ``1 / hot_share`` of them, get their lookup rows by broadcast; the others are shuffled. Rows that
+    the broadcast serves keep no key in the shuffle: they are spread by a salt that matches nothing.
+    Missing keys match missing keys. ``rows`` is read twice; store it first when it is costly.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("a hot-key join is 'inner' or 'left'")
+    extra = [c for c in lookup.columns if c not in on]
+    total = rows.count()
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("_held"))
+    hot_keys = durable(counted.where(F.col("_held") > total * hot_share).drop("_held"))
+    if not hot_keys.take(1):
+        return null_safe_join(rows, lookup, on, how)
+    hot = null_safe_join(lookup, hot_keys.withColumn("_is_hot", F.lit(True)), on, "inner", hint=True)
+    cold = lookup.withColumn("_salt", F.lit(0).cast("long"))
+    names = {c: f"_hot_{c}" for c in extra}
+    served = null_safe_join(rows, hot.select(*on, *[F.col(f"`{c}`").alias(n) for c, n in names.items()], "_is_hot"), on, "left", hint=True)
+    salt = F.when(F.col("_is_hot"), row_salt(rows, salts) + 1).otherwise(F.lit(0).cast("long"))
+    joined = null_safe_join(served.withColumn("_salt", salt), cold.withColumn("_cold", F.lit(True)), [*on, "_salt"], "left")
+    if how == "inner":
+        joined = joined.where("_is_hot or _cold")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        *[F.when(F.col("_is_hot"), F.col(f"`{n}`")).otherwise(F.col(f"`{c}`")).alias(c) for c, n in names.items()],
+    )
+
+
 def hot_split_join(
     rows: DataFrame, lookup: DataFrame, on: str, weight: str, hot_share: float = 0.001, salts: int = 64
 ) -> DataFrame:
