@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from cases import frame, sentence
-from test_models import labelled
+from test_learned import labelled
 from test_native import SECRETS, base_spans, fill, words
 from test_text import brute_groups
 
