@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotflux.llm import decontaminate, jaccard, neighbours, pii, quality, toxicity, url_filter, warc
+from plotflux.llm import collocations, decontaminate, jaccard, neighbours, pieces, pii, quality, repeats, toxicity, url_filter, warc
 from plotflux.llm.mixing import mix_sources
 from plotflux.llm.secrets import secret_spans, span_text
-from plotflux.llm.shared import table
+from plotflux.llm.shared import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,65 @@ def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+#: The vocabulary of op11; a file of the environment, never part of the library.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = pieces.encode_pieces(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """The documents of op12: in a tenth of them the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        source = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, source(i).cast("int"))))
+
+    # The array of words is bound once, by a transform, not split anew for every word.
+    words = F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
+    some = F.filter(words, lambda w: F.size(w) > 0)
+    planted = F.coalesce(F.try_element_at(F.transform(some, repeat), F.lit(1)), F.lit(""))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.word_runs(_planted(table(spark, folder, "documents")))
+    first = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", first, lambda held, r: F.when(better(held, r), r).otherwise(held))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 #: Exact search in SQL, for comparison only: the operator is approximate.
 EXACT_NEIGHBOURS = """SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
   list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score
@@ -132,3 +191,34 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM digests JOIN firsts USING (h)"""
+
+
+ORACLE["op13_collocations"] = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) FROM words
+  UNION ALL SELECT lang, 4, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) FROM words),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS MATERIALIZED (
+  SELECT *, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+scored AS (
+  SELECT c.*, x.a AS l, y.a AS r, CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM candidates))
+  GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE i.most IS NULL OR CAST(100 AS HUGEINT) * i.most < CAST(80 AS HUGEINT) * w.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT k.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked k JOIN sizes s ON s.lang = k.lang WHERE rank <= 2000"""
