@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotflux.functions.pvalues import t_p_value
 from plotflux.functions.scalars import numeric_columns
 from plotflux.operators.orderstats import WINDOW_ROWS, average_ranks
-from plotflux.session import BROADCAST_CELLS, durable, hot_split_join
+from plotflux.session import BROADCAST_CELLS, durable, hot_key_join
 
 
 def _pairs(df: DataFrame, columns: Sequence[str], make) -> DataFrame:
@@ -43,7 +43,7 @@ def with_ranks(
         if sizes.get(c, 0) * 3 <= max_cells:
             rows = rows.join(F.broadcast(lookup.drop("k")), c, "left")
         else:
-            rows = hot_split_join(rows, lookup, c, "k")
+            rows = hot_key_join(rows, lookup, [c], weight="k")
     return rows.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
 

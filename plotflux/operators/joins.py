@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.session import null_safe_join, salted_join
+from plotflux.session import full_join, null_safe_join, salted_join
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -34,7 +34,8 @@ def keyed_join(
 
     ``relationship`` other than many-to-many checks key uniqueness first.
     ``salts`` above 1 splits every key of the left side in that many parts for a
-    left side with a hot key and a right side too large to broadcast.
+    left side with a hot key and a right side too large to broadcast. A full join
+    finds its hot keys itself.
     """
     if relationship.endswith("to-one"):
         require_unique(right, on, "right")
@@ -42,6 +43,8 @@ def keyed_join(
         require_unique(left, on, "left")
     if salts > 1:
         return salted_join(left, right, on, how, salts)
+    if how == "full":
+        return full_join(left, right, on)
     return null_safe_join(left, right, on, how)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotflux.functions.scalars import hour_floor
-from plotflux.session import join_checked
+from plotflux.session import durable, join_checked
 
 
 def mean(column: str, na_rm: bool = True) -> Column:
@@ -123,46 +123,51 @@ def summary_sets(
 ) -> DataFrame:
     """Mean and sd of the same measures for several groupings from one scan.
 
-    Readings are reduced once to (n, mean, m2) per combination of all grouping
-    columns; the groupings then merge those few cells, so the readings are not
-    repeated once per grouping. Cells are merged around the grand mean, so a mean that is
-    large against its spread costs no digits. ``grouping`` names the set a row belongs to.
+    Readings are reduced once to (n, mean, m2) per combination of all grouping columns, from one scan.
+    The groupings merge those cells in two steps: first the mean of every group, then the cells' squares
+    around the mean of their own group. So neither means that are large against their spread nor groups that
+    lie far apart cost digits. ``grouping`` names the set a row belongs to.
     """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
-    cells = df.groupBy(*keys).agg(
+    cells = durable(
+        df.groupBy(*keys).agg(
+            *[
+                x
+                for c in columns
+                for x in (
+                    F.count(c).alias(f"n_{c}"),
+                    F.avg(c).alias(f"m_{c}"),
+                    (F.var_pop(c) * F.count(c)).alias(f"q_{c}"),
+                )
+            ]
+        )
+    )
+    # Every cell once per grouping, with the keys of other groupings left empty; a cell is many readings.
+    named = F.explode(F.array(*[F.lit(name) for name in sets])).alias("grouping")
+    member = {k: [name for name, of in sets.items() if k in of] for k in keys}
+    rows = cells.select("*", named).withColumns({k: F.when(F.col("grouping").isin(member[k]), F.col(k)) for k in keys})
+    group = ["grouping", *keys]
+    # Around one mean for all first, then corrected by what is left: exact also for means far from zero.
+    start = cells.agg(F.struct(*[F.try_divide(F.sum(F.col(f"m_{c}") * F.col(f"n_{c}")), F.sum(f"n_{c}")).alias(c) for c in columns]).alias("s"))
+    start = start.select("s").scalar()
+    centres = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_held"),
         *[
-            x
+            (start.getField(c) + F.try_divide(F.sum((F.col(f"m_{c}") - start.getField(c)) * F.col(f"n_{c}")), F.sum(f"n_{c}"))).alias(f"c_{c}")
             for c in columns
-            for x in (
-                F.count(c).alias(f"n_{c}"),
-                F.avg(c).alias(f"m_{c}"),
-                (F.var_pop(c) * F.count(c)).alias(f"q_{c}"),
-            )
-        ]
+        ],
     )
-    grand = df.agg(F.struct(*[F.avg(c).alias(f"g_{c}") for c in columns]).alias("g")).select("g").scalar()
-    cells = cells.withColumns({f"m_{c}": F.col(f"m_{c}") - grand.getField(f"g_{c}") for c in columns})
-    cells = cells.withColumns({f"g_{c}": grand.getField(f"g_{c}") for c in columns})
+    apart = join_checked(rows, centres, group, weight="_held")
     merged = []
     for c in columns:
-        n, m, q = F.sum(f"n_{c}"), F.col(f"m_{c}"), F.sum(f"q_{c}")
-        shift = F.try_divide(F.sum(m * F.col(f"n_{c}")), n)
-        spread = q + F.sum(F.col(f"n_{c}") * m * m) - n * shift * shift
-        centre = F.max(f"g_{c}") + shift
+        n, d = F.sum(f"n_{c}"), F.col(f"m_{c}") - F.col(f"c_{c}")
+        off = F.try_divide(F.sum(d * F.col(f"n_{c}")), n)
+        spread = F.sum(F.col(f"q_{c}") + F.col(f"n_{c}") * d * d) - n * off * off
         merged += [
-            centre.alias(f"mean_{c}"),
+            (F.max(f"c_{c}") + off).alias(f"mean_{c}"),
             F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias(f"sd_{c}"),
         ]
-    width = len(keys)
-    label = None
-    for name, columns_in_set in sets.items():
-        mask = sum(1 << (width - 1 - i) for i, k in enumerate(keys) if k not in columns_in_set)
-        test = F.col("_gid") == mask
-        label = F.when(test, name) if label is None else label.when(test, name)
-    out = cells.groupingSets(
-        [[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]
-    ).agg(F.grouping_id().alias("_gid"), *merged)
-    return out.withColumn("grouping", label).drop("_gid")
+    return apart.groupBy(*group).agg(*merged).select(*keys, *[m for c in columns for m in (f"mean_{c}", f"sd_{c}")], "grouping")
 
 
 def zscore(df: DataFrame, columns: Sequence[str], prefix: str = "z_") -> DataFrame:
@@ -198,8 +203,9 @@ def zscore_within(
     stats = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],
+        F.count(F.lit(1)).alias("_held"),
     )
-    joined = join_checked(df, stats, by)
+    joined = join_checked(df, stats, by, weight="_held")
     scored = joined.withColumns(
         {
             f"{prefix}{c}": F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))

@@ -111,86 +111,115 @@ def salted_join(
     return null_safe_join(left, right, [*on, "_salt"], how).drop("_salt")
 
 
-def join_checked(
+def hot_key_join(
     rows: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_cells: int = BROADCAST_CELLS,
-    salts: int = 32,
-) -> DataFrame:
-    """Attach a statistics table to rows without trusting its size.
-
-    ``lookup`` is written to the checkpoint folder and counted. Within
-    ``max_cells`` it is broadcast, so the rows are not shuffled at all; beyond,
-    the join is salted.
-    """
-    lookup = durable(lookup)
-    if lookup.count() * len(lookup.columns) <= max_cells:
-        return null_safe_join(rows, lookup, on, how, hint=True)
-    return salted_join(rows, lookup, on, how, salts)
-
-
-def hot_key_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot_share: float = 0.001, salts: int = 64
+    weight: str | None = None,
+    hot_share: float = 0.001,
+    salts: int = 64,
 ) -> DataFrame:
     """Join rows of any key distribution to a lookup of one row per key, copying no lookup row.
 
-    The rows' keys are counted (combined before the shuffle). Keys above ``hot_share`` of all rows, so at
-    most ``1 / hot_share`` of them, get their lookup rows by broadcast; the others are shuffled. Rows that
-    the broadcast serves keep no key in the shuffle: they are spread by a salt that matches nothing.
-    Missing keys match missing keys. ``rows`` is read twice; store it first when it is costly.
+    Keys above ``hot_share`` of all rows, so at most ``1 / hot_share`` of them, get their lookup rows by
+    broadcast; only the others are looked up by a shuffle. Rows that the broadcast has served are
+    spread by a salt that matches nothing. ``weight`` names the lookup column with the number of rows
+    per key, and is left out of the result; without it the rows' keys are counted first (combined
+    before the shuffle), so ``rows`` is read twice. Missing keys match missing keys.
     """
     if how not in ("inner", "left"):
         raise ValueError("a hot-key join is 'inner' or 'left'")
-    extra = [c for c in lookup.columns if c not in on]
-    total = rows.count()
-    counted = rows.groupBy(*[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("_held"))
+    extra = [c for c in lookup.columns if c not in on and c != weight]
+    keys = [F.col(f"`{c}`") for c in on]
+    if weight is None:
+        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+        total = rows.count()
+    else:
+        counted = lookup.select(*keys, F.col(f"`{weight}`").alias("_held"))
+        total = lookup.agg(F.sum(F.col(f"`{weight}`")).alias("t")).scalar()
+        lookup = lookup.drop(weight)
     hot_keys = durable(counted.where(F.col("_held") > total * hot_share).drop("_held"))
-    if not hot_keys.take(1):
+    if hot_keys.isEmpty():
         return null_safe_join(rows, lookup, on, how)
     hot = null_safe_join(lookup, hot_keys.withColumn("_is_hot", F.lit(True)), on, "inner", hint=True)
-    cold = lookup.withColumn("_salt", F.lit(0).cast("long"))
     names = {c: f"_hot_{c}" for c in extra}
-    served = null_safe_join(rows, hot.select(*on, *[F.col(f"`{c}`").alias(n) for c, n in names.items()], "_is_hot"), on, "left", hint=True)
+    hot = hot.select(*keys, *[F.col(f"`{c}`").alias(n) for c, n in names.items()], "_is_hot")
+    served = null_safe_join(rows, hot, on, "left", hint=True)
     salt = F.when(F.col("_is_hot"), row_salt(rows, salts) + 1).otherwise(F.lit(0).cast("long"))
-    joined = null_safe_join(served.withColumn("_salt", salt), cold.withColumn("_cold", F.lit(True)), [*on, "_salt"], "left")
+    cold = lookup.withColumns({"_salt": F.lit(0).cast("long"), "_is_cold": F.lit(True)})
+    joined = null_safe_join(served.withColumn("_salt", salt), cold, [*on, "_salt"], "left")
     if how == "inner":
-        joined = joined.where("_is_hot or _cold")
+        joined = joined.where(F.col("_is_hot") | F.col("_is_cold"))
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
         *[F.when(F.col("_is_hot"), F.col(f"`{n}`")).otherwise(F.col(f"`{c}`")).alias(c) for c, n in names.items()],
     )
 
 
-def hot_split_join(
-    rows: DataFrame, lookup: DataFrame, on: str, weight: str, hot_share: float = 0.001, salts: int = 64
+def join_checked(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    max_cells: int = BROADCAST_CELLS,
+    weight: str | None = None,
+) -> DataFrame:
+    """Attach a statistics table with one row per key to rows without trusting its size.
+
+    ``lookup`` is written to the checkpoint folder and counted. Within ``max_cells`` it is broadcast,
+    so the rows are not shuffled at all; beyond, only the lookup rows of hot keys are (``hot_key_join``).
+    ``weight`` names the lookup column with the number of rows per key, where there is one.
+    """
+    lookup = durable(lookup)
+    if lookup.count() * len(lookup.columns) <= max_cells:
+        return null_safe_join(rows, lookup.drop(weight) if weight else lookup, on, how, hint=True)
+    return hot_key_join(rows, lookup, on, how, weight)
+
+
+def full_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot_share: float = 0.01, least: int = 100_000
 ) -> DataFrame:
-    """Left join to a lookup as large as the rows, whose most frequent keys are known.
+    """Full outer join, missing keys matching missing keys, in which no key is bound to one task.
 
-    ``lookup`` has one row per key and in ``weight`` the number of rows holding it.
-    Keys above ``hot_share`` of all rows (at most ``1 / hot_share`` of them) are
-    broadcast; only the others are shuffled, and rows already served by the
-    broadcast part are spread by a salt instead of meeting under one key.
+    The keys of both sides are counted (combined before the shuffle). A key with more than ``hot_share``
+    of a side's rows, and more than ``least``, is dealt on a grid: its left rows into ``a`` parts and its right
+    rows into ``b``, each pair of parts meeting in a task of its own, so that a part never holds more rows than
+    that bound. A side is copied only as often as the other one has parts. Hot keys, at most
+    ``2 / hot_share`` of them, also tell which of their rows have no match. Other keys take a plain full join.
     """
-    total = lookup.agg(F.sum(weight)).scalar()
-    extra = [c for c in lookup.columns if c not in (on, weight)]
-    hot = lookup.where(F.col(weight) > total * hot_share).select(
-        F.col(on).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in extra]
-    )
-    cold = lookup.where(F.col(weight) <= total * hot_share).select(
-        F.col(on).alias("_cold_key"),
-        F.lit(0).cast("long").alias("_cold_salt"),
-        *[F.col(c).alias(f"_cold_{c}") for c in extra],
-    )
-    served = rows.withColumn("_row_salt", row_salt(rows, salts)).join(
-        F.broadcast(hot), F.col(on) == F.col("_hot_key"), "left"
+    keys = [F.col(f"`{c}`") for c in on]
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    # Cold rows carry salt 0 and find their key; rows already served match nothing.
-    salt = F.when(F.col("_hot_key").isNotNull(), F.col("_row_salt") + 1).otherwise(F.lit(0).cast("long"))
-    joined = served.withColumn("_salt", salt).join(
-        cold, (F.col(on) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
-    )
-    return joined.select(
-        *rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in extra]
+    counted = sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    n_left, n_right = left.count(), right.count()
+    bounds = {"_l": max(int(n_left * hot_share), least), "_r": max(int(n_right * hot_share), least)}
+    hot = durable(counted.where((F.col("_l") > bounds["_l"]) | (F.col("_r") > bounds["_r"])))
+    if hot.isEmpty():
+        return null_safe_join(left, right, on, "full")
+    parts = hot.select(*keys, *[F.greatest(F.ceil(F.col(c) / b), F.lit(1)).cast("long").alias(f"{c}_parts") for c, b in bounds.items()])
+    marked_left = null_safe_join(left, parts, on, "left", hint=True)
+    marked_right = null_safe_join(right, parts, on, "left", hint=True)
+    cold = null_safe_join(
+        marked_left.where("_l_parts is null").drop("_l_parts", "_r_parts"),
+        marked_right.where("_l_parts is null").drop("_l_parts", "_r_parts"),
+        on,
+        "full",
     )
+
+    def dealt(side: DataFrame, rows: DataFrame, mine: str, other: str) -> DataFrame:
+        salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in rows.columns]), F.col(f"{mine}_parts"))
+        other_parts = F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)
+        spread = side.where("_l_parts is not null").withColumns({f"{mine}_at": salt, f"{other}_at": F.explode(other_parts)})
+        return spread.drop("_l_parts", "_r_parts")
+
+    met = null_safe_join(
+        dealt(marked_left, left, "_l", "_r"), dealt(marked_right, right, "_r", "_l"), [*on, "_l_at", "_r_at"], "inner"
+    ).drop("_l_at", "_r_at")
+    # A hot key that one side lacks has no pairs at all; its rows stand alone.
+    lonely = hot.where("_l = 0 or _r = 0").select(*keys)
+    alone_left = null_safe_join(left, lonely.withColumn("_alone", F.lit(True)), on, "inner", hint=True).drop("_alone")
+    alone_right = null_safe_join(right, lonely.withColumn("_alone", F.lit(True)), on, "inner", hint=True).drop("_alone")
+    rest = met.unionByName(alone_left, allowMissingColumns=True).unionByName(alone_right, allowMissingColumns=True)
+    return cold.unionByName(rest.select(*cold.columns))

@@ -125,11 +125,12 @@ def test_join_chain_keeps_unmatched(spark):
     assert rows(out) == [(1, "x", 2), (2, None, 1), (None, "z", 1)]
 
 
-def test_hot_keys_are_split(spark):
+@pytest.mark.parametrize("weight", ["count", None])
+def test_hot_keys_are_split(spark, weight):
     values = [7.0] * 600 + [float(i) for i in range(300)] + [None] * 3
     df = spark.createDataFrame([(v,) for v in values], "x double")
     lookup = df.where("x is not null").groupBy("x").count().withColumn("y", F.col("x") * 2)
-    joined = session.hot_split_join(df, lookup, "x", "count", hot_share=0.1, salts=4)
+    joined = session.hot_key_join(df, lookup, ["x"], weight=weight, hot_share=0.1, salts=4)
     got = joined.agg(
         F.count(F.lit(1)), F.sum((F.col("y") == F.col("x") * 2).cast("int")), F.count_if(F.col("y").isNull())
     ).first()
@@ -176,6 +177,44 @@ def test_summary_sets_agree_with_plain_groupings(spark):
         assert abs(part.mean() - r.mean_x) < 1e-9 and abs(part.std() - r.sd_x) < 1e-7
 
 
+def test_spreads_of_groups_far_apart(spark):
+    """Every group keeps its own spread, however far another one lies."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"s": ["wet"] * 2000 + ["dry"] * 2000, "t": rng.choice(["c", "w"], 4000), "x": rng.normal(size=4000)})
+    pdf.loc[2000:, "x"] += 1.7e9
+    out = rollup.summary_sets(spark.createDataFrame(pdf), {"s": ["s"], "s x t": ["s", "t"]}, ["x"]).toPandas()
+    assert len(out) == 6
+    for _, r in out.iterrows():
+        part = pdf[(pdf.s == r.s) & ((pdf.t == r.t) if r.grouping == "s x t" else True)].x
+        assert abs(part.std() - r.sd_x) < 1e-6
+
+
+def _sides_with_hot_keys(spark):
+    left = [("hot", f"l{i}") for i in range(40)] + [(None, f"n{i}") for i in range(40)] + [(f"k{i}", "l") for i in range(30)] + [("only left", f"a{i}") for i in range(30)]
+    right = [("hot", f"r{i}") for i in range(35)] + [(None, "m")] + [(f"k{i}", "r") for i in range(20, 50)] + [("only right", f"b{i}") for i in range(30)]
+    return spark.createDataFrame(left, "k string, a string"), spark.createDataFrame(right, "k string, b string")
+
+
+def test_full_join_with_hot_and_missing_keys(spark):
+    left, right = _sides_with_hot_keys(spark)
+    split = session.full_join(left, right, ["k"], hot_share=0.1, least=0)
+    plain = session.null_safe_join(left, right, ["k"], "full")
+    assert split.columns == plain.columns and rows(split) == rows(plain)
+    assert split.count() == 40 * 35 + 40 + 40 + 10 + 30 + 30
+
+
+def test_lookup_beyond_the_broadcast_size_copies_nothing(spark):
+    """Beyond the broadcast size only the lookup rows of hot keys are broadcast."""
+    keys = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 100_000).alias("g")
+    df = spark.range(300_000).select(keys, F.col("id").cast("double").alias("x"))
+    stats = df.groupBy("g").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("held"))
+    joined = session.join_checked(df, stats, ["g"], max_cells=1000, weight="held")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    want = df.groupBy("g").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    assert joined.count() == 300_000 and abs(joined.agg(F.sum("m")).first()[0] / want - 1) < 1e-12
+
+
 def test_zscores(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), ("b", 5.0), ("c", 1.0)], "g string, x double")
     whole = [r for r in rollup.zscore(df, ["x"]).toPandas().z_x.dropna()]
