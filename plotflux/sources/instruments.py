@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotflux.functions.scalars import (
@@ -14,7 +14,8 @@ from plotflux.functions.scalars import (
     try_number,
     utc_to_local,
 )
-from plotflux.sources.tables import TableSpec, choose, read_header_files
+from plotflux.sources.delimited import decoded_path, read_lines, rows_by_name
+from plotflux.sources.tables import TableSpec
 
 # File names and columns of the instruments' exports.
 LOGGER_FILE_PATTERN = r"^data_[0-9A-Za-z]+_[0-9]+\.csv$"
@@ -47,26 +48,13 @@ FLUX_EXPORT = TableSpec(
 )
 
 
-def decoded_path() -> Column:
-    """Path of the file a row comes from; blanks and accents as on disk."""
-    return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-
-
-def with_lineage(df: DataFrame) -> DataFrame:
-    """Add ``path`` and ``filename`` to rows read from files."""
-    return df.withColumn("path", decoded_path()).withColumn("filename", split_part("path", "/", -1))
-
-
 def logger_columns(raw: DataFrame, file_pattern: str) -> DataFrame:
     """Typed readings with lineage from the text fields of logger files.
 
     The sensor id is the second part of the file name. Decimal comma and decimal
-    point are both read. Works on a batch and on a stream.
+    point are both read. ``raw`` has the path of its file in ``path``. Works on a batch and on a stream.
     """
-    files = raw.select(*LOGGER_COLUMNS, "_metadata.file_path").withColumn(
-        "path", F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
-    )
-    named = files.withColumn("filename", split_part("path", "/", -1)).where(
+    named = raw.select(*LOGGER_COLUMNS, "path").withColumn("filename", split_part("path", "/", -1)).where(
         F.col("filename").rlike(file_pattern)
     )
     return named.select(
@@ -94,7 +82,13 @@ def read_logger_files(
         .options(sep=";", header=False, recursiveFileLookup=True)
         .csv(folder)
     )
-    return logger_columns(raw, file_pattern)
+    return logger_columns(raw.withColumn("path", decoded_path()), file_pattern)
+
+
+def logger_lines(lines: DataFrame, file_pattern: str = LOGGER_FILE_PATTERN) -> DataFrame:
+    """Readings from lines of logger files (``line``, ``path``), however they were read."""
+    parsed = F.from_csv(F.col("line"), LOGGER_SCHEMA, {"sep": ";"})
+    return logger_columns(lines.select(F.col("path"), parsed.alias("r")).select("r.*", "path"), file_pattern)
 
 
 def locate_readings(readings: DataFrame, registry: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
@@ -108,19 +102,15 @@ def locate_readings(readings: DataFrame, registry: DataFrame, zone: str = LOCAL_
     )
 
 
-def read_flux_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All flux exports of a folder: tab-separated with header, dates in two formats."""
-    raw = read_header_files(
-        spark, folder, sep="\t", pathGlobFilter=FLUX_FILE_GLOB, recursiveFileLookup="true"
-    )
-    columns = choose_with_path(raw)
-    return columns.withColumn("ts", parse_timestamp("date_iv", FLUX_DATE_FORMATS))
+def flux_lines(lines: DataFrame) -> DataFrame:
+    """Flux observations from lines of exports (``line``, ``path``): columns by name, dates in several formats."""
+    rows = rows_by_name(lines, FLUX_EXPORT, "\t")
+    return rows.withColumn("ts", parse_timestamp("date_iv", FLUX_DATE_FORMATS))
 
 
-def choose_with_path(raw: DataFrame) -> DataFrame:
-    kept = with_lineage(raw)
-    chosen = choose(kept, TableSpec({**FLUX_EXPORT.columns, "path": ("path", "string")}))
-    return chosen
+def read_flux_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All flux exports of a folder and its sub-folders: tab-separated with header, any order of columns per file."""
+    return flux_lines(read_lines(spark, folder, FLUX_FILE_GLOB))
 
 
 def locate_fluxes(fluxes: DataFrame, registry: DataFrame) -> DataFrame:

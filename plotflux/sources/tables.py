@@ -106,7 +106,7 @@ def read_header_files(spark: SparkSession, path, sep: str = ",", **options: str)
 
     The names come from the first file. Every other file's header is compared
     with them and a different one stops the job, since values are read by
-    position. Files of varying layouts go through ``laboratory.read_by_header``.
+    position. Files of varying layouts go through ``delimited.read_by_name``.
     """
     reader = spark.read.options(header=True, sep=sep, nullValue=MISSING_TEXT, **options)
     layout = reader.csv(path).schema

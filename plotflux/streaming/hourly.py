@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plotflux.sources.delimited import decoded_path
 from plotflux.sources.instruments import LOGGER_FILE_PATTERN, LOGGER_SCHEMA, logger_columns
 
 
@@ -20,7 +21,7 @@ def stream_logger_files(
         .options(sep=";", header=False, recursiveFileLookup=True, maxFilesPerTrigger=files_per_batch)
         .csv(folder)
     )
-    return logger_columns(raw, file_pattern)
+    return logger_columns(raw.withColumn("path", decoded_path()), file_pattern)
 
 
 def hourly_partials(

@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from plotflux.plans import flux, microclimate, soil
-from plotflux.sources import instruments, laboratory, tables
+from plotflux.sources import delimited, instruments, laboratory, tables
 from plotflux.streaming.hourly import hourly_partials, merge_hours, stream_logger_files
 
 BOM = "﻿"
@@ -146,6 +146,53 @@ def test_flux_files_of_another_layout_stop_the_job(spark, tmp_path):
         tables.read_header_files(spark, str(tmp_path), "\t").collect()
 
 
+def test_flux_folder_of_several_layouts(spark, tmp_path):
+    """Three layouts and orders in one folder, and sub-folder, come out as one frame; surplus columns are ignored."""
+    names = list(instruments.FLUX_EXPORT.columns)
+    values = {n: f"v{k}" for k, n in enumerate(names)} | {"Date_IV": "2021-10-03 12:10:00", "Exp_Flux": "1.5", "Exp_R2": "0.9", "Obs#": "7", "Offset": "2", "Area": "318", "Tcham_IV": "11", "Pressure_IV": "70", "RH_IV": "80"}
+    orders = [names, names[::-1], ["Extra", *names[5:], "More, of it", *names[:5]]]
+    (tmp_path / "sub").mkdir()
+    for k, order in enumerate(orders):
+        lines = [BOM * (k == 1) + "\t".join(order)]
+        for i in range(3):
+            row = values | {"Label": f"{k}-{i}", "Extra": "x", "More, of it": "9"}
+            lines.append("\t".join(row[n] for n in order))
+        (tmp_path / ("sub" if k else ".") / f"L{k}_offset.txt").write_text("\r\n".join(lines + ["", ""]), encoding="utf-8")
+    df = instruments.read_flux_files(spark, str(tmp_path))
+    assert rows(df, "collar") == [(f"{k}-{i}",) for k in range(3) for i in range(3)]
+    fixed = df.drop("collar", "path").distinct().collect()
+    assert len(fixed) == 1 and (fixed[0]["exp_flux"], fixed[0]["obs"], fixed[0]["rh"]) == (1.5, 7, 80.0)
+    assert fixed[0]["ts"] == dt.datetime(2021, 10, 3, 12, 10) and "_places" not in df.columns
+    (tmp_path / "bad_offset.txt").write_text("Label\tExp_R2\nx\t1\n")
+    with pytest.raises(Exception, match="no header"):
+        instruments.read_flux_files(spark, str(tmp_path)).collect()
+
+
+def test_split_files_keep_their_header(spark, tmp_path):
+    """A file cut in many splits is read by the header of its first one."""
+    spec = tables.TableSpec({"b": ("b", "int"), "a": ("a", "string")})
+    (tmp_path / "x.csv").write_text("a,junk,b\n" + "".join(f'"n {i}, q",j,{i}\n' for i in range(20_000)))
+    (tmp_path / "y.csv").write_text("b,a\n1,y\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = delimited.read_by_name(spark, str(tmp_path), spec)
+        assert df.rdd.getNumPartitions() > 8
+        got = df.agg(F.count("b"), F.sum("b"), F.count_if(F.col("a") == F.format_string("n %d, q", F.col("b")))).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert tuple(got) == (20_001, sum(range(20_000)) + 1, 20_000)
+
+
+def test_records_over_several_lines(spark, tmp_path):
+    """Quoted line breaks and doubled quotes stay in their record; quotes of the preamble do not count."""
+    text = 'a 5" pipe\nsecond\nSample Name,Note,"Result\n(x)"\n"one\r\ntwo","say ""hi\nthere"" now",1\nplain,,2\n\n"",x,3\n'
+    (tmp_path / "r.csv").write_text(text, newline="")
+    got = rows(laboratory.read_by_header(spark, str(tmp_path), {"Sample Name": "s", "Note": "n", "Result\n(x)": "r"}, 2), "s", "n", "r")
+    assert got == [("one\r\ntwo", 'say "hi\nthere" now', "1"), ("plain", None, "2"), (None, "x", "3")] or got == [
+        ("", "x", "3"), ("one\r\ntwo", 'say "hi\nthere" now', "1"), ("plain", None, "2")]
+
+
 def test_lab_files_are_read_by_header(spark, site):
     got = rows(laboratory.read_carbon_files(spark, str(site / "lab")), "sample_id", "npoc_mg_l", "tdn_mg_l")
     assert len(got) == 17 and ("1-2 con fum", "40", "4") in got and ("1-2 con uf", "20", "2") in got
