@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,11 @@ from plotflux.llm.shared import slices
 SPACE = "▁"
 #: Remembered words of one Python worker; beyond it the memory starts afresh.
 MEMORY = 200_000
-#: Longer stretches are not remembered, so that the memory's size stays bounded.
+#: Longer words are not remembered from batch to batch, so that the memory's size stays bounded.
 LONGEST = 200
+#: Words up to this length are merged side by side.
+SIDE_BY_SIDE = 40
+_NONE = np.iinfo(np.int32).max
 
 
 class PieceEncoder:
@@ -29,7 +35,8 @@ class PieceEncoder:
     neighbours enter, until the agenda is empty. Symbols that are no piece become their UTF-8 bytes.
 
     Where no piece has a space symbol behind another character, a merge never reaches across the
-    start of a word, so words are merged on their own and remembered.
+    start of a word, so words are merged on their own, once for all texts of a batch, and remembered.
+    Every word is compared with what the sentencepiece library makes of it when it is merged.
     """
 
     def __init__(self, model: str):
@@ -38,28 +45,116 @@ class PieceEncoder:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         kinds = (self.library.is_control, self.library.is_unknown, self.library.is_byte, self.library.is_unused)
         size = self.library.vocab_size()
-        self.pieces = [self.library.id_to_piece(i) for i in range(size)]
-        self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
-        self.ids = {self.pieces[i]: i for i in range(size) if not any(kind(i) for kind in kinds)}
-        self.scores = {piece: self.library.get_score(i) for piece, i in self.ids.items()}
-        self.unknown = self.library.unk_id()
+        pieces = [self.library.id_to_piece(i) for i in range(size)]
         if any(self.library.is_unused(i) for i in range(size)):
             raise ValueError("vocabularies with unused pieces are not supported")
+        self.bytes = {int(pieces[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
+        self.ids = {pieces[i]: i for i in range(size) if not any(kind(i) for kind in kinds)}
+        self.scores = {piece: self.library.get_score(i) for piece, i in self.ids.items()}
+        self.unknown = self.library.unk_id()
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.prefixed = self.library.normalize("a").startswith(SPACE)
+        self._known: dict[str, bytes] = {}
+        self._wrong: set[str] = set()
+        self._build_pairs()
+
+    def _build_pairs(self) -> None:
+        """Numbers of symbols, and for every pair of them that joins to a piece its place in the order of merges."""
+        symbols = dict.fromkeys(self.ids) | dict.fromkeys(c for p in self.ids for c in p)
+        self.symbols = {s: k for k, s in enumerate(symbols)}
+        self.static = len(self.symbols)
+        self.encoded = [self._symbol_ids(s) for s in self.symbols]
+        order = {score: k for k, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = [
+            (self.symbols[left] * self.static + self.symbols[right], order[self.scores[piece]], self.symbols[piece])
+            for piece in self.ids
+            for at in range(1, len(piece))
+            if (left := piece[:at]) in self.symbols and (right := piece[at:]) in self.symbols
+        ]
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.pair_codes, self.pair_ranks, self.pair_joins = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].copy()
 
-    def merge(self, stretch: str) -> tuple[int, ...]:
-        """Ids of a stretch of normalised text, by the agenda."""
+    def _symbol_ids(self, symbol: str) -> bytes:
+        """Ids of a final symbol, as little-endian integers of 32 bits."""
+        known = self.ids.get(symbol)
+        if known is not None:
+            return np.array([known], "<i4").tobytes()
+        if self.bytes:
+            return np.array([self.bytes[b] for b in symbol.encode()], "<i4").tobytes()
+        return np.array([self.unknown], "<i4").tobytes()
+
+    def _number(self, char: str) -> int:
+        """The number of a character; one that no piece holds gets a number when it is first seen."""
+        k = self.symbols.get(char)
+        if k is None:
+            k = self.symbols[char] = len(self.encoded)
+            self.encoded.append(self._symbol_ids(char))
+        return k
+
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and joined symbol of pairs; no rank where they join to no piece."""
+        code = left * self.static + right
+        at = np.minimum(np.searchsorted(self.pair_codes, code), max(len(self.pair_codes) - 1, 0))
+        if not len(self.pair_codes):
+            return np.full(left.shape, _NONE, np.int32), np.zeros(left.shape, np.int64)
+        good = (self.pair_codes[at] == code) & (left < self.static) & (right < self.static)
+        return np.where(good, self.pair_ranks[at], _NONE).astype(np.int32), self.pair_joins[at]
+
+    def merge_side_by_side(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, every word with a row of its own in the agenda.
+
+        A round merges the best pair of every row, drops it from the agenda and enters its two neighbours.
+        """
+        n = len(words[0])
+        number = {c: self._number(c) for c in set("".join(words))}
+        symbols = np.array([number[c] for w in words for c in w], np.int64).reshape(len(words), n)
+        rank, join = self._joins(symbols[:, :-1], symbols[:, 1:])
+        out: list[bytes] = [b""] * len(words)
+        rows = np.arange(len(words))
+        while len(rows):
+            n = symbols.shape[1]
+            if n > 1:
+                place = rank.argmin(1)
+                every = np.arange(len(rows))
+                merges = rank[every, place] != _NONE
+            else:
+                merges = np.zeros(len(rows), bool)
+            for row, final in zip(rows[~merges].tolist(), symbols[~merges].tolist()):
+                out[row] = b"".join([self.encoded[s] for s in final])
+            if not merges.any():
+                break
+            rows, symbols, rank, join, place = rows[merges], symbols[merges], rank[merges], join[merges], place[merges]
+            every = np.arange(len(rows))
+            symbols[every, place] = join[every, place]
+            stays = np.ones(symbols.shape, bool)
+            stays[every, place + 1] = False
+            symbols = symbols[stays].reshape(len(rows), n - 1)
+            stays = np.ones(rank.shape, bool)
+            stays[every, place] = False
+            rank, join = rank[stays].reshape(len(rows), n - 2), join[stays].reshape(len(rows), n - 2)
+            for side in (place - 1, place):
+                has = np.flatnonzero((side >= 0) & (side < n - 2))
+                at = side[has]
+                rank[has, at], join[has, at] = self._joins(symbols[has, at], symbols[has, at + 1])
+        return out
+
+    def merge(self, stretch: str) -> bytes:
+        """Ids of a stretch of any length, its agenda in a heap."""
         symbols: list[str] = list(stretch)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         scores = self.scores
-        agenda = []
-        for i in range(n - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
+        agenda: list[tuple[float, int, int]] = []
+
+        def enter(left: int, right: int) -> None:
+            joined = symbols[left] + symbols[right]
+            score = scores.get(joined)
             if score is not None:
-                agenda.append((-score, i, 2))
-        heapq.heapify(agenda)
+                heapq.heappush(agenda, (-score, left, len(joined)))
+
+        for i in range(n - 1):
+            enter(i, i + 1)
         while agenda:
             _, left, size = heapq.heappop(agenda)
             right = after[left]
@@ -71,61 +166,63 @@ class PieceEncoder:
             nearest = after[left] = after[right]
             if nearest < n:
                 before[nearest] = left
-                self._enter(agenda, symbols, left, nearest)
+                enter(left, nearest)
             if before[left] >= 0:
-                self._enter(agenda, symbols, before[left], left)
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                known = self.ids.get(symbol)
-                if known is not None:
-                    out.append(known)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in symbol.encode())
-                else:
-                    out.append(self.unknown)
-        return tuple(out)
-
-    def _enter(self, agenda: list, symbols: list[str], left: int, right: int) -> None:
-        joined = symbols[left] + symbols[right]
-        score = self.scores.get(joined)
-        if score is not None:
-            heapq.heappush(agenda, (-score, left, len(joined)))
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._known.get(word)
-        if ids is None:
-            ids = self.merge(word)
-            if len(word) <= LONGEST:
-                if len(self._known) >= MEMORY:
-                    self._known.clear()
-                self._known[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without begin or end ids."""
-        normal = self.library.normalize(text)
-        if not normal:
+                enter(before[left], left)
+        return b"".join(self._symbol_ids(symbol) for symbol in symbols if symbol)
+
+    def _learn(self, words: set[str]) -> None:
+        """Merge words and compare each with the library's ids of it."""
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if len(word) <= SIDE_BY_SIDE:
+                by_length.setdefault(len(word), []).append(word)
+            else:
+                self._known[word] = self.merge(word)
+        for same in by_length.values():
+            self._known.update(zip(same, self.merge_side_by_side(same)))
+        self._wrong.update(self._differing([w for w in words if w.strip(SPACE)]))
+        # Nothing but spaces is asked for behind a letter.
+        letter = self.library.encode("a")
+        for word in words:
+            if not word.strip(SPACE):
+                theirs = self.library.encode("a" + " " * len(word))[len(letter) :]
+                if np.array(theirs, "<i4").tobytes() != self._known[word]:
+                    self._wrong.add(word)
+
+    def _differing(self, words: list[str]) -> list[str]:
+        """Words to which the library gives other ids than the agenda did; all of them are asked for at once."""
+        # The normaliser puts one space symbol in front of a text.
+        texts = [(w[1:] if self.prefixed and w[0] == SPACE else w).replace(SPACE, " ") for w in words]
+        theirs = self.library.encode(texts, num_threads=1)
+        mine = [self._known[w] for w in words]
+        sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        same_size = np.array_equal(sizes * 4, np.fromiter(map(len, mine), np.int64, len(mine)))
+        ids = np.fromiter(chain.from_iterable(theirs), "<i4", int(sizes.sum()))
+        if same_size and ids.tobytes() == b"".join(mine):
             return []
+        return [w for w, a, b in zip(words, mine, theirs) if np.array(b, "<i4").tobytes() != a]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of whole texts, without begin or end ids, as little-endian integers; and whether the library agrees."""
         if not self.by_word:
-            return list(self.merge(normal))
-        out: list[int] = []
-        # A word is a run of space symbols with the characters up to the next one. All but the last
-        # symbol of a run stay with it, since pieces of several space symbols exist.
-        first, *parts = normal.split(SPACE)
-        if first:
-            out.extend(self._word(first))
-        held = ""
-        known, word = self._known, self._word
-        for part in parts:
-            held += SPACE
-            if part:
-                whole = held + part
-                out.extend(known.get(whole) or word(whole))
-                held = ""
-        if held:
-            out.extend(word(held))
-        return out
+            ids = [self.merge(self.library.normalize(t)) for t in texts]
+            theirs = self.library.encode_as_numpy(texts, num_threads=1)
+            return ids, [a == b.astype("<i4").tobytes() for a, b in zip(ids, theirs)]
+        split = [self.word.findall(self.library.normalize(t)) for t in texts]
+        words = set().union(*split)
+        fresh = words.difference(self._known)
+        if len(self._known) + len(fresh) > MEMORY:
+            self._known, self._wrong, fresh = {}, set(), words
+        if fresh:
+            self._learn(fresh)
+        known = self._known
+        ids = [b"".join(map(known.__getitem__, one)) for one in split]
+        agree = [not self._wrong or self._wrong.isdisjoint(one) for one in split]
+        for word in fresh:
+            if len(word) > LONGEST:
+                known.pop(word)
+        return ids, agree
 
 
 @lru_cache(maxsize=4)
@@ -138,8 +235,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """Encode every whole text and decode it again: ``id_col``, ``ids``, ``decoded``, ``agrees``.
 
     ``ids`` (array of int) come from the agenda of ``PieceEncoder``; ``decoded`` is the library's
-    ``decode(ids)``. ``agrees`` tells whether the sentencepiece library, asked for the same Arrow
-    batch, gives the same ids. The model file must lie at the path ``model`` on every worker.
+    ``decode(ids)``. In every Arrow batch the words that the worker does not remember are merged, and compared
+    with the ids that the sentencepiece library gives them; ``agrees`` tells whether all words of the text
+    did. Texts are compared whole where pieces may reach across words.
+    The model file must lie at the path ``model`` on every worker.
 
     One row per row: null ids, repeated ids and repeated rows stay rows of their own. Null and empty texts
     have no ids, decode to the empty text and agree. Very long texts are encoded whole. Other columns are
@@ -149,18 +248,25 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = encoder(model)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [mine.encode(t) for t in texts]
-            theirs = mine.library.encode(texts, num_threads=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array(mine.library.decode(ids, num_threads=1) if ids else [], pa.string()),
-                    pa.array([a == b for a, b in zip(ids, theirs)], pa.bool_()),
-                ],
-                names=["id", "ids", "decoded", "agrees"],
-            )
+            ids, agrees = mine.encode([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.cumsum([0, *[len(one) // 4 for one in ids]], dtype=np.int64)
+            values = np.frombuffer(b"".join(ids), "<i4")
+            # Array offsets have 32 bits; a slice of longer texts goes in several parts.
+            at = 0
+            while at < len(ids):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + 100_000_000, side="right")) - 1)
+                part = values[ends[at] : ends[end]]
+                listed = [values[ends[k] : ends[k + 1]].tolist() for k in range(at, end)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, end - at),
+                        pa.ListArray.from_arrays(pa.array(ends[at : end + 1] - ends[at], pa.int32()), pa.array(part, pa.int32())),
+                        pa.array(mine.library.decode(listed, num_threads=1), pa.string()),
+                        pa.array(agrees[at:end], pa.bool_()),
+                    ],
+                    names=["id", "ids", "decoded", "agrees"],
+                )
+                at = end
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
