@@ -6,143 +6,198 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, slices, stored
+from plotflux.llm.shared import bit_map, in_bit_map, mix, slices, stored, word_hashes
 from plotflux.session import hot_key_join
 
 #: Ends of pieces; no word holds one, so a full stop can stand for all of them.
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 NO_LANG = "und"
-#: Different phrases that one task counts or remembers at a time.
-HELD = 400_000
+#: Different phrases, and hashes of phrases, that a task holds before it hands on their counts.
+HELD, HASHES_HELD = 200_000, 3_000_000
 #: Bits of a filter per frequent phrase, and of a filter at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 
+_RELATION = "lang string, words string, at array<int>, size long"
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-def phrases_of(words: list[bytes], k: int) -> Iterator[bytes]:
-    """Contiguous phrases of ``k`` words, space-joined."""
-    return iter(words) if k == 1 else map(b" ".join, zip(*[words[i:] for i in range(k)]))
 
+class Occurrences:
+    """The rows of an occurrence relation of one Arrow batch, as arrays over all their words.
 
-class _Passing(dict):
-    """Which phrases of one language pass a filter, worked out once and remembered."""
-
-    def __init__(self, lang: bytes, filled: np.ndarray, bits: int):
-        super().__init__()
-        self.seed, self.filled, self.mask = zlib.crc32(lang + b"\n"), filled, (1 << bits) - 1
+    ``words`` of a row are joined by single spaces, a full stop between pieces; ``at`` are the sorted places
+    in them at which the row's phrases of ``k`` words start. Rows are laid end to end with a full stop between,
+    so places that differ by one belong to neighbours in one piece.
+    """
 
-    def __missing__(self, phrase: bytes) -> bool:
-        place = zlib.crc32(phrase, self.seed) & self.mask
-        if len(self) >= HELD:
-            self.clear()
-        passes = self[phrase] = bool((int(self.filled[place >> 5]) >> (place & 31)) & 1)
-        return passes
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        self.langs = batch.column(0).to_pylist()
+        texts = [t or b"." for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        self.data = b" . ".join(texts)
+        sizes = np.array([t.count(b" ") + 1 for t in texts], np.int64)
+        self.begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(sizes) else np.zeros(0, np.int64)
+        self.ends = self.begins + sizes
+        self.k = k
+        listed = batch.column(2)
+        lengths = np.diff(listed.offsets.to_numpy()) if len(texts) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        self.at = listed.flatten().to_numpy().astype(np.int64) + self.begins[owner]
+        self.owner = owner
+
+    def extended(self) -> tuple[np.ndarray, np.ndarray]:
+        """Merge join of the relation with itself: places, with their rows, whose next place in the piece holds a phrase too."""
+        if self.k == 0:
+            return self.at, self.owner
+        next_to = np.flatnonzero(np.diff(self.at) == 1)
+        return self.at[next_to], self.owner[next_to]
+
+    def hashes(self, at: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the phrases of ``k`` words at places, apart per language."""
+        words = word_hashes(self.data, folded=False)
+        seeds = np.array([zlib.crc32(lang.encode()) for lang in self.langs], np.uint64)
+        h = mix(seeds + np.uint64(k))[owner]
+        for j in range(k):
+            h = (h ^ words[at + j]) * _GOLD
+            h ^= h >> np.uint64(29)
+        return mix(h)
+
+    def narrowed(self, at: np.ndarray, owner: np.ndarray, k: int) -> tuple[list[bytes], list[np.ndarray]]:
+        """Words and places of each row with nothing left but the phrases at ``at``; gaps become a full stop."""
+        words = self.data.split(b" ")
+        edge = np.zeros(len(words) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + k, -1)
+        held = np.cumsum(edge[:-1]) > 0
+        gap = ~held & np.concatenate(([False], held[:-1]))
+        kept = held | gap
+        number = np.cumsum(kept) - kept
+        short = [w if h else b"." for w, h in zip(compress(words, kept), compress(held, kept))]
+        first, last = number[self.begins], number[np.minimum(self.ends, len(words) - 1)]
+        last = np.where(self.ends < len(words), last, len(short))
+        split = np.searchsorted(owner, np.arange(len(self.langs) + 1))
+        texts = [b" ".join(short[a:b]) for a, b in zip(first.tolist(), last.tolist())]
+        places = [number[at[a:b]] - f for a, b, f in zip(split[:-1], split[1:], first)]
+        return texts, places
+
+
+def _relation(langs: list, texts: list[bytes], places: list[np.ndarray], sizes) -> pa.RecordBatch:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32)
+    flat = np.concatenate(places) if places else np.zeros(0)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(langs, pa.string()),
+            pa.array(texts, pa.binary()).cast(pa.string()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))),
+            pa.array(sizes, pa.int64()),
+        ],
+        names=["lang", "words", "at", "size"],
+    )
 
 
-def _count(relation: DataFrame, k: int) -> DataFrame:
-    """Group-count: how often every phrase of ``k`` words occurs in a relation, per ``lang``.
+def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The occurrence relation before any length: a row per document with its words, and every word's place.
 
-    Tasks count what they hold and hand on at most one row per phrase for every ``HELD`` different ones.
+    ``lang``, ``words`` (lower-cased, in order, a full stop between pieces), ``at`` (places of words), ``size``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        for batch in slices(batches):
+            texts = [b" ".join(ENDS.sub(b" . ", t.lower()).split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            places = []
+            for text in texts:
+                raw = np.frombuffer(text, np.uint8)
+                starts = np.concatenate(([0], np.flatnonzero(raw == 32) + 1)) if len(raw) else np.zeros(0, np.int64)
+                places.append(np.flatnonzero(raw[starts] != 46))
+            yield _relation(batch.column(0).to_pylist(), texts, places, [len(p) for p in places])
+
+    rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    return rows.where("text is not null").mapInArrow(run, _RELATION)
+
+
+def _hash_counts(relation: DataFrame, k: int) -> DataFrame:
+    """Group-count by hash: how often each hash of a phrase of ``k`` words occurs, ``h`` and ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                names, numbers = list(counts), list(counts.values())
-                for at in range(0, len(names), 50_000):
-                    part = names[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(part), pa.string()),
-                            pa.array(part, pa.binary()).cast(pa.string()),
-                            pa.array(numbers[at : at + 50_000], pa.int64()),
-                        ],
-                        names=["lang", "phrase", "n"],
-                    )
+            h, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            for at in range(0, len(h), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], names=["h", "n"])
 
         for batch in slices(batches):
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                counts = held.setdefault(lang, Counter())
-                for stretch in data.split(b"."):
-                    counts.update(phrases_of(stretch.split(), k))
-                    if len(counts) >= HELD:
-                        yield from emit()
-                        counts = held.setdefault(lang, Counter())
-            if sum(map(len, held.values())) >= HELD:
-                yield from emit()
-        yield from emit()
+            rows = Occurrences(batch, k - 1)
+            at, owner = rows.extended()
+            if len(at):
+                held.append(rows.hashes(at, owner, k))
+                if sum(map(len, held)) >= HASHES_HELD:
+                    yield from emit()
+        if held:
+            yield from emit()
 
-    parts = relation.select("lang", "words").mapInArrow(run, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return relation.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _extendable(relation: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """Semi-join a relation with the frequent phrases of ``k`` words and keep what can grow by a word.
+def _extend(relation: DataFrame, k: int, least: int) -> DataFrame:
+    """The relation of phrases of ``k`` words: merge-joined from shorter ones, semi-joined with the frequent groups.
 
-    A document's occurrences lie in the order of their pieces and places. Neighbours, whose places in
-    a piece differ by one, are kept as one stretch, so the merge join by piece and adjacent place is a
-    step along the document: every stretch of the result has at least ``k + 1`` words, and all its
-    phrases of ``k`` words are frequent. The filter may let some others pass; they never lose one.
+    Groups are counted by hash, of which none with ``least`` occurrences can be missing; the filter of
+    their hashes may let rarer phrases pass, and never loses one.
     """
-    rows = frequent.select(F.crc32(F.concat_ws("\n", "lang", "phrase")).alias("h"))
-    bits = int(min(max(np.ceil(np.log2(max(rows.count(), 1) * BITS_EACH)), 10), MOST_BITS))
-    shared = relation.sparkSession.sparkContext.broadcast(bit_map(rows, "h", bits))
+    frequent = stored(_hash_counts(relation, k).where(F.col("n") >= least).select("h"))
+    bits = int(min(max(np.ceil(np.log2(max(frequent.count(), 1) * BITS_EACH)), 10), MOST_BITS))
+    shared = relation.sparkSession.sparkContext.broadcast(bit_map(frequent, "h", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, _Passing] = {}
         for batch in slices(batches):
-            langs, kept = batch.column(0).to_pylist(), []
-            for lang, data in zip(langs, batch.column(1).cast(pa.binary()).to_pylist()):
-                if lang not in memory:
-                    if len(memory) >= 16:
-                        memory.clear()
-                    memory[lang] = _Passing(lang.encode(), shared.value, bits)
-                passing, out = memory[lang].__getitem__, []
-                for stretch in data.split(b"."):
-                    words = stretch.split()
-                    start = None
-                    for at, good in enumerate(map(passing, phrases_of(words, k))):
-                        if good:
-                            if start is None:
-                                start = at
-                        elif start is not None:
-                            if at - start > 1:
-                                out.append(b" ".join(words[start : at - 1 + k]))
-                            start = None
-                    if start is not None and len(words) - k - start > 0:
-                        out.append(b" ".join(words[start:]))
-                kept.append(b".".join(out))
-            some = [i for i, data in enumerate(kept) if data]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[i] for i in some], pa.string()), pa.array([kept[i] for i in some], pa.binary()).cast(pa.string())],
-                names=["lang", "words"],
-            )
-
-    return relation.select("lang", "words").mapInArrow(run, "lang string, words string")
+            rows = Occurrences(batch, k - 1)
+            at, owner = rows.extended()
+            if len(at):
+                good = in_bit_map(shared.value, bits, rows.hashes(at, owner, k))
+                at, owner = at[good], owner[good]
+            yield _relation(rows.langs, *rows.narrowed(at, owner, k), batch.column(3))
 
+    return relation.mapInArrow(run, _RELATION)
 
-def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The occurrence relation of single words: ``lang`` and ``words``, one row per document with words.
 
-    ``words`` are the lower-cased words in order, a full stop between pieces.
-    """
+def _count(relation: DataFrame, k: int) -> DataFrame:
+    """Group-count of a relation by the phrases themselves, per ``lang``: exact, on what the filter left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            words = [b" ".join(ENDS.sub(b" . ", t.lower()).split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()).cast(pa.string())], names=["lang", "words"])
+        held: dict[str, Counter] = {}
 
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    return rows.where("text is not null").mapInArrow(run, "lang string, words string")
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                names, numbers = list(counts), list(counts.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())],
+                    names=["lang", "phrase", "n"],
+                )
+            held.clear()
+
+        for batch in slices(batches, 100):
+            for lang, data, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+                places = at.values.to_numpy()
+                if len(places):
+                    words = data.split(b" ")
+                    mine = np.zeros(len(words), bool)
+                    mine[places] = True
+                    starts = [compress(words[j:], mine) for j in range(k)]
+                    held.setdefault(lang, Counter()).update(map(b" ".join, zip(*starts)))
+            if sum(map(len, held.values())) >= HELD:
+                yield from emit()
+        yield from emit()
+
+    parts = relation.mapInArrow(run, "lang string, phrase string, n long")
+    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _wide(column: Column | str) -> Column:
@@ -166,10 +221,11 @@ def collocations(
     Candidates inside a longer candidate with at least ``covered`` percent of their count are dropped. ``n`` is
     the number of all words of the language. Ranks go by score and ``a``, descending, then the phrase's bytes.
 
-    Set-oriented mining: the relation of length ``k`` is stored; its phrases of ``k + 1`` words are grouped and
-    counted; groups of at least ``least`` stay; the relation is semi-joined with them, and neighbours by piece
-    and place are merged, before the next length. All phrases of a frequent phrase are frequent, so nothing is
-    lost, and all counts are exact. Relations hold one row per document and are read where they lie: only
+    Set-oriented mining: the occurrence relation of every length is stored, in the order of pieces and places. For
+    the next length it is merge-joined with itself by piece and adjacent place, since both phrases of ``k``
+    words inside one of ``k + 1`` must be frequent; the joined phrases are grouped and counted by hash, those in groups of at
+    least ``least`` stay (semi-join), and of these the phrases themselves are counted. All phrases of a frequent
+    phrase are frequent, so nothing is lost, and all counts are exact. Relations hold one row per document and are read where they lie: only
     counts are shuffled, combined before. Frequent groups go to tasks as a bit map of bounded size, which
     prunes less beyond some ten million groups and changes no result.
 
@@ -179,14 +235,11 @@ def collocations(
     relation = occurrences(docs, text_col, lang_col)
     sizes, frequent = None, []
     for k in range(1, longest + 1):
-        counts = _count(relation, k)
+        relation = stored(_extend(relation, k, least))
         if k == 1:
-            counts = stored(counts)
-            sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
-        kept = counts.where(F.col("n") >= least) if k == 1 else stored(counts.where(F.col("n") >= least))
-        frequent.append(kept.withColumn("k", F.lit(k)))
-        if k < longest:
-            relation = stored(_extendable(relation, kept, k))
+            sizes = relation.groupBy("lang").agg(F.sum("size").alias("size"))
+        relation = relation.where(F.size("at") > 0)
+        frequent.append(_count(relation, k).where(F.col("n") >= least).withColumn("k", F.lit(k)))
 
     known = frequent[0]
     for one in frequent[1:]:
