@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotflux.functions.pvalues import t_quantile
-from plotflux.operators.orderstats import WINDOW_ROWS, quantiles
+from plotflux.operators.orderstats import HELD_VALUES, WINDOW_ROWS, column_quantiles, quantiles
 from plotflux.operators.rollup import error_bars, summarise
 from plotflux.session import join_checked
 
@@ -20,20 +20,17 @@ def _number(column: str):
     return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
 
 
-def column_profile(df: DataFrame, columns: Sequence[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and missing count, one row per column."""
-    long = df.select(*[_number(c).alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    basic = long.groupBy("column").agg(
-        F.min("value").alias("min"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("max"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-    )
-    # Both sides have one row per column name.
-    return basic.join(quantiles(long, "value", QUARTILES, ["column"], window_rows), "column", "left").select(
-        "column", "min", "q1", "median", "mean", "q3", "max", "n_missing"
+def column_profile(df: DataFrame, columns: Sequence[str], held_values: int = HELD_VALUES) -> DataFrame:
+    """Minimum, quartiles, mean, maximum and missing count, one row per column.
+
+    All columns are worked out side by side, in a few aggregations over the rows as they lie.
+    """
+    also = {"min": F.min, "mean": F.avg, "max": F.max, "n_missing": lambda v: F.count_if(v.isNull())}
+    found = column_quantiles(df, columns, QUARTILES, also, held_values)
+    names = ("min", "q1", "median", "mean", "q3", "max", "n_missing")
+    rows = [(c, *[found[c][n] for n in names]) for c in columns]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, min double, q1 double, median double, mean double, q3 double, max double, n_missing long"
     )
 
 

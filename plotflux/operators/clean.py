@@ -104,13 +104,18 @@ def constant_lookup(df: DataFrame, key: str, values: Mapping, name: str) -> Data
     return df.join(F.broadcast(table), df[key] == table["_key"], "left").drop("_key")
 
 
-def level_table(df: DataFrame, column: str) -> DataFrame:
+def level_table(df: DataFrame, column: str, small: int = 100_000) -> DataFrame:
     """Levels of a factor and their alphabetical place, from 1: ``level``, ``alphabetical``.
 
-    Places are counted within ranges of levels and shifted by the ranges' sizes, so
-    any number of levels is ordered without one task seeing them all. Missing is no level.
+    Up to ``small`` levels (counted) are numbered by one window. Beyond, places are counted within
+    ranges of levels and shifted by the ranges' sizes, so any number of levels is ordered without
+    one task seeing them all. Missing is no level.
     """
-    levels = durable(df.select(F.col(column).alias("level")).where("level is not null").distinct())
+    levels = df.select(F.col(column).alias("level")).where("level is not null").distinct()
+    if levels.count() <= small:
+        place = F.row_number().over(Window.orderBy("level"))
+        return levels.select("level", place.alias("alphabetical"))
+    levels = durable(levels)
     ranged = durable(levels.repartitionByRange("level").withColumn("_range", F.spark_partition_id()))
     sizes = dict(ranged.groupBy("_range").count().collect())
     before, offset = {}, 0

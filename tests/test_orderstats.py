@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plotflux.operators import charts
+from plotflux.operators import charts, orderstats
 from plotflux.operators.correlate import pearson_tests, spearman_matrix, spearman_tests, with_significance
 from plotflux.operators.orderstats import average_ranks, hinges, quantiles
 from plotflux.operators.outliers import outlier_rows, tukey_fences
@@ -112,6 +112,38 @@ def test_error_bars_and_smooth_band(spark):
     assert len(band) == 5 and (band.lower < band.fit).all() and (band.fit < band.upper).all()
 
 
+@pytest.mark.parametrize("held", [10**6, 500, 0])
+def test_many_columns_side_by_side(spark, held):
+    """Hot values, infinities, missing values and an empty column, closed in on in one go without moving a row."""
+    rng = np.random.default_rng(12)
+    n = 30_000
+    pdf = pd.DataFrame({
+        "normal": rng.normal(size=n),
+        "hot": np.where(rng.random(n) < 0.4, 3.5, rng.random(n) * 7),
+        "few": rng.integers(0, 5, n).astype(float),
+        "big": rng.exponential(size=n) * 1e300,
+        "gaps": np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n)),
+    })
+    pdf.loc[:3, "normal"] = [np.inf, -np.inf, np.inf, np.nan]
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double"))
+    probs = {"p1": 0.01, "q1": 0.25, "median": 0.5, "p999": 0.999}
+    got = orderstats.column_quantiles(df, df.columns, probs, held_values=held)
+    for c in pdf:
+        v = np.sort(pdf[c].dropna().to_numpy())
+        assert got[c]["n"] == len(v)
+        for name, p in probs.items():
+            assert got[c][name] == pytest.approx(np.quantile(v, p), rel=1e-12)
+    assert got["none"] == {"n": 0, "p1": None, "q1": None, "median": None, "p999": None}
+
+
+def test_profile_moves_no_row(spark):
+    """No row is repeated per column and none is shuffled but for the counts."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("a"), (F.col("id") % 11).alias("b"))
+    out = {r["column"]: r for r in charts.column_profile(df, ["a", "b"], held_values=100).collect()}
+    values = np.sort(np.arange(100_000) * 7919 % 100_003)
+    assert out["a"]["q1"] == np.quantile(values, 0.25) and out["b"]["median"] == 5.0 and out["b"]["n_missing"] == 0
+
+
 @pytest.mark.parametrize("window_rows,max_cells", [(10**6, 10**6), (0, 10**6), (0, 0), (10**6, 0)])
 def test_spearman(spark, window_rows, max_cells):
     pdf = skewed(2500).assign(w=lambda d: d.v + d.g)

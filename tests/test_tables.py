@@ -290,8 +290,9 @@ def test_summary_sets_of_values_far_from_zero(spark):
             assert abs(r[f"mean_{c}"] - centre) < 1e-5 and abs(r[f"sd_{c}"] - sd) < 1e-6
 
 
-def test_level_table(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_level_table(spark, small):
     words = [f"w{k * 7 % 50:02d}" for k in range(200)] + [None]
-    got = {r["level"]: r["alphabetical"] for r in clean.level_table(spark.createDataFrame([(w,) for w in words], "f string"), "f").collect()}
+    got = {r["level"]: r["alphabetical"] for r in clean.level_table(spark.createDataFrame([(w,) for w in words], "f string"), "f", small).collect()}
     assert got == {w: k + 1 for k, w in enumerate(sorted({w for w in words if w}))}
-    assert clean.level_table(spark.createDataFrame([], "f string"), "f").collect() == []
+    assert clean.level_table(spark.createDataFrame([], "f string"), "f", small).collect() == []
