@@ -20,7 +20,7 @@ from plotflux.session import hot_key_join
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 NO_LANG = "und"
 #: Different phrases, and hashes of phrases, that a task holds before it hands on their counts.
-HELD, HASHES_HELD = 200_000, 3_000_000
+HELD, HASHES_HELD = 200_000, 1_500_000
 #: Bits of a filter per frequent phrase, and of a filter at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 
@@ -100,24 +100,31 @@ def _relation(langs: list, texts: list[bytes], places: list[np.ndarray], sizes)
     )
 
 
-def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The occurrence relation before any length: a row per document with its words, and every word's place.
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (language, text) as the occurrence relation before any length, where every word is a place."""
+    for batch in slices(batches):
+        texts = [b" ".join(ENDS.sub(b" . ", t.lower()).split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        places = []
+        for text in texts:
+            raw = np.frombuffer(text, np.uint8)
+            starts = np.concatenate(([0], np.flatnonzero(raw == 32) + 1)) if len(raw) else np.zeros(0, np.int64)
+            places.append(np.flatnonzero(raw[starts] != 46))
+        yield _relation(batch.column(0).to_pylist(), texts, places, [len(p) for p in places])
 
-    ``lang``, ``words`` (lower-cased, in order, a full stop between pieces), ``at`` (places of words), ``size``.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [b" ".join(ENDS.sub(b" . ", t.lower()).split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            places = []
-            for text in texts:
-                raw = np.frombuffer(text, np.uint8)
-                starts = np.concatenate(([0], np.flatnonzero(raw == 32) + 1)) if len(raw) else np.zeros(0, np.int64)
-                places.append(np.flatnonzero(raw[starts] != 46))
-            yield _relation(batch.column(0).to_pylist(), texts, places, [len(p) for p in places])
+def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30) -> DataFrame:
+    """The occurrence relation of single words that occur at least ``least`` times: a row per document.
 
+    ``lang``, ``words`` (lower-cased, in order, a full stop for what lies between), ``at`` (their sorted
+    places), ``size`` (all words of the document).
+    """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    return rows.where("text is not null").mapInArrow(run, _RELATION)
+    return _extend(rows.where("text is not null"), 1, least)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a stored relation of phrases one word shorter than ``k``; for single words, of the documents."""
+    return _first(batches) if k == 1 else slices(batches)
 
 
 def _hash_counts(relation: DataFrame, k: int) -> DataFrame:
@@ -133,7 +140,7 @@ def _hash_counts(relation: DataFrame, k: int) -> DataFrame:
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(h[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], names=["h", "n"])
 
-        for batch in slices(batches):
+        for batch in _rows_of(batches, k):
             rows = Occurrences(batch, k - 1)
             at, owner = rows.extended()
             if len(at):
@@ -157,7 +164,7 @@ def _extend(relation: DataFrame, k: int, least: int) -> DataFrame:
     shared = relation.sparkSession.sparkContext.broadcast(bit_map(frequent, "h", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in _rows_of(batches, k):
             rows = Occurrences(batch, k - 1)
             at, owner = rows.extended()
             if len(at):
@@ -232,10 +239,9 @@ def collocations(
     Null, empty and blank texts hold no words, repeated rows count each, ties are broken as stated, other columns
     are ignored, whatever their names. Empty table: no rows. Very long texts are read whole.
     """
-    relation = occurrences(docs, text_col, lang_col)
-    sizes, frequent = None, []
+    relation, sizes, frequent = docs, None, []
     for k in range(1, longest + 1):
-        relation = stored(_extend(relation, k, least))
+        relation = stored(occurrences(docs, text_col, lang_col, least) if k == 1 else _extend(relation, k, least))
         if k == 1:
             sizes = relation.groupBy("lang").agg(F.sum("size").alias("size"))
         relation = relation.where(F.size("at") > 0)
