@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, counted_broadcast, fresh, in_bit_map, mix, small_batches, stored, word_hashes
+from plotflux.llm.shared import bit_map, counted_broadcast, fresh, in_bit_map, mix, slices, stored, word_hashes
 
 _PROBES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for item, text in zip(batch.column(0), batch.column(1)):
                 words = word_hashes((text.as_py() or "").encode())
                 if not len(words):
@@ -191,7 +191,6 @@ def find_leaks(
     must match exactly. Repeated rows of one id are one document for the result; a null id is
     reported like any other. Other columns are ignored. Empty tables: no rows.
     """
-    small_batches(docs.sparkSession)
     plan = plan or Plan()
     wanted = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     wanted = stored(wanted)
@@ -209,7 +208,7 @@ def find_leaks(
     bands = sorted(r["b"] for r in sizes.select(F.floor(F.log2("n")).cast("int").alias("b")).distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             at = 0
             while at < len(ids):
@@ -253,7 +252,7 @@ def find_leaks(
     picked = texts.where(may_hold(F.xxhash64("id"))).join(lines, F.col("id").eqNullSafe(F.col("of")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
                 words = word_hashes(text.encode()).astype(np.int64) if text else np.empty(0, np.int64)
@@ -275,7 +274,7 @@ def find_leaks(
     checked = regions.join(whole, F.col("item").eqNullSafe(F.col("_item")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             out: list[tuple] = []
             for k in range(batch.num_rows):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, small_batches, stored, without_ids, word_hashes
+from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, slices, stored, without_ids, word_hashes
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -110,7 +110,7 @@ def shapes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row its id, set size, class, and the slack of the guarantee in both roles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, classes, slacks = [], [], ([], [])
             for value in batch.column(1):
                 s = shingle_set(_bytes(value))
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, text_col: str) -> DataFrame:
         seen: set[int] = set()
         held: list[tuple] = []
         count = 0
-        for batch in batches:
+        for batch in slices(batches):
             for value in batch.column(0):
                 s = shingle_set(_bytes(value))
                 if not len(s):
@@ -185,7 +185,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     filled = bit_map(wanted.select(F.xxhash64("id").alias("h")), "h", bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             chosen = np.flatnonzero(in_bit_map(filled, bits, batch.column(1).to_numpy(zero_copy_only=False)))
             for at in range(0, len(chosen), 500):
                 sets = [shingle_set(_bytes(batch.column(0)[int(k)])) for k in chosen[at : at + 500]]
@@ -264,7 +264,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows and ids are rows of their own. Other columns are ignored. Empty table: no rows. A class is a
     64-bit fingerprint, so among ten billion different texts about three pairs would be taken for equal.
     """
-    small_batches(docs.sparkSession)
     rows = stored(shapes(docs, id_col, text_col))
     classes = stored(
         rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("slack0").alias("slack0"), F.first("slack1").alias("slack1"))

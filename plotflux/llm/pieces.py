@@ -65,6 +65,12 @@ class PieceEncoder:
         self.symbols = {s: k for k, s in enumerate(symbols)}
         self.static = len(self.symbols)
         self.encoded = [self._symbol_ids(s) for s in self.symbols]
+        # By code point the number of a character, by number the id of a symbol that is just one.
+        self.of_point = np.full(0x110000, -1, np.int32)
+        for symbol, k in self.symbols.items():
+            if len(symbol) == 1:
+                self.of_point[ord(symbol)] = k
+        self.single = np.zeros(0, np.int64)
         order = {score: k for k, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
         found = [
             (self.symbols[left] * self.static + self.symbols[right], order[self.scores[piece]], self.symbols[piece])
@@ -107,8 +113,10 @@ class PieceEncoder:
         A round merges the best pair of every row, drops it from the agenda and enters its two neighbours.
         """
         n = len(words[0])
-        number = {c: self._number(c) for c in set("".join(words))}
-        symbols = np.array([number[c] for w in words for c in w], np.int64).reshape(len(words), n)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        for point in np.unique(points[self.of_point[points] < 0]).tolist():
+            self.of_point[point] = self._number(chr(point))
+        symbols = self.of_point[points].astype(np.int64).reshape(len(words), n)
         rank, join = self._joins(symbols[:, :-1], symbols[:, 1:])
         out: list[bytes] = [b""] * len(words)
         rows = np.arange(len(words))
@@ -120,8 +128,7 @@ class PieceEncoder:
                 merges = rank[every, place] != _NONE
             else:
                 merges = np.zeros(len(rows), bool)
-            for row, final in zip(rows[~merges].tolist(), symbols[~merges].tolist()):
-                out[row] = b"".join([self.encoded[s] for s in final])
+            self._put_out(out, rows[~merges], symbols[~merges])
             if not merges.any():
                 break
             rows, symbols, rank, join, place = rows[merges], symbols[merges], rank[merges], join[merges], place[merges]
@@ -139,6 +146,19 @@ class PieceEncoder:
                 rank[has, at], join[has, at] = self._joins(symbols[has, at], symbols[has, at + 1])
         return out
 
+    def _put_out(self, out: list[bytes], rows: np.ndarray, symbols: np.ndarray) -> None:
+        """Write the ids of finished rows; most symbols are one id, others become several bytes."""
+        while len(self.single) < len(self.encoded):
+            more = self.encoded[len(self.single) :]
+            self.single = np.concatenate((self.single, [int.from_bytes(e, "little") if len(e) == 4 else -1 for e in more]))
+        ids = self.single[symbols]
+        plain = (ids >= 0).all(1)
+        data, width = ids[plain].astype("<i4").tobytes(), 4 * symbols.shape[1]
+        for k, row in enumerate(rows[plain].tolist()):
+            out[row] = data[k * width : (k + 1) * width]
+        for row, final in zip(rows[~plain].tolist(), symbols[~plain].tolist()):
+            out[row] = b"".join([self.encoded[s] for s in final])
+
     def merge(self, stretch: str) -> bytes:
         """Ids of a stretch of any length, its agenda in a heap."""
         symbols: list[str] = list(stretch)

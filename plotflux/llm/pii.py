@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import small_batches, stored
+from plotflux.llm.shared import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "validity", "gazetteer", "context", "boundary")
@@ -40,6 +41,8 @@ _LOOSE = (
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name io ai co uk de fr es it nl be ch at eu us ca au jp cn in br mx pl se no fi dk ru pt ie nz".split())
 ISSUER_DIGITS = "3456"  # first digits of payment cards
 DIAL_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# Two-digit starts of the dial codes that have three digits: every code that begins so has a third digit.
+LONG_DIAL_CODES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 # Words in front of a span that speak for or against it.
 _FOR = tuple(
     re.compile(p)
@@ -102,16 +105,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates, apart from the base spans and from one another."""
     out: list[tuple[int, int, int]] = []
+    # Spans taken so far, apart from one another after merging, by start: one look at two neighbours tells.
+    starts, ends = _merged(taken)
     digits = bool(_DIGIT.search(text))
     for kind, pattern in _LOOSE:
         if kind and not digits or not kind and not ("@" in text or "at)" in text or "at]" in text or "AT)" in text or "AT]" in text):
             continue
+        fresh = []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for _, a, b in (*taken, *out)):
-                out.append((kind, m.start(), m.end()))
+            at = bisect_left(starts, m.end())
+            if not at or ends[at - 1] <= m.start():
+                fresh.append((kind, m.start(), m.end()))
+        if fresh:
+            out += fresh
+            starts, ends = _merged([*taken, *out])
     return out
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def votes(text: str, kind: int, start: int, end: int, strict: bool) -> list[int]:
     """One vote per labeler: YES, NO or ABSTAIN."""
     hit, before = text[start:end], text[max(0, start - 40) : start]
@@ -132,20 +155,33 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> list[int]
     else:
         validity = YES if 10 <= len(digits) <= 15 else ABSTAIN if len(digits) == 9 else NO
         national = digits.lstrip("0") if hit[0] in "+0" else ""
-        gazetteer = ABSTAIN if not national else YES if any(national.startswith(c) for c in DIAL_CODES) else NO
+        gazetteer = ABSTAIN if not national else YES if national[:1] in DIAL_CODES or national[:2] in DIAL_CODES or national[:2] in LONG_DIAL_CODES else NO
     context = NO if _AGAINST.search(before) else YES if _FOR[kind].search(before) else ABSTAIN
     left, right = text[start - 1 : start], text[end : end + 1]
     glued = left.isalnum() or left in ("_", "=", "#") and left != "" or right.isalnum() or right == "_"
     return [YES if strict else ABSTAIN, validity, gazetteer, context, NO if glued else ABSTAIN]
 
 
-def _code(kind: int, v: list[int], hit: str) -> int:
-    """Kind, votes and a coarse shape of the span in one number (at most 4 x 3^5 x 8 values)."""
-    shape = (len(hit) > 16) * 4 + (" " in hit) * 2 + (hit[:1].isdigit())
+#: What the span classifier sees beside the votes, one bit each: the span's form and its neighbours.
+SHAPES = ("long", "spaced", "digit_first", "separated", "labelled", "ends_clause")
+
+
+def _code(kind: int, v: list[int], text: str, start: int, end: int) -> int:
+    """Kind, votes and shape of a span in one number (at most 4 x 3^5 x 64 values)."""
+    hit = text[start:end]
+    before, after = text[max(0, start - 2) : start].rstrip(" "), text[end : end + 1]
+    shape = (
+        len(hit) > 16,
+        " " in hit,
+        hit[:1].isdigit(),
+        any(c in hit for c in "-/()"),
+        before[-1:] in (":", "=", "<", "("),
+        after in ("", ".", ",", ";", ")", ">", "\n"),
+    )
     code = kind
     for one in v:
         code = code * 3 + one
-    return code * 8 + int(shape)
+    return code * (1 << len(SHAPES)) + sum(1 << k for k, yes in enumerate(shape) if yes)
 
 
 _SPAN = "array<struct<rank:int,start:int,end:int,code:int>>"
@@ -156,7 +192,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     span = pa.list_(pa.struct([(n, pa.int32()) for n in ("rank", "start", "end", "code")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             base, loose = [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
@@ -165,7 +201,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for spans, out, strict in ((found, base, True), (more, loose, False)):
                     out.append(
                         [
-                            {"rank": k, "start": a, "end": b, "code": _code(k, votes(text, k, a, b, strict), text[a:b])}
+                            {"rank": k, "start": a, "end": b, "code": _code(k, votes(text, k, a, b, strict), text, a, b)}
                             for k, a, b in spans
                         ]
                     )
@@ -178,7 +214,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shape, rest = codes % 8, codes // 8
+    shape, rest = codes % (1 << len(SHAPES)), codes >> len(SHAPES)
     v = np.empty((len(codes), len(LABELERS)), np.int64)
     for j in range(len(LABELERS) - 1, -1, -1):
         v[:, j], rest = rest % 3, rest // 3
@@ -231,7 +267,7 @@ def train_span_classifier(codes: np.ndarray, counts: np.ndarray, posterior: np.n
     """Logistic regression on votes, kind and shape with the posteriors as soft labels; returns each pattern's probability."""
     kind, v, shape = _decode(codes)
     parts = [np.ones((len(codes), 1)), kind[:, None] == np.arange(1, len(KINDS))]
-    parts += [v == YES, v == NO, (shape[:, None] >> np.arange(3)) & 1]
+    parts += [v == YES, v == NO, (shape[:, None] >> np.arange(len(SHAPES))) & 1]
     parts += [(v[:, [j]] == vote) & (kind[:, None] == np.arange(len(KINDS))) for j in range(len(LABELERS)) for vote in (YES, NO)]
     x = np.concatenate([np.asarray(part, float) for part in parts], axis=1)
     w = counts / max(counts.sum(), 1)
@@ -253,13 +289,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Both are arrays of structs ``rank`` (place in ``KINDS``), ``start``, ``end`` (code points, end
     exclusive), by rank, then start. ``base`` has the spans of the fixed patterns; ``spans`` adds
     candidates that the classifier accepts. The votes of every span in the corpus are counted by
-    pattern in Spark (fewer than 8,000 patterns, whatever the input); the labelers' reliabilities and the
+    pattern in Spark (fewer than 63,000 patterns, whatever the input); the labelers' reliabilities and the
     classifier are fitted on those counts, so all documents take part and only the pattern table meets the driver.
 
     Null and empty texts have no spans; null and repeated ids and repeated rows stay rows of their own.
     Other columns are ignored. Empty table: no rows. Texts are read whole, in time linear in their length.
     """
-    small_batches(docs.sparkSession)
     found = stored(find_spans(docs, id_col, text_col))
     each = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy(F.col("s.code").alias("code"))
     seen = each.agg(F.count("*").alias("n")).orderBy("code").toPandas()

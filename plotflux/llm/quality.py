@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import counted_broadcast, small_batches, stored
+from plotflux.llm.shared import counted_broadcast, give_back, stored
 
 FEATURES = (
     "log_words", "mean_word", "distinct", "top_word", "repeats", "line_repeats", "capitals", "marks",
@@ -61,6 +61,7 @@ def quality_features(text: Column | str) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([features(t or "") for t in texts])
+        give_back()
 
     return of(text)
 
@@ -95,7 +96,6 @@ def fit_quality(
     Rows without a label, an id or a text do not train. With one label only, or none, every
     text gets that label's (or an even) rate, smoothed.
     """
-    small_batches(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(label_col).cast("double").alias("label")
     )

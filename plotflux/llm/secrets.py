@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE_KINDS = ("assign", "access", "hex")
 
-#: Character classes of the entropy scan: candidate runs, and the bits a window must reach.
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Character classes of the entropy scan: candidate runs, their characters, and the bits a window must reach.
 CLASSES = (
-    ("hex_run", r"[0-9A-Fa-f]{20,}", 3.0),
-    ("upper_run", r"[A-Z0-9]{20,}", 3.6),
-    ("base64_run", r"[A-Za-z0-9+/_-]{20,}", 3.9),
+    ("hex_run", r"[0-9A-Fa-f]{20,}", _DIGITS + _UPPER[:6] + _LOWER[:6], 3.0),
+    ("upper_run", r"[A-Z0-9]{20,}", _DIGITS + _UPPER, 3.6),
+    ("base64_run", r"[A-Za-z0-9+/_-]{20,}", _DIGITS + _UPPER + _LOWER + "+/_-", 3.9),
 )
 #: Runs that are no secrets: one kind of character only, words joined by separators,
 #: identifiers in the usual form, counting sequences, named placeholders.
@@ -34,55 +36,85 @@ ALLOWED = (
 WINDOW = 20
 
 
+#: Entries that a fold appends to one array before it starts the next.
+CHUNK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` and lambdas inside it refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold_out(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
+    """Fold over ``items`` that puts out an array of ``kind``.
+
+    ``step`` makes of the state and an item the next state, what to put out, and whether to. Entries
+    go to arrays of ``CHUNK``, so that appending copies little however many there are.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(state.alias("state"), none.alias("chunk"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, entry, put = step(acc["state"], item)
+        full = F.size(acc["chunk"]) >= CHUNK
+        chunk = F.when(~put, acc["chunk"]).when(full, F.array(entry)).otherwise(F.concat(acc["chunk"], F.array(entry)))
+        done = F.when(put & full, F.concat(acc["done"], F.array(acc["chunk"]))).otherwise(acc["done"])
+        return F.struct(after.alias("state"), chunk.alias("chunk"), done.alias("done"))
+
+    return F.aggregate(items, start, one, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"]))))
+
+
 def pattern_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as structs ``start``, ``end``, ``hit``, in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found")
-    )
+    pairs = bound(hits, lambda h: F.zip_with(h, F.slice(gaps, F.lit(1), F.size(h)), lambda x, g: F.struct(x.alias("h"), F.length(g).alias("g"))))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["g"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
+        begin = at + pair["g"]
         end = begin + F.length(pair["h"])
-        one = F.struct(begin.alias("start"), end.alias("end"), pair["h"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return end, F.struct(begin.alias("start"), end.alias("end"), pair["h"].alias("hit")), F.lit(True)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    return fold_out(pairs, F.lit(0), step, _SPAN)
 
 
-def window_entropy(run: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of any ``window`` characters in a row.
+def window_entropy(run: Column, alphabet: str, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy, in bits, of any ``window`` characters in a row of a run over ``alphabet``.
 
-    One pass over the characters: the sum of ``k * log2(k)`` over the counts is kept
-    up to date from the counts of the leaving and the entering character alone.
+    One pass over the characters. The counts of the window are carried along, one character in and one out; so is the
+    sum of ``k * log2(k)`` over them, of which only those two terms change.
     """
     weight = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 2)])
 
     def f(k: Column) -> Column:
-        return F.element_at(weight, k + 1)
-
-    def count(chars: Column, one: Column) -> Column:
-        return F.size(F.filter(chars, lambda c: c == one))
+        return F.get(weight, k)
+
+    def scan(codes: Column) -> Column:
+        left = F.concat(F.array_repeat(F.lit(-1), window), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - window, F.lit(0))))
+        moves = F.zip_with(codes, left, lambda enter, leave: F.struct(enter.alias("enter"), leave.alias("leave")))
+        moves = F.slice(moves, F.lit(1), F.size(codes))
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("held"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
+        )
 
-    chars = F.split(run, "")
-    first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        def step(acc: Column, move: Column) -> Column:
+            enter, leave = move["enter"], move["leave"]
+            out = leave >= 0
+            k_out = F.when(out, F.get(acc["counts"], leave)).otherwise(1)
+            k_in = F.get(acc["counts"], enter) - F.when(leave == enter, 1).otherwise(0)
+            total = acc["sum"] - f(k_out) + f(k_out - 1) + f(k_in + 1) - f(k_in)
+            counts = F.when(leave == enter, acc["counts"]).otherwise(
+                F.transform(acc["counts"], lambda k, at: F.when(at == enter, k + 1).when(at == leave, k - 1).otherwise(k))
+            )
+            held = F.when(out, acc["held"]).otherwise(acc["held"] + 1)
+            bits = F.when(held >= window, F.lit(math.log2(window)) - total / window).otherwise(0.0)
+            return F.struct(counts.alias("counts"), held.alias("held"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    def step(acc: Column, at: Column) -> Column:
-        leaves = at > window
-        old = F.slice(chars, F.greatest(at - window, F.lit(1)), F.least(at - 1, F.lit(window)))
-        gone = F.when(leaves, F.element_at(chars, F.greatest(at - window, F.lit(1))))
-        k_out = F.when(leaves, count(old, gone)).otherwise(0)
-        enter = F.element_at(chars, at)
-        k_in = count(old, enter) - F.when(leaves & (gone == enter), 1).otherwise(0)
-        less = F.when(leaves, f(k_out) - f(k_out - 1)).otherwise(0.0)
-        total = acc["sum"] - less + f(k_in + 1) - f(k_in)
-        bits = F.when(at >= window, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+        return F.aggregate(moves, start, step, lambda acc: acc["best"])
 
-    steps = F.sequence(F.lit(1), F.length(run))
-    return F.when(F.length(run) >= window, F.aggregate(steps, first, step, lambda acc: acc["best"])).otherwise(0.0)
+    # The place of a character in the alphabet; runs hold no others.
+    codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    return F.when(F.length(run) >= window, bound(codes, scan)).otherwise(0.0)
 
 
 def _kinds(spans: Column, rank: int) -> Column:
@@ -91,24 +123,47 @@ def _kinds(spans: Column, rank: int) -> Column:
     )
 
 
-def _apart_from(others: Column | str):
-    """Test for a span that overlaps none of ``others``."""
-    return lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+def clear_of(spans: Column, others: Column) -> Column:
+    """The ``spans`` (sorted, apart from one another) that overlap none of ``others`` (sorted by start).
+
+    Two sweeps along both: no earlier one may reach into a span, and no later one may start within it.
+    """
+
+    def sweep(spans: Column, forward: bool) -> Column:
+        point = lambda s, mine: F.struct(
+            (s["start"] if forward else -s["start"]).alias("key"), F.lit(mine).alias("mine"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")
+        )
+        both = F.array_sort(F.concat(F.transform(others, lambda s: point(s, 0)), F.transform(spans, lambda s: point(s, 1))))
 
+        def step(reach: Column, s: Column) -> tuple[Column, Column, Column]:
+            mine = s["mine"] == 1
+            if forward:
+                after, free = F.greatest(reach, s["end"]), reach <= s["start"]
+            else:
+                after, free = F.least(reach, s["start"]), reach >= s["end"]
+            return F.when(mine, reach).otherwise(after), F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")), mine & free
 
-def _unlisted(base: str, bits: float):
-    """Test for a run outside the base spans and the allow-list with a window of ``bits``."""
+        out = fold_out(both, F.lit(0 if forward else 2**31 - 1), step, _SPAN)
+        return out if forward else F.reverse(out)
+
+    none = (F.size(spans) == 0) | (F.size(others) == 0)
+    return F.when(none, spans).otherwise(bound(spans, lambda s: sweep(sweep(s, True), False)))
+
+
+def _unlisted(alphabet: str, bits: float) -> Callable[[Column], Column]:
+    """Test for a run outside the allow-list with a window of ``bits``."""
 
     def wanted(s: Column) -> Column:
-        keep = _apart_from(base)(s)
+        keep = F.lit(True)
         for allowed in ALLOWED:
             keep = keep & ~s["hit"].rlike(allowed)
-        return F.when(keep, window_entropy(s["hit"]) >= bits).otherwise(False)
+        return F.when(keep, window_entropy(s["hit"], alphabet) >= bits).otherwise(False)
 
     return wanted
 
 
-_NONE = "array<struct<start:int,end:int,hit:string>>"
+_SPAN = "struct<start:int,end:int,hit:string>"
+_NONE = f"array<{_SPAN}>"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +177,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One row per row: repeated ids and rows stay apart. Null and empty texts have no spans; a null id
     stays null. Other columns are ignored, whatever their names. Empty table: no rows. Nothing is
-    shuffled. A run of a million characters is scanned in one pass like any other.
+    shuffled. A run is scanned in one pass, in time linear in its length, and
+    a text's spans are found and compared in time linear in their number, but for sorting them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
@@ -135,14 +191,24 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.concat(*[_kinds(F.col(f"_{name}"), k) for k, name in enumerate(BASE_KINDS)])
     found = found.withColumn("base", F.sort_array(base))
     # The widest class holds the other two, so one test of the text serves all.
-    found = found.withColumn("_runs", F.when(F.col("_text").rlike(CLASSES[-1][1]), F.lit(True)).otherwise(F.lit(False)))
-    for name, pattern, bits in CLASSES:
-        runs = F.when(F.col("_runs"), pattern_spans(F.col("_text"), pattern)).otherwise(F.array().cast(_NONE))
-        found = found.withColumn(f"_{name}", F.filter(runs, _unlisted("base", bits)))
-    # Of overlapping runs the one of the widest class stays.
-    added = F.array().cast(_NONE)
-    for name, _, _ in reversed(CLASSES):
-        added = F.concat(added, F.filter(f"_{name}", _apart_from(added)))
+    found = found.withColumn("_any", F.col("_text").rlike(CLASSES[-1][1]))
+    for name, pattern, *_ in CLASSES:
+        runs = F.when(F.col("_any"), pattern_spans(F.col("_text"), pattern)).otherwise(F.array().cast(_NONE))
+        found = found.withColumn(f"_{name}", runs)
+    taken = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("hit")))
+
+    def chosen(names: list[tuple], taken: Column, added: Column) -> Column:
+        """Of overlapping runs the one of the widest class stays; every class is worked out once."""
+        if not names:
+            return added
+        (name, _, alphabet, bits), *rest = names
+        good = F.filter(clear_of(F.col(f"_{name}"), taken), _unlisted(alphabet, bits))
+        return bound(
+            F.struct(good.alias("good"), taken.alias("taken"), added.alias("added")),
+            lambda s: chosen(rest, F.concat(s["taken"], s["good"]), F.concat(s["added"], s["good"])),
+        )
+
+    added = F.when(F.col("_any"), chosen(list(reversed(CLASSES)), taken, F.array().cast(_NONE))).otherwise(F.array().cast(_NONE))
     return found.withColumn("spans", F.sort_array(F.concat("base", _kinds(added, len(BASE_KINDS))))).select(
         F.col("_id").alias(id_col),
         *[F.size(f"_{n}").cast("long").alias(f"n_{n}") for n in BASE_KINDS],

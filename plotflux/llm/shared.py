@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -38,22 +40,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers of the session take at most ``rows`` whole texts at a time.
-
-    Workers stay alive and keep what their largest batch took, so this bounds their memory.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name, "10000"))
-    if held <= 0 or held > rows:
-        spark.conf.set(name, str(rows))
+def give_back() -> None:
+    """Hand memory that a Python worker no longer uses back to the machine; workers live through many tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, so that what a task builds beside them stays bounded."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        give_back()
 
 
 def ascii_lower(column: Column) -> Column:

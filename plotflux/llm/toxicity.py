@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotflux.llm.quality import bounded_sample
-from plotflux.llm.shared import small_batches, stored
+from plotflux.llm.shared import give_back, stored
 
 # A general starting lexicon; the terms of the corpus are mined from labelled rows.
 INSULTS = frozenset(
@@ -126,6 +126,7 @@ def toxic_features(text: Column, lexicon: dict[str, float]) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([features(t or "", lexicon) for t in texts])
+        give_back()
 
     return of(text)
 
@@ -153,7 +154,6 @@ def score_toxicity(
     not train; with one label only, or none, every score is that label's (or an even) smoothed rate.
     Null and repeated ids stay rows of their own; other columns are ignored. Empty table: no rows.
     """
-    small_batches(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("label"))
     few = stored(bounded_sample(marked, F.col("_id"), limit))

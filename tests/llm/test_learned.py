@@ -1,5 +1,6 @@
 """Personal data, WARC files, URL filters, quality, toxicity and neighbours."""
 
+import time
 import base64
 import hashlib
 import random
@@ -251,3 +252,23 @@ def test_pipeline_names():
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "benchmark_decontamination", "secret_scans", "mixing_to_weights"]
     assert pd.Series(corpus_pipeline.STAGES).notna().all()
+
+
+def test_personal_data_in_one_long_text():
+    """Thousands of spans in one text take time in proportion to their number."""
+    from plotflux.llm import pii
+
+    text = " ".join(f"user{i}@mail{i}.com or user{i} (at) mail (dot) org" for i in range(16_000))
+    started = time.monotonic()
+    base = pii.base_spans(text)
+    loose = pii.loose_spans(text, base)
+    assert time.monotonic() - started < 3
+    assert len(base) == len(loose) == 16_000
+    assert all(b <= c for (_, _, b), (_, c, _) in zip(base, loose))
+
+
+def test_dial_codes_of_three_digits():
+    from plotflux.llm import pii
+
+    for number in ("+351 912 345 678", "+420 601 123 456", "+971 50 123 4567", "+44 20 7946 0958"):
+        assert pii.votes(number, 3, 0, len(number), True)[2] == pii.YES

@@ -1,7 +1,9 @@
 """Mixing and secret scans against brute force."""
 
 import math
+import random
 import re
+import time
 
 import pytest
 from cases import corpus, frame
@@ -74,6 +76,7 @@ SECRETS = [
     "AKIASHORT AKIAAKIA" + "X" * 11 + " AKIA" + "Y" * 16, "deadbeef" * 3 + " " + "0" * 23 + " " + "ab" * 40_000,
     "secret=token=abcdefg api_key : 'x' api-key=abcdefgh", "passſword=abcdefgh", "password==abcdef",
 ]
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RANDOM_KEY = "q7Rk2VbX9sLm4TzW8cYd1HfG"
 
 
@@ -107,10 +110,38 @@ def entropy(run, w=20):
 
 def test_window_entropy(spark):
     runs = [RANDOM_KEY, "a" * 30, "abcdefghijklmnopqrstuvwxyz0123456789", "ab" * 15 + RANDOM_KEY, "short", "a" * 5000]
-    got = spark.createDataFrame([(r,) for r in runs], "run string").select(secrets.window_entropy(F.col("run")).alias("h")).collect()
+    got = spark.createDataFrame([(r,) for r in runs], "run string").select(secrets.window_entropy(F.col("run"), ALPHABET).alias("h")).collect()
     assert all(math.isclose(g["h"], entropy(r), abs_tol=1e-9) for g, r in zip(got, runs))
 
 
+def test_long_random_runs(spark):
+    """One embedded image of 100,000 characters, and a text of 3,000 secrets, take seconds, not hours."""
+    rng = random.Random(7)
+    image = "".join(rng.choice(ALPHABET) for _ in range(100_000))
+    keys = ["".join(rng.choice(ALPHABET[:62]) for _ in range(24)) for _ in range(1500)]
+    many = " ".join(f"token={k} {k[::-1]}" for k in keys)
+    started = time.monotonic()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.secret_spans(frame(spark, [(1, f"<{image}>"), (2, many)])).collect()}
+    assert time.monotonic() - started < 30
+    assert got[1] == [(1, 3, 100_001)]
+    assert [s for s in got[2] if s[1] == 0] == base_spans(many) and sum(s[1] == 3 for s in got[2]) == sum(entropy(k) >= 3.9 and any(c.isdigit() for c in k) for k in keys)
+
+
+def test_spans_clear_of_others(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randrange(1, 12)))
+        spans = [(a, b, "x") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = sorted((a := rng.randrange(200), a + rng.randrange(1, 20), "") for _ in range(rng.randrange(12)))
+        rows.append((spans, others))
+    kind = "array<struct<start:int,end:int,hit:string>>"
+    df = spark.createDataFrame(rows, f"spans {kind}, others {kind}")
+    got = df.select("spans", "others", secrets.clear_of(F.col("spans"), F.col("others")).alias("free")).collect()
+    for r in got:
+        assert r["free"] == [s for s in r["spans"] if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in r["others"])]
+
+
 def test_redaction(spark):
     text = "say password=hunter22 twice: token='deadbeefdeadbeefdeadbeef00' end"
     df = frame(spark, [(1, text), (2, None), (3, "plain")])
