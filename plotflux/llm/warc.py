@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import shared_folder, stored
+from plotflux.llm.shared import shared_folder, slices, stored
 
 #: Magic number of the skippable frame that holds the dictionary (WARC/zstd convention).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -54,32 +54,44 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train_dictionary(records: list[bytes], size: int, sample_bytes: int) -> zstandard.ZstdCompressionDict | None:
-    """Dictionary from evenly spread records; None where too few or too small ones make none."""
-    step, sample, held = max(1, len(records) // 2000), [], 0
-    for one in records[::step]:
-        if held >= sample_bytes:
-            break
-        sample.append(one[: 1 << 17])
-        held += len(sample[-1])
-    if len(sample) < 8 or held < 8 * 256:
-        return None
-    try:
-        return zstandard.train_dictionary(max(256, min(size, held // 8)), sample, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+def samples(records: list[bytes], sample_bytes: int, piece: int = 1 << 16) -> list[bytes]:
+    """Pieces of records, ``sample_bytes`` of them, spread evenly over the bytes of all; all pieces where they are fewer."""
+    total = sum(map(len, records))
+    share = min(1.0, sample_bytes / total) if total else 1.0
+    out, due = [], 0.0
+    for one in records:
+        for at in range(0, len(one), piece):
+            part = one[at : at + piece]
+            due += share * len(part)
+            if share == 1.0 or due >= len(part):
+                due -= len(part)
+                out.append(part)
+    return out
+
+
+def train_dictionary(records: list[bytes], size: int, sample_bytes: int) -> zstandard.ZstdCompressionDict:
+    """Dictionary of an archive, from pieces spread over all its records.
+
+    So few or small records that none can be trained are a dictionary themselves, their last ``size`` bytes.
+    """
+    sample = samples(records, sample_bytes)
+    held = sum(map(len, sample))
+    if len(sample) >= 8 and held >= 8 * 256:
+        try:
+            return zstandard.train_dictionary(max(256, min(size, held // 8)), sample, k=256, d=8)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(sample)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def pack(records: list[bytes], dictionary_size: int = 65_536, sample_bytes: int = 4_000_000, level: int = 3) -> bytes:
     """An archive: the dictionary in a leading skippable frame, then one zstd frame per record."""
+    if not records:
+        return b""
     trained = train_dictionary(records, dictionary_size, sample_bytes)
-    out = []
-    if trained is not None:
-        body = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
-        out.append(_FRAME.pack(DICTIONARY_MAGIC, len(body)) + body)
+    body = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
     press = zstandard.ZstdCompressor(level=level, dict_data=trained, write_content_size=True, write_checksum=True)
-    out += [press.compress(one) for one in records]
-    return b"".join(out)
+    return b"".join([_FRAME.pack(DICTIONARY_MAGIC, len(body)), body, *[press.compress(one) for one in records]])
 
 
 def unpack(archive: bytes) -> Iterator[bytes]:
@@ -165,7 +177,7 @@ def write_archives(
             system.move(part, name)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["path", "records"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, body, refers in zip(*batch.columns):
                 refers = refers.as_py()
                 one = record(page_id.as_py(), url.as_py(), body.as_py(), "response" if refers is None else "revisit", refers, date)

@@ -12,6 +12,7 @@ import pytest
 from cases import corpus, frame, sentence
 from pyspark.sql import functions as F
 
+from plotflux.llm.shared import shared_folder
 from plotflux.llm import neighbours, pii, quality, toxicity, url_filter, warc
 
 PII = [
@@ -89,6 +90,39 @@ def test_warc(spark):
     assert warc.archive_pages(spark, df.where("false")).collect() == []
 
 
+def test_small_archives_have_a_dictionary():
+    """Every archive starts with the dictionary's frame, and its records need that dictionary."""
+    for n in (1, 3, 7):
+        records = [warc.record(k, "http://h/", b"tiny" * k, "response", None, "1970-01-01T00:00:00Z") for k in range(n)]
+        data = warc.pack(records)
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC and list(warc.unpack(data)) == records
+        body = data[8 + int.from_bytes(data[4:8], "little") :]
+        with pytest.raises(Exception):
+            list(warc.unpack(body))
+
+
+def test_dictionary_samples_the_whole_archive():
+    records = [bytes([65 + k]) * 1000 for k in range(26)] + [b"0" * 500_000 + b"1" * 500_000]
+    got = warc.samples(records, 10**9, 1000)
+    assert b"".join(got) == b"".join(records)
+    some = warc.samples(records, 200_000, 1000)
+    held = sum(map(len, some))
+    assert 190_000 <= held <= 210_000 and {p[:1] for p in some} >= {b"0", b"1"} and sum(p[:1].isalpha() for p in some) in (4, 5, 6)
+    assert abs(sum(p[:1] == b"0" for p in some) - sum(p[:1] == b"1" for p in some)) <= 2
+
+
+def test_rotated_archives(spark):
+    """Archives rotate by size; all of them are read back, however many a task wrote."""
+    rng = random.Random(2)
+    pages = [(k, f"http://h/{k}", sentence(rng, 400)) for k in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    folder = shared_folder(spark)
+    manifest = warc.write_archives(df, folder, archive_bytes=20_000)
+    assert manifest.count() > 10 and manifest.agg(F.sum("records")).first()[0] == 120
+    got = warc.read_archives(manifest, folder).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(120))
+
+
 def test_archive_layout():
     records = [warc.record(k, "http://h/", f"{k} {sentence(random.Random(k), 60)}".encode(), "response", None, "1970-01-01T00:00:00Z") for k in range(50)]
     data = warc.pack(records)
