@@ -20,7 +20,7 @@ from plotflux.session import hot_key_join
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 NO_LANG = "und"
 #: Different phrases, and hashes of phrases, that a task holds before it hands on their counts.
-HELD, HASHES_HELD = 200_000, 1_500_000
+HELD, HASHES_HELD = 500_000, 2_000_000
 #: Bits of a filter per frequent phrase, and of a filter at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 
