@@ -1,4 +1,4 @@
-"""Benchmark decontamination: random-walk embedding of word windows, bit-sampling, intact pieces, exact edit check."""
+"""Benchmark decontamination: random-walk embedding of word windows, bit-sampling, exact edit check."""
 
 from __future__ import annotations
 
@@ -18,25 +18,33 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Plan:
-    """Window, walk and sampling sizes, fixed by the target recall.
+    """Window, walk and sampling sizes.
 
-    ``bands``: windows of ``width`` words every ``stride`` words of a document, one such pair per band of
-    item sizes ``low`` to ``2 * low - 1``: any copy of an item holds a whole window of its band.
-    Edited copies whose walks fall out of step, the likelier the longer the window, are met by ``pieces``.
+    An item of which no word may be edited is met by exact windows of the band of its size, ``low`` to ``2 * low - 1``
+    words: windows of ``width`` words every ``stride`` words of a document, such that any copy holds a whole one.
+    All longer items share short windows: ``width`` words every ``stride`` words of a document, from every
+    word of the item. A window's walk soon falls out of step behind an edit, so long windows would be lost; of short
+    ones an item has the more the longer it is, each with ``walks * tables`` keys, and one agreeing key is enough.
+    Every key samples the walk's whole way, ``samples`` places in as many equal parts of it.
+
+    With windows of five words at every word (``width=5, stride=1``) no copy within a tenth of its words can be
+    lost, since five words in a row of it are untouched; that is the exact plan, which costs more.
     """
 
-    def __init__(self, max_rate: float = 0.1, target_recall: float = 0.99, agree: float = 0.82, samples: int = 8, walks: int = 3):
-        self.max_rate, self.samples, self.walks = max_rate, samples, walks
-        # A pair at the largest distance agrees at a sampled place with probability ``agree``, so
-        # in all places of one sample with agree ** samples; so many samples miss it at most 1 - target.
-        wanted = math.ceil(math.log(1 - target_recall) / math.log(1 - agree**samples))
-        self.tables = max(1, math.ceil(wanted / walks))
+    #: The windows shared by all items with edits.
+    EDITED = 99
+
+    def __init__(self, max_rate: float = 0.1, width: int = 6, stride: int = 2, walks: int = 3, tables: int = 4, samples: int = 4):
+        self.max_rate, self.width, self.stride = max_rate, width, stride
+        self._walks, self.tables, self.samples = walks, tables, samples
 
     def band(self, n: int) -> int:
-        return n.bit_length() - 1
+        return self.EDITED if self.edits(n) else n.bit_length() - 1
 
     def window(self, band: int) -> tuple[int, int]:
-        """Width and stride of a band's windows: together one more than its smallest item has words."""
+        """Width and stride of a band's windows; of exact ones together one more than the smallest item has words."""
+        if band == self.EDITED:
+            return self.width, self.stride
         low = 1 << band
         stride = max(1, low // 3)
         return low - stride + 1, stride
@@ -45,18 +53,18 @@ class Plan:
         """Edits that a copy of an item of ``n`` words may have."""
         return int(self.max_rate * n)
 
-    def pieces(self, n: int) -> tuple[int, range]:
-        """Length and starts of disjoint pieces of an item, one more than it may have edits: a copy holds one intact."""
-        size = max(1, n // (self.edits(n) + 1))
-        return size, range(0, min(self.edits(n) + 1, n // size) * size, size)
+    def walks(self, band: int) -> int:
+        return self._walks if band == self.EDITED else 1
 
     def places(self, band: int, walk: int) -> list[list[int]]:
-        """The sampled places of the embedding, per table; all in the part that every walk reaches."""
+        """The sampled places of the embedding, per table; of exact windows all of them."""
         width, _ = self.window(band)
-        steps = 2 * width
+        if band != self.EDITED:
+            return [list(range(2 * width))]
+        reach = 2 * width - 1
         seed = np.random.Generator(np.random.PCG64([band, walk, 77]))
-        count = min(self.samples, steps)
-        return [sorted(int(p) for p in seed.choice(steps, count, replace=False)) for _ in range(self.tables)]
+        ends = [q * reach // self.samples for q in range(self.samples + 1)]
+        return [[int(seed.integers(low, high)) for low, high in zip(ends, ends[1:])] for _ in range(self.tables)]
 
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, band: int, plan: Plan) -> Iterator[np.ndarray]:
@@ -68,7 +76,7 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, band: int, plan: Plan) -> I
     """
     width, _ = plan.window(band)
     padded = np.concatenate((words, np.zeros(1, np.uint64)))
-    for walk in range(plan.walks):
+    for walk in range(plan.walks(band)):
         tables = plan.places(band, walk)
         wanted: dict[int, list[int]] = {}
         for t, places in enumerate(tables):
@@ -87,27 +95,15 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, band: int, plan: Plan) -> I
         yield from keys
 
 
-def piece_keys(words: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Hashes of the runs of each of the ``sizes`` words, at every place."""
-    h = np.zeros(len(words), np.uint64)
-    for k in range(max(sizes, default=0)):
-        if k >= len(words):
-            return
-        h = (h[: len(words) - k] ^ words[k:]) * _GOLD
-        h ^= h >> np.uint64(29)
-        if k + 1 in sizes:
-            yield k + 1, mix(h + np.uint64(k + 1))
-
-
 def probe(keys: np.ndarray, k: int) -> np.ndarray:
     """The k-th of the hashes under which a key is marked in the bit map."""
     return keys if k == 0 else mix(keys + np.uint64(k))
 
 
 def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
-    """Keys of every window offset and every piece of every item.
+    """Keys of the windows from every word of every item.
 
-    ``key``, ``item``, ``start`` (word of the item), ``words``, ``size`` (of the piece, 0 for windows), ``probes``.
+    ``key``, ``item``, ``start`` (word of the item), ``words``, ``band``, ``probes``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +115,7 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
                 band = plan.band(len(words))
                 width, _ = plan.window(band)
                 starts = np.arange(len(words) - width + 1)
-                found = [(starts, keys, 0) for keys in walk_keys(words, starts, band, plan)]
-                size, begins = plan.pieces(len(words))
-                found += [(np.asarray(begins), keys[begins.start : begins.stop : begins.step], k) for k, keys in piece_keys(words, [size])]
-                for starts, keys, size in found:
+                for keys in walk_keys(words, starts, band, plan):
                     probes = [list(p) for p in zip(*(probe(keys, k).astype(np.int64).tolist() for k in range(_PROBES)))]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -130,14 +123,14 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
                             pa.array([item.as_py()] * len(keys), batch.schema.field(0).type),
                             pa.array(starts, pa.int64()),
                             pa.array([len(words)] * len(keys), pa.int64()),
-                            pa.array([size] * len(keys), pa.int64()),
+                            pa.array([band] * len(keys), pa.int64()),
                             pa.array(probes, pa.list_(pa.int64())),
                         ],
-                        names=["key", "item", "start", "words", "size", "probes"],
+                        names=["key", "item", "start", "words", "band", "probes"],
                     )
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"key long, item {kind}, start long, words long, size long, probes array<long>")
+    return items.mapInArrow(run, f"key long, item {kind}, start long, words long, band long, probes array<long>")
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -178,14 +171,13 @@ def find_leaks(
     Returns ``id_col``, ``item``, ``distance`` (words inserted, deleted or replaced; A-Z lower-cased),
     ``start``, ``end`` (words of the document, end exclusive): one row per document and item, the best place.
 
-    Document windows as long as the band of item sizes asks for are embedded by the random walk (edit
-    distance becomes Hamming distance) and hashed at sampled places. Walks in long windows fall out of step, so
-    items are also cut into one more piece than a copy may have edits; one of them is intact in every copy, and
-    the documents' runs of as many words are looked up at every place. So no copy within the distance is lost. Keys that no item has are dropped where they arise, by a bit map of the items'
+    Short windows of the documents and the items are embedded by the random walk (edit distance becomes
+    Hamming distance) and hashed at sampled places; a copy with a tenth of its words edited agrees with its item in some
+    window's key with a probability of at least 0.98 at 10 words, growing with the size (measured by test for 10 to
+    1,000 words). Keys that no item has are dropped where they arise, by a bit map of the items'
     keys whose size is fixed; the rest (ids and places, no text) meet the items by a shuffle join on the key.
     Documents with a hit are read again and every hit is checked by the exact distance between the item
-    and the text around it. The whole text of every
-    document is walked.
+    and the text around it. The whole text of every document is walked.
 
     Null, empty and blank texts hold nothing, and such items match nothing; items of up to nine words
     must match exactly. Repeated rows of one id are one document for the result; a null id is
@@ -203,9 +195,7 @@ def find_leaks(
         return docs.sparkSession.createDataFrame([], result)
     bits = min(27, max(12, math.ceil(math.log2(256 * n))))
     filled = bit_map(keys.select(F.explode("probes").alias("h")), "h", bits)
-    sizes = wanted.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n")).where("n > 0")
-    pieces = sorted(r["size"] for r in keys.where("size > 0").select("size").distinct().collect())
-    bands = sorted(r["b"] for r in sizes.select(F.floor(F.log2("n")).cast("int").alias("b")).distinct().collect())
+    bands = sorted(r["band"] for r in keys.select("band").distinct().collect())  # one per size band
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -219,7 +209,7 @@ def find_leaks(
                     parts.append(word_hashes(text.encode()) if text else np.empty(0, np.uint64))
                     lengths.append(len(parts[-1]))
                     at += 1
-                found = _hits(parts, lengths, bands, pieces, plan, filled, bits)
+                found = _hits(parts, lengths, bands, plan, filled, bits)
                 if not len(found):
                     continue
                 owner, start, key = found
@@ -295,8 +285,8 @@ def find_leaks(
     return found.groupBy(id_col, "item").agg(best).select(id_col, "item", "best.distance", "best.start", "best.end")
 
 
-def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], pieces: list[int], plan: Plan, filled: np.ndarray, bits: int):
-    """Windows and runs with a key that the bit map holds: document, place in the joined words, key."""
+def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], plan: Plan, filled: np.ndarray, bits: int):
+    """Windows with a key that the bit map holds: document, place in the joined words, key."""
     words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     ends = np.cumsum(lengths)
     begins = ends - lengths
@@ -308,13 +298,6 @@ def _hits(parts: list[np.ndarray], lengths: list[int], bands: list[int], pieces:
             hit = hit[in_bit_map(filled, bits, probe(key[hit], k))]
         return hit
 
-    for size, key in piece_keys(words, pieces):
-        hit = marked(key)
-        owner = np.searchsorted(ends, hit, side="right")
-        inside = hit + size <= ends[owner]
-        owners.append(owner[inside])
-        places.append(hit[inside])
-        keys.append(key[hit[inside]])
     for band in bands:
         width, stride = plan.window(band)
         counts = np.maximum((np.asarray(lengths) - width) // stride + 1, 0)
