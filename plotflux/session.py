@@ -177,35 +177,28 @@ def join_checked(
     return hot_key_join(rows, lookup, on, how, weight)
 
 
-def full_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], hot_share: float = 0.01, least: int = 100_000
-) -> DataFrame:
-    """Full outer join, missing keys matching missing keys, in which no key is bound to one task.
-
-    The keys of both sides are counted (combined before the shuffle). A key with more than ``hot_share``
-    of a side's rows, and more than ``least``, is dealt on a grid: its left rows into ``a`` parts and its right
-    rows into ``b``, each pair of parts meeting in a task of its own, so that a part never holds more rows than
-    that bound. A side is copied only as often as the other one has parts. Hot keys, at most
-    ``2 / hot_share`` of them, also tell which of their rows have no match. Other keys take a plain full join.
-    """
+def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot_share: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Counted keys with too many rows on a side, and into how many parts each side's rows of them are to go."""
     keys = [F.col(f"`{c}`") for c in on]
     sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
         right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
     counted = sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-    n_left, n_right = left.count(), right.count()
-    bounds = {"_l": max(int(n_left * hot_share), least), "_r": max(int(n_right * hot_share), least)}
+    bounds = {"_l": max(int(left.count() * hot_share), least), "_r": max(int(right.count() * hot_share), least)}
     hot = durable(counted.where((F.col("_l") > bounds["_l"]) | (F.col("_r") > bounds["_r"])))
-    if hot.isEmpty():
-        return null_safe_join(left, right, on, "full")
-    parts = hot.select(*keys, *[F.greatest(F.ceil(F.col(c) / b), F.lit(1)).cast("long").alias(f"{c}_parts") for c, b in bounds.items()])
+    shares = [F.greatest(F.ceil(F.col(c) / max(b, 1)), F.lit(1)).cast("long").alias(f"{c}_parts") for c, b in bounds.items()]
+    return hot, hot.select(*keys, *shares)
+
+
+def _split_join(left: DataFrame, right: DataFrame, on: Sequence[str], parts: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    """The join of cold keys (``how``), and the matching pairs of hot ones, dealt on a grid of their parts."""
     marked_left = null_safe_join(left, parts, on, "left", hint=True)
     marked_right = null_safe_join(right, parts, on, "left", hint=True)
     cold = null_safe_join(
         marked_left.where("_l_parts is null").drop("_l_parts", "_r_parts"),
         marked_right.where("_l_parts is null").drop("_l_parts", "_r_parts"),
         on,
-        "full",
+        how,
     )
 
     def dealt(side: DataFrame, rows: DataFrame, mine: str, other: str) -> DataFrame:
@@ -216,10 +209,38 @@ def full_join(
 
     met = null_safe_join(
         dealt(marked_left, left, "_l", "_r"), dealt(marked_right, right, "_r", "_l"), [*on, "_l_at", "_r_at"], "inner"
-    ).drop("_l_at", "_r_at")
+    )
+    return cold, met.drop("_l_at", "_r_at")
+
+
+def inner_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot_share: float = 0.01, least: int = 100_000
+) -> DataFrame:
+    """Inner join, missing keys matching missing keys, in which no key is bound to one task; see ``full_join``."""
+    _, parts = _hot_keys(left, right, on, hot_share, least)
+    if parts.isEmpty():
+        return null_safe_join(left, right, on, "inner")
+    cold, met = _split_join(left, right, on, parts, "inner")
+    return cold.unionByName(met)
+
+
+def full_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot_share: float = 0.01, least: int = 100_000
+) -> DataFrame:
+    """Full outer join, missing keys matching missing keys, in which no key is bound to one task.
+
+    The keys of both sides are counted (combined before the shuffle). A key with more than ``hot_share``
+    of a side's rows, and more than ``least``, is dealt on a grid: its left rows into ``a`` parts and its right
+    rows into ``b``, each pair of parts meeting in a task of its own, so that a part never holds more rows than
+    that bound. A side is copied only as often as the other one has parts. Hot keys, at most
+    ``2 / hot_share`` of them, also tell which of their rows have no match. Other keys take a plain full join.
+    """
+    hot, parts = _hot_keys(left, right, on, hot_share, least)
+    if hot.isEmpty():
+        return null_safe_join(left, right, on, "full")
+    cold, met = _split_join(left, right, on, parts, "full")
     # A hot key that one side lacks has no pairs at all; its rows stand alone.
-    lonely = hot.where("_l = 0 or _r = 0").select(*keys)
-    alone_left = null_safe_join(left, lonely.withColumn("_alone", F.lit(True)), on, "inner", hint=True).drop("_alone")
-    alone_right = null_safe_join(right, lonely.withColumn("_alone", F.lit(True)), on, "inner", hint=True).drop("_alone")
-    rest = met.unionByName(alone_left, allowMissingColumns=True).unionByName(alone_right, allowMissingColumns=True)
+    lonely = hot.where("_l = 0 or _r = 0").select(*[F.col(f"`{c}`") for c in on], F.lit(True).alias("_alone"))
+    alone = [null_safe_join(side, lonely, on, "inner", hint=True).drop("_alone") for side in (left, right)]
+    rest = met.unionByName(alone[0], allowMissingColumns=True).unionByName(alone[1], allowMissingColumns=True)
     return cold.unionByName(rest.select(*cold.columns))

@@ -203,6 +203,12 @@ def test_full_join_with_hot_and_missing_keys(spark):
     assert split.count() == 40 * 35 + 40 + 40 + 10 + 30 + 30
 
 
+def test_inner_join_with_hot_keys(spark):
+    left, right = _sides_with_hot_keys(spark)
+    split = session.inner_join(left, right, ["k"], hot_share=0.1, least=0)
+    assert rows(split) == rows(session.null_safe_join(left, right, ["k"], "inner")) and split.count() == 40 * 35 + 40 + 10
+
+
 def test_lookup_beyond_the_broadcast_size_copies_nothing(spark):
     """Beyond the broadcast size only the lookup rows of hot keys are broadcast."""
     keys = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 100_000).alias("g")
