@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, slices, stored, without_ids, word_hashes
+from plotflux.session import hot_key_join, inner_join
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -230,12 +231,18 @@ def open_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
         "item", "cls", "n", "place", F.coalesce("component", "cls").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
     )
     # Of two sets in different components one is outside the group's largest component.
-    largest = F.max(F.struct("members", "component")).over(W.partitionBy("item"))["component"]
-    ranked = stored(ranked.withColumn("largest", largest))
-    apart = ranked.where("component <> largest").select("item", "cls", "n", "place", "component")
-    other = ranked.select("item", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "place", "component")])
+    ranked = stored(ranked)
+    largest = F.max(F.struct("members", "component"))["component"].alias("largest")
+    ranked = stored(hot_key_join(ranked, ranked.groupBy("item").agg(largest, F.count("*").alias("holders")), ["item"], weight="holders"))
+    # Sizes of linked sets differ by a third at most, so they lie in the same or in neighbouring steps of that ratio.
+    step = F.floor(F.log("n") / (math.log(DENOMINATOR / NUMERATOR) * (1 + 1e-9))).cast("long")
+    apart = ranked.where("component <> largest").select("item", step.alias("step"), "cls", "n", "place", "component")
+    near = F.explode(F.array(*[step + k for k in (-1, 0, 1)])).alias("step")
+    other = ranked.select("item", near, *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "place", "component")])
     enough = (1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))) * _SEVENTH >= (F.col("n") + F.col("n_b")) * NUMERATOR
-    met = apart.join(other, "item").where((F.col("component") != F.col("component_b")) & _fitting(F.col("n"), F.col("n_b")) & enough)
+    met = inner_join(stored(apart), stored(other), ["item", "step"]).where(
+        (F.col("component") != F.col("component_b")) & _fitting(F.col("n"), F.col("n_b")) & enough
+    )
     return met.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
 
