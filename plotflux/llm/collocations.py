@@ -6,7 +6,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,10 @@ from plotflux.session import hot_key_join
 #: Ends of pieces; no word holds one, so a full stop can stand for all of them.
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 NO_LANG = "und"
-#: Different phrases, and hashes of phrases, that a task holds before it hands on their counts.
-HELD, HASHES_HELD = 500_000, 2_000_000
+#: Different hashes of phrases that a task remembers, and hashes that it holds before it hands on their counts.
+HELD, HASHES_HELD = 1_000_000, 2_000_000
+#: Hashes that different phrases may share at most.
+MOST_SHARED = 10_000
 #: Bits of a filter per frequent phrase, and of a filter at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 
@@ -44,11 +45,16 @@ class Occurrences:
         self.begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(sizes) else np.zeros(0, np.int64)
         self.ends = self.begins + sizes
         self.k = k
+        self.raw = np.frombuffer(self.data, np.uint8)
+        self.starts = np.concatenate(([0], np.flatnonzero(self.raw == 32) + 1)) if len(self.raw) else np.zeros(0, np.int64)
+        if k < 2:
+            self.at = np.flatnonzero(self.raw[self.starts] != 46)
+            self.owner = np.searchsorted(self.ends, self.at, side="right")
+            return
         listed = batch.column(2)
         lengths = np.diff(listed.offsets.to_numpy()) if len(texts) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        self.at = listed.flatten().to_numpy().astype(np.int64) + self.begins[owner]
-        self.owner = owner
+        self.owner = np.repeat(np.arange(len(texts)), lengths)
+        self.at = listed.flatten().to_numpy().astype(np.int64) + self.begins[self.owner]
 
     def extended(self) -> tuple[np.ndarray, np.ndarray]:
         """Merge join of the relation with itself: places, with their rows, whose next place in the piece holds a phrase too."""
@@ -69,22 +75,32 @@ class Occurrences:
 
     def narrowed(self, at: np.ndarray, owner: np.ndarray, k: int) -> tuple[list[bytes], list[np.ndarray]]:
         """Words and places of each row with nothing left but the phrases at ``at``; gaps become a full stop."""
-        words = self.data.split(b" ")
-        edge = np.zeros(len(words) + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + k, -1)
-        held = np.cumsum(edge[:-1]) > 0
+        n = len(self.starts)
+        edge = np.bincount(at, minlength=n + 1) - np.bincount(at + k, minlength=n + 1)
+        held = np.cumsum(edge[:n]) > 0
         gap = ~held & np.concatenate(([False], held[:-1]))
         kept = held | gap
-        number = np.cumsum(kept) - kept
-        short = [w if h else b"." for w, h in zip(compress(words, kept), compress(held, kept))]
-        first, last = number[self.begins], number[np.minimum(self.ends, len(words) - 1)]
-        last = np.where(self.ends < len(words), last, len(short))
+        number = np.concatenate(([0], np.cumsum(kept)))
+        # Bytes that stay: of held words all with the space behind them, of gaps one and the space.
+        size = np.diff(np.concatenate((self.starts, [len(self.raw) + 1])))
+        raw = np.append(self.raw, 32).astype(np.uint8)
+        raw[self.starts[gap]] = 46
+        stays = np.repeat(held, size)
+        stays[self.starts[gap]] = True
+        stays[(self.starts + size - 1)[gap]] = True
+        short = raw[stays].tobytes()
+        length = np.concatenate(([0], np.cumsum(np.where(held, size, np.where(gap, 2, 0)))))
+        texts = [short[a:b].rstrip(b" ") for a, b in zip(length[self.begins].tolist(), length[np.minimum(self.ends, n)].tolist())]
         split = np.searchsorted(owner, np.arange(len(self.langs) + 1))
-        texts = [b" ".join(short[a:b]) for a, b in zip(first.tolist(), last.tolist())]
+        first = number[self.begins]
         places = [number[at[a:b]] - f for a, b, f in zip(split[:-1], split[1:], first)]
         return texts, places
 
+    def phrases(self, at: np.ndarray, k: int) -> list[bytes]:
+        """The phrases of ``k`` words at places."""
+        ends = np.concatenate((self.starts[1:] - 1, [len(self.raw)]))
+        return [self.data[a:b] for a, b in zip(self.starts[at].tolist(), ends[at + k - 1].tolist())]
+
 
 def _relation(langs: list, texts: list[bytes], places: list[np.ndarray], sizes) -> pa.RecordBatch:
     ends = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32)
@@ -112,16 +128,6 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _relation(batch.column(0).to_pylist(), texts, places, [len(p) for p in places])
 
 
-def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30) -> DataFrame:
-    """The occurrence relation of single words that occur at least ``least`` times: a row per document.
-
-    ``lang``, ``words`` (lower-cased, in order, a full stop for what lies between), ``at`` (their sorted
-    places), ``size`` (all words of the document).
-    """
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    return _extend(rows.where("text is not null"), 1, least)
-
-
 def _rows_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Parts of a stored relation of phrases one word shorter than ``k``; for single words, of the documents."""
     return _first(batches) if k == 1 else slices(batches)
@@ -153,13 +159,12 @@ def _hash_counts(relation: DataFrame, k: int) -> DataFrame:
     return relation.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _extend(relation: DataFrame, k: int, least: int) -> DataFrame:
+def _extend(relation: DataFrame, k: int, frequent: DataFrame) -> DataFrame:
     """The relation of phrases of ``k`` words: merge-joined from shorter ones, semi-joined with the frequent groups.
 
-    Groups are counted by hash, of which none with ``least`` occurrences can be missing; the filter of
+    Groups are known by hash, of which no frequent one can be missing; the filter of
     their hashes may let rarer phrases pass, and never loses one.
     """
-    frequent = stored(_hash_counts(relation, k).where(F.col("n") >= least).select("h"))
     bits = int(min(max(np.ceil(np.log2(max(frequent.count(), 1) * BITS_EACH)), 10), MOST_BITS))
     shared = relation.sparkSession.sparkContext.broadcast(bit_map(frequent, "h", bits))
 
@@ -170,41 +175,72 @@ def _extend(relation: DataFrame, k: int, least: int) -> DataFrame:
             if len(at):
                 good = in_bit_map(shared.value, bits, rows.hashes(at, owner, k))
                 at, owner = at[good], owner[good]
-            yield _relation(rows.langs, *rows.narrowed(at, owner, k), batch.column(3))
+            texts, places = rows.narrowed(at, owner, k)
+            # The places of single words are all words; longer phrases need theirs.
+            yield _relation(rows.langs, texts, places if k > 1 else [np.zeros(0)] * len(texts), batch.column(3))
 
     return relation.mapInArrow(run, _RELATION)
 
 
-def _count(relation: DataFrame, k: int) -> DataFrame:
-    """Group-count of a relation by the phrases themselves, per ``lang``: exact, on what the filter left."""
+def _named(relation: DataFrame, k: int) -> DataFrame:
+    """The phrases of a relation with their hashes: ``h``, ``lang``, ``phrase``, each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        seen = np.zeros(0, np.uint64)
+        for batch in slices(batches):
+            rows = Occurrences(batch, k)
+            if not len(rows.at):
+                continue
+            h, first = np.unique(rows.hashes(rows.at, rows.owner, k), return_index=True)
+            if len(seen):
+                fresh = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
+                h, first = h[fresh], first[fresh]
+            if len(h):
+                seen = np.union1d(seen, h) if len(seen) < HELD else h
+                langs = [rows.langs[o] for o in rows.owner[first].tolist()]
+                names = pa.array(rows.phrases(rows.at[first], k), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(langs, pa.string()), names], names=["h", "lang", "phrase"])
+
+    return relation.mapInArrow(run, "h long, lang string, phrase string").distinct()
+
+
+def _recounted(relation: DataFrame, k: int, hashes: list[int]) -> DataFrame:
+    """Counts of the phrases that share one of a few hashes, phrase by phrase."""
+    wanted = np.sort(np.array(hashes, np.int64).astype(np.uint64))
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                names, numbers = list(counts), list(counts.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())],
-                    names=["lang", "phrase", "n"],
-                )
-            held.clear()
-
-        for batch in slices(batches, 100):
-            for lang, data, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                places = at.values.to_numpy()
-                if len(places):
-                    words = data.split(b" ")
-                    mine = np.zeros(len(words), bool)
-                    mine[places] = True
-                    starts = [compress(words[j:], mine) for j in range(k)]
-                    held.setdefault(lang, Counter()).update(map(b" ".join, zip(*starts)))
-            if sum(map(len, held.values())) >= HELD:
-                yield from emit()
-        yield from emit()
-
-    parts = relation.mapInArrow(run, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = Occurrences(batch, k)
+            at = rows.at[np.isin(rows.hashes(rows.at, rows.owner, k), wanted)] if len(rows.at) else rows.at
+            owner = np.searchsorted(rows.ends, at, side="right").tolist()
+            counts = Counter(zip([rows.langs[o] for o in owner], rows.phrases(at, k)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang for lang, _ in counts], pa.string()),
+                    pa.array([phrase for _, phrase in counts], pa.binary()).cast(pa.string()),
+                    pa.array(list(counts.values()), pa.int64()),
+                ],
+                names=["lang", "phrase", "n"],
+            )
+
+    return relation.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _frequent_phrases(relation: DataFrame, k: int, frequent: DataFrame, least: int) -> DataFrame:
+    """``lang``, ``phrase``, ``n`` of the frequent phrases of ``k`` words, exactly.
+
+    The count of a phrase is that of its hash. Two phrases that share a hash, which hardly ever occurs, show as two
+    names for it and are counted again by themselves.
+    """
+    names = stored(_named(relation, k).join(frequent, "h"))
+    shared = names.groupBy("h").agg(F.count("*").alias("names")).where("names > 1").select("h").limit(MOST_SHARED + 1).collect()
+    if len(shared) > MOST_SHARED:
+        raise RuntimeError("too many phrases share a hash")
+    if not shared:
+        return names.select("lang", "phrase", "n")
+    twice = [r["h"] for r in shared]
+    again = _recounted(relation, k, twice).where(F.col("n") >= least)
+    return names.where(~F.col("h").isin(twice)).select("lang", "phrase", "n").unionByName(again)
 
 
 def _wide(column: Column | str) -> Column:
@@ -230,22 +266,24 @@ def collocations(
 
     Set-oriented mining: the occurrence relation of every length is stored, in the order of pieces and places. For
     the next length it is merge-joined with itself by piece and adjacent place, since both phrases of ``k``
-    words inside one of ``k + 1`` must be frequent; the joined phrases are grouped and counted by hash, those in groups of at
-    least ``least`` stay (semi-join), and of these the phrases themselves are counted. All phrases of a frequent
-    phrase are frequent, so nothing is lost, and all counts are exact. Relations hold one row per document and are read where they lie: only
+    words inside one of ``k + 1`` must be frequent; the joined phrases are grouped and counted by hash, and those in groups of
+    at least ``least`` stay (semi-join). All phrases of a frequent phrase are frequent, so nothing is lost, and all counts
+    are exact: phrases that share a hash are counted again. Relations hold one row per document and are read where they lie: only
     counts are shuffled, combined before. Frequent groups go to tasks as a bit map of bounded size, which
     prunes less beyond some ten million groups and changes no result.
 
     Null, empty and blank texts hold no words, repeated rows count each, ties are broken as stated, other columns
     are ignored, whatever their names. Empty table: no rows. Very long texts are read whole.
     """
-    relation, sizes, frequent = docs, None, []
+    rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    relation, sizes, frequent = rows.where("text is not null"), None, []
     for k in range(1, longest + 1):
-        relation = stored(occurrences(docs, text_col, lang_col, least) if k == 1 else _extend(relation, k, least))
+        groups = stored(_hash_counts(relation, k).where(F.col("n") >= least))
+        relation = stored(_extend(relation, k, groups))
         if k == 1:
             sizes = relation.groupBy("lang").agg(F.sum("size").alias("size"))
-        relation = relation.where(F.size("at") > 0)
-        frequent.append(_count(relation, k).where(F.col("n") >= least).withColumn("k", F.lit(k)))
+        relation = relation.where("words <> ''")
+        frequent.append(_frequent_phrases(relation, k, groups, least).withColumn("k", F.lit(k)))
 
     known = frequent[0]
     for one in frequent[1:]:
