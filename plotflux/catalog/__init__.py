@@ -6,6 +6,7 @@ from plotflux.catalog import (  # noqa: F401
     flagship,
     joining,
     models,
+    parsing,
     rollups,
     soils,
 )

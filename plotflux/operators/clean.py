@@ -127,3 +127,19 @@ def level_table(df: DataFrame, column: str, small: int = 100_000) -> DataFrame:
     shift = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
     place = F.row_number().over(Window.partitionBy("_range").orderBy("level"))
     return ranged.select("level", (place + F.element_at(shift, F.col("_range"))).cast("int").alias("alphabetical"))
+
+
+def parse_report(df: DataFrame, text: str, parsed: str, by: Sequence[str] = ()) -> DataFrame:
+    """What parsing left behind, per group: ``n``, ``n_missing``, ``n_unparsed``, and one ``example`` of the latter.
+
+    A blank or missing text is missing; a text without a parsed value is unparsed. Dates that fit no format
+    would otherwise vanish in the next date window without a trace.
+    """
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    lost = ~blank & F.col(parsed).isNull()
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(blank).alias("n_missing"),
+        F.count_if(lost).alias("n_unparsed"),
+        F.min(F.when(lost, F.trim(text))).alias("example"),
+    )

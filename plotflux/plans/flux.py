@@ -24,6 +24,7 @@ from plotflux.operators.integrate import trapezoid
 from plotflux.operators.joins import keyed_join
 from plotflux.operators.linear import anova_oneway, anova_strata
 from plotflux.operators.mixed import MixedFit, mixed_model
+from plotflux.operators.reshape import to_wide
 from plotflux.operators.rollup import measures, se, summarise, zscore
 
 # Highest plausible campaign mean, collar left out of the integral.
@@ -78,10 +79,13 @@ def campaign_means(fluxes: DataFrame) -> DataFrame:
     )
 
 
-def model_table(campaigns: DataFrame, day_night: DataFrame, max_flux: float = MAX_MEAN_FLUX) -> DataFrame:
+def model_table(
+    campaigns: DataFrame, day_night: DataFrame, max_flux: float = MAX_MEAN_FLUX, censor_first: bool = True
+) -> DataFrame:
     """Campaign means with day and night microclimate, z-scores and transforms.
 
-    Implausible means are censored before the transforms are taken.
+    Implausible means are censored before the transforms are taken; with ``censor_first=False`` the
+    transforms are those of all means and only the mean itself is censored, as the analysis once did.
     """
     joined = keyed_join(campaigns, day_night, ["collar", "season"], "left")
     scored = zscore(
@@ -89,11 +93,13 @@ def model_table(campaigns: DataFrame, day_night: DataFrame, max_flux: float = MA
         ["mean_air_t", "mean_soil_t", "mean_surface_t", "mean_vwc", "mean_vwc_sd"]
         + [f"{c}_{t}" for c in ("soil_t", "surface_t", "air_t") for t in ("day", "night")],
     )
-    censored = scored.withColumn("mean_flux", censor("mean_flux", upper=max_flux))
-    return censored.withColumns(
+    kept = censor("mean_flux", upper=max_flux)
+    transformed = kept if censor_first else F.col("mean_flux")
+    return scored.withColumns(
         {
-            "sqrt_flux": safe_sqrt("mean_flux"),
-            "log_flux": safe_log10("mean_flux"),
+            "mean_flux": kept,
+            "sqrt_flux": safe_sqrt(transformed),
+            "log_flux": safe_log10(transformed),
             "z_mean_soil_t_2": square("z_mean_soil_t"),
             "campaign_number": F.unix_date("campaign_day").cast("double"),
         }
@@ -188,3 +194,8 @@ def season_means(fluxes: DataFrame) -> DataFrame:
     return summarise(
         fluxes, ["season", "plot_id", "treatment"], {"flux_umol": "flux_umol", "flux_mg": "flux"}, ("mean",)
     )
+
+
+def season_columns(means: DataFrame, seasons: Sequence[str] = ("dry", "wet")) -> DataFrame:
+    """``season_means`` side by side: one row per plot and treatment with ``mean_flux_umol`` and ``mean_flux_mg`` of each season."""
+    return to_wide(means, ["plot_id", "treatment"], "season", seasons, ["mean_flux_umol", "mean_flux_mg"])

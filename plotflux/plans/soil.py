@@ -122,11 +122,12 @@ def master_table(
     cover: DataFrame,
     ph: DataFrame,
     bulk_density: Mapping = BULK_DENSITY_BY_BLOCK,
+    seasons: DataFrame | None = None,
 ) -> DataFrame:
     """One row per collar with every measure, mass-based rates and stocks.
 
     Block and plot come from the registry, so a collar left out of the integral
-    still finds its soil values.
+    still finds its soil values. ``seasons`` (``flux.season_columns``) adds the season means of the plot side by side.
     """
     keyed = ["collar", "treatment"]
     base = rates.join(registry.select("collar", "block", "plot"), "collar", "left")
@@ -146,6 +147,9 @@ def master_table(
             (ph, ["collar"]),
         ],
     )
+    if seasons is not None:
+        named = wide.withColumn("plot_id", compound_key("block", "plot"))
+        wide = join_chain(named, [(seasons, ["plot_id", "treatment"])]).drop("plot_id")
     wide = constant_lookup(wide, "block", bulk_density, "soil_bd")
     volume = wide.withColumns(
         {

@@ -22,11 +22,15 @@ def read_lines(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return raw.select(F.col("value").alias("line"), decoded_path().alias("path"))
 
 
-def fields_of(line: Column, width: int, sep: str) -> Column:
-    """The first ``width`` fields of a delimited record as an array of texts; doubled quotes stand for one."""
+def with_fields(df: DataFrame, record: str, out: str, width: int, sep: str) -> DataFrame:
+    """Add the first ``width`` fields of a delimited record as an array of texts; doubled quotes stand for one.
+
+    The record is parsed in a projection of its own, once, and its fields are listed in the next.
+    """
     schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv(line, schema, {"sep": sep, "nullValue": MISSING_TEXT, "escape": '"', "maxColumns": str(max(width, 20480))})
-    return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
+    options = {"sep": sep, "nullValue": MISSING_TEXT, "escape": '"', "maxColumns": str(max(width, 20480))}
+    parsed = df.withColumn("_record", F.from_csv(F.col(record), schema, options))
+    return parsed.withColumn(out, F.array(*[F.col(f"_record.c{i}") for i in range(width)])).drop("_record")
 
 
 def rows_by_name(lines: DataFrame, spec: TableSpec, sep: str = ",") -> DataFrame:
@@ -41,13 +45,13 @@ def rows_by_name(lines: DataFrame, spec: TableSpec, sep: str = ",") -> DataFrame
     text = F.regexp_replace(F.col("line"), f"^{BYTE_ORDER_MARK}|\r$", "")
     rows = lines.select(text.alias("line"), "path").where(F.trim("line") != "")
     wanted = list(spec.columns)
-    maybe = rows
-    for name in wanted:
-        maybe = maybe.where(F.contains(F.col("line"), F.lit(name.replace('"', '""'))))
+    # Most lines fail on the first name.
+    names = F.array(*[F.lit(name.replace('"', '""')) for name in wanted])
+    maybe = rows.where(F.forall(names, lambda name: F.contains(F.col("line"), name)))
     # Separators inside quotes only make this bound larger than the number of fields.
     width = maybe.agg(F.max(F.size(F.split("line", "\\Q" + sep + "\\E")))).collect()[0][0] or 1
-    named = maybe.withColumn("_names", fields_of(F.col("line"), width, sep))
-    headers = named.where(F.size(F.array_intersect("_names", F.array(*map(F.lit, wanted)))) == len(wanted))
+    headers = with_fields(maybe, "line", "_names", width, sep)
+    headers = headers.where(F.size(F.array_intersect("_names", F.array(*map(F.lit, wanted)))) == len(wanted))
     two = F.raise_error(F.concat(F.lit("two different headers in "), F.col("path")))
     places = F.array(*[F.array_position("_names", name).cast("int") - 1 for name in wanted])
     per_file = (
@@ -58,7 +62,7 @@ def rows_by_name(lines: DataFrame, spec: TableSpec, sep: str = ",") -> DataFrame
     joined = join_checked(rows, per_file, ["path"])
     none = F.raise_error(F.concat(F.lit(f"no header with the columns {wanted} in "), F.col("path")))
     joined = joined.withColumn("_places", F.coalesce("_places", none.cast("array<int>")))
-    fields = joined.where(F.col("line") != F.coalesce("_header", F.lit(""))).withColumn("_fields", fields_of(F.col("line"), width, sep))
+    fields = with_fields(joined.where(F.col("line") != F.coalesce("_header", F.lit(""))), "line", "_fields", width, sep)
     picked = []
     for k, (name, kind) in enumerate(spec.columns.values()):
         value = F.get("_fields", F.get("_places", F.lit(k)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotflux.functions.scalars import split_part
 from plotflux.operators.clean import CONTROL_SAMPLE_PATTERN, exclude_matching
-from plotflux.sources.delimited import BYTE_ORDER_MARK, decoded_path, fields_of
+from plotflux.sources.delimited import BYTE_ORDER_MARK, decoded_path, with_fields
 
 # Layout of the carbon analyser's files.
 PREAMBLE_LINES = 9
@@ -41,12 +41,9 @@ def rows_by_header(files: DataFrame, columns: Mapping[str, str], preamble: int =
     files = files.select(records(body).alias("records"), "path")
     header = F.get("records", F.lit(0))
     width = files.agg(F.max(F.size(F.split(header, "\\Q" + sep + "\\E")))).collect()[0][0] or 1
-    rows = (
-        files.withColumn("header", fields_of(header, width, sep))
-        .withColumn("record", F.explode(F.slice("records", 2, F.greatest(F.size("records"), F.lit(1)))))
-        .where(F.trim("record") != "")
-        .withColumn("fields", fields_of(F.col("record"), width, sep))
-    )
+    files = with_fields(files.withColumn("first", header), "first", "header", width, sep)
+    each = files.withColumn("record", F.explode(F.slice("records", 2, F.greatest(F.size("records"), F.lit(1)))))
+    rows = with_fields(each.where(F.trim("record") != ""), "record", "fields", width, sep)
 
     def pick(header):
         position = F.array_position("header", header)
@@ -58,6 +55,12 @@ def rows_by_header(files: DataFrame, columns: Mapping[str, str], preamble: int =
     )
 
 
+def whole_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """One row (``text``, ``path``) per file of a folder and its sub-folders."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return files.select(F.col("value").alias("text"), decoded_path().alias("path"))
+
+
 def read_by_header(
     spark: SparkSession,
     folder: str,
@@ -72,13 +75,16 @@ def read_by_header(
     top; this is for laboratory runs, which are small and many. Files without a preamble
     go through ``delimited.read_by_name``, which splits them.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    return rows_by_header(files.select(F.col("value").alias("text"), decoded_path().alias("path")), columns, preamble, sep)
+    return rows_by_header(whole_files(spark, folder, glob), columns, preamble, sep)
+
+
+def carbon_rows(files: DataFrame, control_pattern: str = CONTROL_SAMPLE_PATTERN) -> DataFrame:
+    """Dissolved carbon and nitrogen per sample as text from whole files (``text``, ``path``), control samples removed."""
+    return exclude_matching(rows_by_header(files, CARBON_COLUMNS, PREAMBLE_LINES), "sample_id", control_pattern)
 
 
 def read_carbon_files(
     spark: SparkSession, folder: str, control_pattern: str = CONTROL_SAMPLE_PATTERN
 ) -> DataFrame:
-    """Dissolved carbon and nitrogen per sample as text, control samples removed."""
-    rows = read_by_header(spark, folder, CARBON_COLUMNS, preamble=PREAMBLE_LINES)
-    return exclude_matching(rows, "sample_id", control_pattern)
+    """``carbon_rows`` of all laboratory files of a folder."""
+    return carbon_rows(whole_files(spark, folder), control_pattern)
