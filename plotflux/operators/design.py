@@ -203,21 +203,21 @@ def collect_moments(cells: DataFrame, design: Design) -> Moments:
     return Moments(first["n"], np.array(mean), cross_products(cells, mean, design))
 
 
-def cross_products(table: DataFrame, mean: Sequence[float], design: Design | None = None) -> np.ndarray:
+def cross_products(table: DataFrame, mean: Sequence[float] | int, design: Design | None = None) -> np.ndarray:
     """Sum of n (m - mean)(m - mean)' over the entries of ``table``.
 
-    With a ``design`` the entries are its cells, and the cross products inside
-    them are added.
+    With a ``design`` the entries are its cells, and the cross products inside them are added. A number
+    instead of the mean says how many columns there are; each entry then has its own mean in ``_own``.
     """
-    size = len(mean)
+    size = mean if isinstance(mean, int) else len(mean)
     pairs = _pairs(size)
 
     def listed(values) -> str:
         return f"array({', '.join(str(v) for v in values)})"
 
-    centre = listed(f"{float(v)!r}D" for v in mean)
+    centre = "_own" if isinstance(mean, int) else listed(f"{float(v)!r}D" for v in mean)
     value = f"n * (m[i] - {centre}[i]) * (m[j] - {centre}[j])"
-    columns = ["n", "m"]
+    columns = ["n", "m", "_own"] if isinstance(mean, int) else ["n", "m"]
     if design is not None:
         columns += ["d", "w"]
         r = design.n_numeric + 1

@@ -25,7 +25,7 @@ from plotflux.operators.design import (
     cross_products,
     eliminate,
 )
-from plotflux.session import durable
+from plotflux.session import durable, join_checked
 
 COEFFICIENTS = "term string, estimate double, std_error double, df double, t_value double, p_value double"
 ANOVA = "stratum string, term string, df long, sum_sq double, mean_sq double, f_value double, p_value double"
@@ -197,22 +197,25 @@ class GroupedMoments:
     mean: np.ndarray
     total: np.ndarray
     between: np.ndarray
-
-    @property
-    def within(self) -> np.ndarray:
-        return self.total - self.between
+    within: np.ndarray
 
 
 def grouped_moments(design: Design, by: Sequence[str]) -> GroupedMoments:
-    """Moments per group, in total and between groups, all from the reduced rows."""
+    """Moments per group, in total, between groups and inside them, all from the reduced rows.
+
+    Those inside are summed from the cells around the means of their groups, not taken as a difference of
+    totals, which would lose the digits of small ones.
+    """
     cells = cell_table(design)
     moments = collect_moments(cells, design)
     groups = durable(
-        cells.groupBy(*by).agg(F.sum("n").alias("n"), column_means(design.size).alias("m"))
+        cells.groupBy(*by).agg(F.sum("n").alias("n"), column_means(design.size).alias("m"), F.count(F.lit(1)).alias("_held"))
     )
+    own = groups.select(*by, F.col("m").alias("_own"), "_held")
+    inside = cross_products(join_checked(cells, own, list(by), weight="_held"), design.size, design)
     return GroupedMoments(
-        groups, moments.n, groups.count(), moments.mean, moments.cross,
-        cross_products(groups, moments.mean),
+        groups.drop("_held"), moments.n, groups.count(), moments.mean, moments.cross,
+        cross_products(groups, moments.mean), inside,
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plotflux.functions.pvalues import t_p
 from plotflux.operators.design import Term, build_design, eliminate
 from plotflux.operators.linear import COEFFICIENTS, GroupedMoments, grouped_moments, table, vif_table
-from plotflux.session import BROADCAST_CELLS
+from plotflux.session import BROADCAST_CELLS, durable, join_checked
 
 # For every (inner ratio, outer ratio): weighted cross products of (1, columns, response)
 # and the log determinant of the random part.
@@ -61,7 +61,11 @@ def local_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
 
 
 def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
-    """Evaluate in Spark, one job per grid of ratios."""
+    """Evaluate in Spark, a whole grid of ratios at a time.
+
+    As on the driver, only positive parts are summed: first the weighted centre of every block, then the groups
+    around the centre of their own block.
+    """
     size = len(g.mean) + 1
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     within = _within(g)
@@ -76,33 +80,35 @@ def spark_evaluator(g: GroupedMoments, outer: str | None) -> Evaluator:
         entries = ", ".join(f"struct({k} as {name}i, {float(r)!r}D as {name})" for k, r in enumerate(ratios))
         return f"inline(array({entries}))"
 
+    def matrix(upper) -> np.ndarray:
+        out = np.zeros((size, size))
+        out[np.triu_indices(size)] = upper
+        return out + np.triu(out, 1).T
+
     def evaluate(inner_ratios, outer_ratios):
-        per_block = (
-            groups.selectExpr("*", grid(inner_ratios, "lc"))
-            .selectExpr("*", "n / (1 + lc * n) as w")
-            .groupBy("b", "lci")
-            .agg(
+        rows = groups.selectExpr("*", grid(inner_ratios, "lc")).selectExpr("*", "n / (1 + lc * n) as w")
+        blocks = durable(
+            rows.groupBy("b", "lci").agg(
                 F.expr("sum(w) as m"),
                 F.expr("sum(log1p(lc * n)) as d"),
+                F.expr("count(*) as held"),
                 *[F.expr(f"sum(w * z{i}) / sum(w) as c{i}") for i in range(size)],
-                *[F.expr(f"sum(w * z{i} * z{j}) as p{k}") for k, (i, j) in enumerate(pairs)],
             )
         )
-        # Around the block's centre: the cross products there, plus what the outer variance leaves of the centre.
-        taken = ", ".join(f"sum(p{k} - m * c{i} * c{j} + g * c{i} * c{j})" for k, (i, j) in enumerate(pairs))
+        centres = blocks.select("b", "lci", "held", *[f"c{i}" for i in range(size)])
+        apart = join_checked(rows, centres, ["b", "lci"], weight="held")
+        spread = ", ".join(f"sum(w * (z{i} - c{i}) * (z{j} - c{j}))" for i, j in pairs)
+        inner = {r["lci"]: matrix(r["s"]) for r in apart.groupBy("lci").agg(F.expr(f"array({spread}) as s")).collect()}
+        # What the outer variance leaves of the centres.
+        left = ", ".join(f"sum(g * c{i} * c{j})" for i, j in pairs)
         sums = (
-            per_block.selectExpr("*", grid(outer_ratios, "lb"))
+            blocks.selectExpr("*", grid(outer_ratios, "lb"))
             .selectExpr("*", "m / (1 + lb * m) as g")
             .groupBy("lci", "lbi")
-            .agg(F.expr("sum(d + log1p(lb * m)) as d"), F.expr(f"array({taken}) as taken"))
+            .agg(F.expr("sum(d + log1p(lb * m)) as d"), F.expr(f"array({left}) as left"))
         )
-        out = {}
-        for row in sums.collect():  # one row per candidate
-            taken = np.zeros((size, size))
-            taken[np.triu_indices(size)] = row["taken"]
-            taken = taken + np.triu(taken, 1).T
-            out[row["lci"], row["lbi"]] = (within + taken, row["d"])
-        return out
+        # One row per candidate.
+        return {(r["lci"], r["lbi"]): (within + inner[r["lci"]] + matrix(r["left"]), r["d"]) for r in sums.collect()}
 
     return evaluate
 
@@ -113,7 +119,7 @@ def _restrict(g: GroupedMoments, keep: list[int]) -> GroupedMoments:
         return g
     groups = g.groups.withColumn("m", F.array(*[F.col("m")[k] for k in keep]))
     at = np.ix_(keep, keep)
-    return GroupedMoments(groups, g.n, g.n_groups, g.mean[keep], g.total[at], g.between[at])
+    return GroupedMoments(groups, g.n, g.n_groups, g.mean[keep], g.total[at], g.between[at], g.within[at])
 
 
 @dataclass

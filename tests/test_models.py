@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 
 from plotflux.functions import pvalues
-from plotflux.operators.design import crossed
-from plotflux.operators.linear import GroupedMoments, anova_oneway, anova_strata, linear_model
+from plotflux.operators.design import build_design, crossed
+from plotflux.operators.linear import GroupedMoments, anova_oneway, anova_strata, grouped_moments, linear_model
 from plotflux.operators.mixed import local_evaluator, mixed_model, spark_evaluator
 from plotflux.operators.outliers import outlier_rows
 from plotflux.plans.soil import treatment_model
@@ -265,7 +265,7 @@ def test_weighted_products_keep_their_digits(spark, rows):
     means = np.array([d[2] for d in data])
     spread = np.diag([rows * count, rows * count])
     between = rows * (means - means.mean(0)).T @ (means - means.mean(0))
-    g = GroupedMoments(groups, int(rows * count), count, means.mean(0), spread + between, between)
+    g = GroupedMoments(groups, int(rows * count), count, means.mean(0), spread + between, between, spread)
     want = count * rows / (1 + ratio * rows)
     for evaluator in (local_evaluator, spark_evaluator):
         weighted, log_det = evaluator(g, None)([ratio], [0.0])[0, 0]
@@ -273,6 +273,43 @@ def test_weighted_products_keep_their_digits(spark, rows):
         assert abs(log_det / (count * math.log1p(ratio * rows)) - 1) < 1e-12
 
 
+def test_moments_inside_groups_keep_their_digits(spark):
+    """Groups that lie far apart, with little spread inside: what is inside is not a difference of totals."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": np.repeat(np.arange(6), 50), "x": rng.normal(size=300), "y": rng.normal(size=300) * 1e-3})
+    pdf["y"] += pdf.g * 1e7
+    g = grouped_moments(build_design(spark.createDataFrame(pdf), "y", [("x",)], keep=["g"]), ["g"])
+    centred = pdf[["x", "y"]] - pdf.groupby("g")[["x", "y"]].transform("mean")
+    assert np.allclose(g.within, centred.T @ centred, rtol=1e-4, atol=1e-12)
+    assert np.allclose(g.within + g.between, g.total, rtol=1e-9)
+
+
+def test_evaluators_agree_in_nested_models_of_huge_groups(spark):
+    """Both evaluators at ten thousand million rows a group, collars in blocks, against dense algebra."""
+    rng = np.random.default_rng(9)
+    rows, data = 1e10, []
+    for block in range(3):
+        for collar in range(4):
+            data.append((f"b{block}", f"b{block}c{collar}", rows * (1 + collar), [float(v) for v in rng.normal(size=2)]))
+    groups = spark.createDataFrame(data, "block string, collar string, n double, m array<double>")
+    n, means = np.array([d[2] for d in data]), np.array([d[3] for d in data])
+    mean = n @ means / n.sum()
+    between = (means - mean).T @ ((means - mean) * n[:, None])
+    within = np.diag([1.0, 2.0]) * n.sum()
+    g = GroupedMoments(groups, int(n.sum()), 12, mean, within + between, between, within)
+    lc, lb = [0.0, 0.3], [0.0, 1e-3, 2.0]
+    mine, theirs = local_evaluator(g, "block")(lc, lb), spark_evaluator(g, "block")(lc, lb)
+    z = np.column_stack([np.ones(12), means - mean])
+    for (i, j), (weighted, log_det) in mine.items():
+        # Group means have variance 1 / n + lc, and blocks lb in common.
+        v = np.diag(1 / n + lc[i]) + lb[j] * np.kron(np.eye(3), np.ones((4, 4)))
+        want = z.T @ np.linalg.solve(v, z)
+        want[1:, 1:] += within
+        scale = np.sqrt(np.outer(np.diag(want), np.diag(want)))
+        assert np.abs((weighted - want) / scale).max() < 1e-6
+        assert np.abs((weighted - theirs[i, j][0]) / scale).max() < 1e-8 and abs(log_det - theirs[i, j][1]) < 1e-8 * max(1, abs(log_det))
+
+
 def test_factor_of_many_levels(spark):
     data = [(f"p{k:03d}", float(k) + r) for k in range(150) for r in (0.0, 1.0, 2.0)]
     fit = linear_model(spark.createDataFrame(data, "plot string, y double"), "y", [("plot",)], ["plot"])
