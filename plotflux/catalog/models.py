@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded
+from plotflux.catalog.registry import FLUXES, READINGS, f_tail, fluxes, query, readings, rounded, t_tail
 from plotflux.functions.bins import day_or_night
 from plotflux.operators import correlate, linear
 from plotflux.operators.design import build_design, cell_table, collect_moments, crossed
@@ -43,16 +43,21 @@ def pearson_tests(spark, folder):
     return rounded(correlate.pearson_tests(_gappy(spark, folder)), {"r": 8, "t": 6})
 
 
-@query()
+@query(f"""{_TESTS}, t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM p), v AS (SELECT *, {t_tail('t', 'n - 2')} AS pv FROM t)
+SELECT var_x, var_y, n, round(r, 8) AS r, round(t, 6) AS t, round(pv, 8) AS p,
+  repeat('*', CAST(pv < 0.001 AS INTEGER) + CAST(pv < 0.05 AS INTEGER)) AS mark FROM v""")
 def pearson_significance(spark, folder):
     tests = correlate.with_significance(correlate.pearson_tests(_gappy(spark, folder)))
     return rounded(tests, {"r": 8, "t": 6, "p": 8})
 
 
 def _estimates(fit):
-    """Coefficient table without the p-value, which SQL has no function for."""
-    out = fit.coefficients().drop("p_value")
-    return rounded(out, {"estimate": 6, "std_error": 6, "t_value": 5})
+    return rounded(fit.coefficients(), {"estimate": 6, "std_error": 6, "t_value": 5, "p_value": 6})
+
+
+#: The columns of a coefficient table from estimates ``b``, errors ``se`` and degrees of freedom ``df``.
+_COEFFICIENTS = f"""term, round(b, 6) AS estimate, round(se, 6) AS std_error, CAST(df AS DOUBLE) AS df, round(b / se, 5) AS t_value,
+  round({t_tail("b / se", "df")}, 6) AS p_value"""
 
 
 @query(f"""WITH {FLUXES}, g AS (SELECT season, count(*) AS n, avg(flux) AS m, var_pop(flux) * count(*) AS q FROM fluxes GROUP BY 1),
@@ -61,7 +66,7 @@ w AS (SELECT max(CASE WHEN season = 'F' THEN n END) AS n0, max(CASE WHEN season
 s AS (SELECT *, n0 + n1 - 2 AS df, q / (n0 + n1 - 2) AS s2 FROM w),
 e AS (SELECT '(intercept)' AS term, m0 AS b, sqrt(s2 / n0) AS se, df FROM s
   UNION ALL SELECT 'season[O]', m1 - m0, sqrt(s2 / n0 + s2 / n1), df FROM s)
-SELECT term, round(b, 6) AS estimate, round(se, 6) AS std_error, CAST(df AS DOUBLE) AS df, round(b / se, 5) AS t_value FROM e""")
+SELECT {_COEFFICIENTS} FROM e""")
 def ols_treatment(spark, folder):
     return _estimates(linear.linear_model(fluxes(spark, folder), "flux", [("season",)], ["season"]))
 
@@ -78,7 +83,7 @@ e AS (SELECT '(intercept)' AS term, my - b1 * m1 - b2 * m2 AS b,
     sqrt(s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)) AS se, n FROM v
   UNION ALL SELECT 'temperature', b1, sqrt(s2 * s22 / d), n FROM v
   UNION ALL SELECT 'quality', b2, sqrt(s2 * s11 / d), n FROM v)
-SELECT term, round(b, 6) AS estimate, round(se, 6) AS std_error, CAST(n - 3 AS DOUBLE) AS df, round(b / se, 5) AS t_value FROM e""")
+SELECT {_COEFFICIENTS} FROM (SELECT *, n - 3 AS df FROM e)""")
 def ols_multi(spark, folder):
     return _estimates(
         linear.linear_model(fluxes(spark, folder), "flux", [("temperature",), ("quality",)])
@@ -94,7 +99,7 @@ e AS (SELECT '(intercept)' AS term, a0 AS b, sqrt(s2 * (1.0 / n0 + m0 * m0 / x0)
   UNION ALL SELECT 'season[O]', a1 - a0, sqrt(s2 * (1.0 / n0 + m0 * m0 / x0 + 1.0 / n1 + m1 * m1 / x1)), df FROM w
   UNION ALL SELECT 'temperature', b0, sqrt(s2 / x0), df FROM w
   UNION ALL SELECT 'season[O]:temperature', b1 - b0, sqrt(s2 / x0 + s2 / x1), df FROM w)
-SELECT term, round(b, 6) AS estimate, round(se, 6) AS std_error, df, round(b / se, 5) AS t_value FROM e""")
+SELECT {_COEFFICIENTS} FROM e""")
 def ols_interaction(spark, folder):
     return _estimates(
         linear.linear_model(
@@ -103,21 +108,32 @@ def ols_interaction(spark, folder):
     )
 
 
-@query()
+@query(f"""WITH {READINGS}, c AS (SELECT block, treatment, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS q
+  FROM readings WHERE value IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT CAST(sum(n) AS BIGINT) - count(*) AS df, sum(q) / (sum(n) - count(*)) AS s2 FROM c),
+w AS (SELECT k.block, k.m AS mk, k.n AS nk, h.m AS mh, h.n AS nh FROM c k JOIN c h ON k.block = h.block AND k.treatment = 'control' AND h.treatment = 'warming'),
+b1 AS (SELECT * FROM w WHERE block = 1),
+e AS (SELECT '(intercept)' AS term, mk AS b, 1.0 / nk AS v FROM b1
+  UNION ALL SELECT 'treatment[warming]', mh - mk, 1.0 / nk + 1.0 / nh FROM b1
+  UNION ALL SELECT 'block[' || w.block || ']', w.mk - b1.mk, 1.0 / w.nk + 1.0 / b1.nk FROM w, b1 WHERE w.block > 1
+  UNION ALL SELECT 'block[' || w.block || ']:treatment[warming]', w.mh - w.mk - b1.mh + b1.mk,
+    1.0 / w.nk + 1.0 / w.nh + 1.0 / b1.nk + 1.0 / b1.nh FROM w, b1 WHERE w.block > 1)
+SELECT {_COEFFICIENTS} FROM (SELECT term, b, sqrt(v * s2) AS se, df FROM e, s)""")
 def ols_block_by_treatment(spark, folder):
     r = readings(spark, folder)
     fit = linear.linear_model(r, "value", crossed(("block", "treatment")), ["block", "treatment"])
-    return rounded(fit.coefficients(), {"estimate": 6, "std_error": 6, "t_value": 5, "p_value": 6})
+    return _estimates(fit)
 
 
 @query(f"""WITH {FLUXES}, g AS (SELECT treatment, count(*) AS n, avg(flux) AS m, var_pop(flux) * count(*) AS q FROM fluxes GROUP BY 1),
 c AS (SELECT avg(flux) AS c FROM fluxes),
 s AS (SELECT count(*) - 1 AS d1, CAST(sum(n) AS BIGINT) - count(*) AS d2, sum(n * (m - c) ** 2) AS ss1, sum(q) AS ss2 FROM g, c)
-SELECT 'treatment' AS term, d1 AS df, round(ss1, 3) AS sum_sq, round(ss1 / d1, 3) AS mean_sq, round(ss1 / d1 / (ss2 / d2), 5) AS f_value FROM s
-UNION ALL SELECT 'residuals', d2, round(ss2, 3), round(ss2 / d2, 3), NULL FROM s""")
+SELECT 'treatment' AS term, d1 AS df, round(ss1, 3) AS sum_sq, round(ss1 / d1, 3) AS mean_sq, round(ss1 / d1 / (ss2 / d2), 5) AS f_value,
+  round({f_tail("(ss1 / d1 / (ss2 / d2))", "d1", "d2")}, 6) AS p_value FROM s
+UNION ALL SELECT 'residuals', d2, round(ss2, 3), round(ss2 / d2, 3), NULL, NULL FROM s""")
 def anova_oneway(spark, folder):
-    out = linear.anova_oneway(fluxes(spark, folder), "flux", "treatment").drop("p_value")
-    return rounded(out, {"sum_sq": 3, "mean_sq": 3, "f_value": 5})
+    out = linear.anova_oneway(fluxes(spark, folder), "flux", "treatment")
+    return rounded(out, {"sum_sq": 3, "mean_sq": 3, "f_value": 5, "p_value": 6})
 
 
 @query(f"""WITH {FLUXES}, r AS (SELECT corr(temperature, quality) AS r FROM fluxes)
@@ -134,16 +150,57 @@ def vif_table(spark, folder):
 s AS (SELECT count(*) AS j, CAST(sum(n) AS BIGINT) AS n, sum(n * (x - mx) ** 2) AS bxx, sum(n * (x - mx) * (y - my)) AS bxy, sum(n * (y - my) ** 2) AS byy,
   sum(cxx) AS wxx, sum(cxy) AS wxy, sum(cyy) AS wyy FROM g, m),
 t AS (SELECT bxy ** 2 / bxx AS b1, byy - bxy ** 2 / bxx AS b2, wxy ** 2 / wxx AS w1, wyy - wxy ** 2 / wxx AS w2, j - 2 AS db, n - j - 1 AS dw FROM s)
-SELECT 'collar' AS stratum, 'temperature' AS term, CAST(1 AS BIGINT) AS df, round(b1, 3) AS sum_sq, round(b1, 3) AS mean_sq, round(b1 / (b2 / db), 5) AS f_value FROM t
-UNION ALL SELECT 'collar', 'residuals', db, round(b2, 3), round(b2 / db, 3), NULL FROM t
-UNION ALL SELECT 'within', 'temperature', 1, round(w1, 3), round(w1, 3), round(w1 / (w2 / dw), 5) FROM t
-UNION ALL SELECT 'within', 'residuals', dw, round(w2, 3), round(w2 / dw, 3), NULL FROM t""")
+SELECT 'collar' AS stratum, 'temperature' AS term, CAST(1 AS BIGINT) AS df, round(b1, 3) AS sum_sq, round(b1, 3) AS mean_sq, round(b1 / (b2 / db), 5) AS f_value,
+  round({f_tail("(b1 / (b2 / db))", "1", "db")}, 6) AS p_value FROM t
+UNION ALL SELECT 'collar', 'residuals', db, round(b2, 3), round(b2 / db, 3), NULL, NULL FROM t
+UNION ALL SELECT 'within', 'temperature', 1, round(w1, 3), round(w1, 3), round(w1 / (w2 / dw), 5), round({f_tail("(w1 / (w2 / dw))", "1", "dw")}, 6) FROM t
+UNION ALL SELECT 'within', 'residuals', dw, round(w2, 3), round(w2 / dw, 3), NULL, NULL FROM t""")
 def anova_strata(spark, folder):
     out = linear.anova_strata(fluxes(spark, folder), "flux", [("temperature",)], "collar")
-    return rounded(out.drop("p_value"), {"sum_sq": 3, "mean_sq": 3, "f_value": 5})
+    return rounded(out, {"sum_sq": 3, "mean_sq": 3, "f_value": 5, "p_value": 6})
 
 
-@query()
+def _sweep(size: int) -> str:
+    """SQL that takes the columns of matrices ``m`` (``stratum``, ``a``, ``scale``) out one after the other: ``steps``."""
+    taken = f"a[x + 1] - a[(x // {size}) * {size} + k + 1] * a[k * {size} + x % {size} + 1] / a[k * {size} + k + 1]"
+    return f"""steps AS (SELECT stratum, 0 AS k, a, scale FROM m
+  UNION ALL SELECT stratum, k + 1, CASE WHEN a[k * {size} + k + 1] > 1e-10 * scale[k + 1] THEN [{taken} FOR x IN range(0, {size * size})] ELSE a END, scale
+  FROM steps WHERE k < {size - 1})"""
+
+
+#: The terms of treatment x channel x block with their numbers of columns; the block is numeric.
+_CROSSED_TERMS = (
+    ("treatment", 1), ("channel", 4), ("block", 1), ("treatment:channel", 4), ("treatment:block", 1), ("channel:block", 4),
+    ("treatment:channel:block", 4),
+)
+_CROSSED_LAST = sum(n for _, n in _CROSSED_TERMS)
+
+
+@query(f"""WITH RECURSIVE {READINGS}, levels AS (SELECT list_sort(list_distinct(list(channel))) AS lv FROM readings WHERE value IS NOT NULL),
+x AS (SELECT row_number() OVER () AS id, collar, value, CASE WHEN treatment = 'warming' THEN 1.0 ELSE 0.0 END::DOUBLE AS t, CAST(block AS DOUBLE) AS b,
+    [CASE WHEN channel = lv[i] THEN 1.0 ELSE 0.0 END::DOUBLE FOR i IN range(2, 6)] AS c FROM readings, levels WHERE value IS NOT NULL),
+w AS (SELECT id, collar, list_concat([t], c, [b], [v * t FOR v IN c], [t * b], [v * b FOR v IN c], [v * t * b FOR v IN c], [value]) AS v FROM x),
+long AS (SELECT id, collar, unnest(v) AS v, unnest(range(0, {_CROSSED_LAST + 1})) AS i FROM w),
+grand AS (SELECT i, avg(v) AS m FROM long GROUP BY i),
+groups AS (SELECT collar, i, avg(v) AS m, count(*) AS n FROM long GROUP BY 1, 2),
+sizes AS (SELECT count(*) AS j, CAST(sum(n) AS BIGINT) AS n FROM groups WHERE i = 0),
+dev AS (SELECT id, l.i, l.v - g.m AS v FROM long l JOIN groups g ON l.collar = g.collar AND l.i = g.i),
+apart AS (SELECT collar, g.i, g.n, g.m - a.m AS v FROM groups g JOIN grand a ON g.i = a.i),
+cross_products AS (
+  SELECT 'collar' AS stratum, p.i, q.i AS j, sum(p.n * p.v * q.v) AS s FROM apart p JOIN apart q ON p.collar = q.collar GROUP BY 2, 3
+  UNION ALL SELECT 'within', p.i, q.i, sum(p.v * q.v) FROM dev p JOIN dev q ON p.id = q.id GROUP BY 2, 3),
+whole AS (SELECT list(s ORDER BY i) AS scale FROM (SELECT i, sum(s) AS s FROM cross_products WHERE i = j GROUP BY i)),
+m AS (SELECT stratum, list(s ORDER BY i, j) AS a, any_value(scale) AS scale FROM cross_products, whole GROUP BY stratum),
+{_sweep(_CROSSED_LAST + 1)},
+taken AS (SELECT s.stratum, s.k, s.a[-1] - n.a[-1] AS ss FROM steps s JOIN steps n ON n.stratum = s.stratum AND n.k = s.k + 1
+  WHERE s.a[s.k * {_CROSSED_LAST + 1} + s.k + 1] > 1e-10 * s.scale[s.k + 1]),
+rest AS (SELECT s.stratum, s.a[-1] AS rss, CASE WHEN s.stratum = 'collar' THEN z.j - 1 ELSE z.n - z.j END
+    - (SELECT count(*) FROM taken t WHERE t.stratum = s.stratum) AS df FROM steps s, sizes z WHERE s.k = {_CROSSED_LAST}),
+names AS (SELECT unnest([{", ".join(f"'{name}'" for name, n in _CROSSED_TERMS for _ in range(n))}]) AS term, unnest(range(0, {_CROSSED_LAST})) AS k),
+terms AS (SELECT stratum, term, count(*) AS df, sum(ss) AS ss FROM taken JOIN names USING (k) GROUP BY 1, 2),
+f AS (SELECT t.*, t.ss / t.df AS ms, t.ss / t.df / (r.rss / r.df) AS f, r.df AS rdf FROM terms t JOIN rest r ON r.stratum = t.stratum)
+SELECT stratum, term, df, round(ss, 3) AS sum_sq, round(ms, 3) AS mean_sq, round(f, 5) AS f_value, round({f_tail("f", "df", "rdf")}, 6) AS p_value FROM f
+UNION ALL SELECT stratum, 'residuals', df, round(rss, 3), round(rss / df, 3), NULL, NULL FROM rest""")
 def anova_strata_crossed(spark, folder):
     r = readings(spark, folder)
     out = linear.anova_strata(

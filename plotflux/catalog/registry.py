@@ -52,6 +52,26 @@ def nudged(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
+def f_tail(f: str, df1: str, df2: str, steps: int = 2000) -> str:
+    """SQL of the upper tail of an F statistic, by Simpson's rule.
+
+    With tan^2(a) = df1 f / df2 the distribution function is the integral of sin^(df1-1) cos^(df2-1) from 0
+    to a, over half the beta function; what lies far beyond the bulk adds nothing and is left out.
+    """
+    top = f"least(atan(sqrt({df1} * {f} / {df2})), (sqrt({df1}) + 14) / sqrt({df2}))"
+    at = f"({top} * i / {steps})"
+    weight = f"(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    value = f"{weight} * power(sin{at}, {df1} - 1) * power(cos{at}, {df2} - 1)"
+    area = f"list_sum([{value} FOR i IN range(0, {steps} + 1)]) * {top} / {3 * steps}"
+    half_beta = f"exp(lgamma({df1} / 2.0) + lgamma({df2} / 2.0) - lgamma(({df1} + {df2}) / 2.0)) / 2"
+    return f"greatest(1 - ({area}) / ({half_beta}), 0)"
+
+
+def t_tail(t: str, df: str) -> str:
+    """SQL of the two-sided p-value of a t statistic."""
+    return f_tail(f"(({t}) * ({t}))", "1", f"({df})")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotflux.catalog.registry import FLUXES, READINGS, fluxes, query, readings, rounded, table
+from plotflux.catalog.registry import fluxes, FLUXES, query, READINGS, readings, rounded, t_tail, table
 from plotflux.functions.bins import day_or_night, season_by_date, season_by_month
 from plotflux.functions.scalars import hours_since_epoch, with_date_parts
 from plotflux.operators import charts
@@ -280,7 +280,18 @@ def smooth_lines(spark, folder):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLUXES}, l AS (
+  SELECT treatment, regr_count(flux, temperature) AS n, regr_slope(flux, temperature) AS b, regr_intercept(flux, temperature) AS a,
+    avg(temperature) AS m, regr_sxx(flux, temperature) AS sxx, min(temperature) AS lo, max(temperature) AS hi,
+    sqrt((regr_syy(flux, temperature) - regr_sxy(flux, temperature) ** 2 / regr_sxx(flux, temperature)) / (regr_count(flux, temperature) - 2)) AS s
+  FROM fluxes GROUP BY treatment),
+q AS (SELECT treatment, n - 2 AS df, 0.0::DOUBLE AS low, 20.0::DOUBLE AS high, 10.0::DOUBLE AS t, 0 AS i FROM l
+  UNION ALL SELECT treatment, df, low, high, (low + high) / 2, i + 1 FROM (
+    SELECT treatment, df, i, CASE WHEN {t_tail("t", "df")} > 0.05 THEN t ELSE low END AS low,
+      CASE WHEN {t_tail("t", "df")} > 0.05 THEN high ELSE t END AS high FROM q WHERE i < 60)),
+x AS (SELECT l.*, q.t, lo + (hi - lo) * k / 79 AS x FROM l JOIN q ON q.treatment = l.treatment AND q.i = 60, (SELECT unnest(range(0, 80)) AS k))
+SELECT treatment, round(x, 6) AS x, round(a + b * x, 6) AS fit, round(a + b * x - t * s * sqrt(1.0 / n + (x - m) ** 2 / sxx), 6) AS lower,
+  round(a + b * x + t * s * sqrt(1.0 / n + (x - m) ** 2 / sxx), 6) AS upper FROM x""")
 def smooth_band(spark, folder):
     lines = charts.smooth_lines(fluxes(spark, folder), ["treatment"], "temperature", "flux")
     return rounded(charts.smooth_band(lines, ["treatment"]), 6, "x", "fit", "lower", "upper")
