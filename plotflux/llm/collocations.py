@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, in_bit_map, mix, slices, stored, word_hashes
+from plotflux.llm.shared import bit_map, discard, in_bit_map, mix, slices, stored, word_hashes
 from plotflux.session import hot_key_join
 
 #: Ends of pieces; no word holds one, so a full stop can stand for all of them.
@@ -239,7 +239,7 @@ def _frequent_phrases(relation: DataFrame, k: int, frequent: DataFrame, least: i
     if not shared:
         return names.select("lang", "phrase", "n")
     twice = [r["h"] for r in shared]
-    again = _recounted(relation, k, twice).where(F.col("n") >= least)
+    again = stored(_recounted(relation, k, twice).where(F.col("n") >= least))
     return names.where(~F.col("h").isin(twice)).select("lang", "phrase", "n").unionByName(again)
 
 
@@ -276,13 +276,15 @@ def collocations(
     are ignored, whatever their names. Empty table: no rows. Very long texts are read whole.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    relation, sizes, frequent = rows.where("text is not null"), None, []
+    relation, sizes, frequent, last = rows.where("text is not null"), None, [], None
     for k in range(1, longest + 1):
         groups = stored(_hash_counts(relation, k).where(F.col("n") >= least))
-        relation = stored(_extend(relation, k, groups))
+        held = stored(_extend(relation, k, groups))
         if k == 1:
-            sizes = relation.groupBy("lang").agg(F.sum("size").alias("size"))
-        relation = relation.where("words <> ''")
+            sizes = stored(held.groupBy("lang").agg(F.sum("size").alias("size")))
+        else:
+            discard(last)
+        relation, last = held.where("words <> ''"), held
         frequent.append(_frequent_phrases(relation, k, groups, least).withColumn("k", F.lit(k)))
 
     known = frequent[0]

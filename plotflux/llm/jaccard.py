@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, components, in_bit_map, mix, shingle_hashes, slices, stored, without_ids, word_hashes
+from plotflux.llm.shared import bit_map, components, discard, in_bit_map, mix, shingle_hashes, slices, stored, without_ids, word_hashes
 from plotflux.session import hot_key_join, inner_join
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
@@ -318,6 +318,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     pairs = stored(pairs.distinct())
     short = stored(short.select("cls").distinct())
+    discard(shared, spare)
     involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(short).distinct()
     sets = stored(sets_of(docs, classes.join(involved, "cls", "left_semi").select("id"), id_col, text_col))
     links = stored(verified(pairs, sets))
@@ -334,6 +335,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     final = stored(joined.join(least, "component").select(F.col("cls").alias("_cls"), "least"))
+    discard(classes, pairs, short, sets, links)
     out = rows.join(final, rows["cls"] == final["_cls"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")

@@ -37,7 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more; results made from them must be stored themselves."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:
@@ -210,6 +220,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).collect()[0]
             for d in (links, after)
         ]
+        discard(links)
         links = after
         if tuple(marks[0]) == tuple(marks[1]):
             break
