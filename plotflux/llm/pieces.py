@@ -17,7 +17,7 @@ from plotflux.llm.shared import slices
 
 #: The symbol that stands for a space inside pieces.
 SPACE = "▁"
-#: Remembered words of one Python worker; beyond it the memory starts afresh.
+#: Remembered words of one Python worker; beyond it those of the batch at hand are kept.
 MEMORY = 200_000
 #: Longer words are not remembered from batch to batch, so that the memory's size stays bounded.
 LONGEST = 200
@@ -233,7 +233,9 @@ class PieceEncoder:
         words = set().union(*split)
         fresh = words.difference(self._known)
         if len(self._known) + len(fresh) > MEMORY:
-            self._known, self._wrong, fresh = {}, set(), words
+            # The words of this batch stay; the common ones are among them.
+            self._known = {w: self._known[w] for w in words.difference(fresh)}
+            self._wrong &= words
         if fresh:
             self._learn(fresh)
         known = self._known
