@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from plotflux.catalog import mixed_sql
 from plotflux.catalog.registry import FLUXES, READINGS, f_tail, fluxes, query, readings, rounded, t_tail
 from plotflux.functions.bins import day_or_night
 from plotflux.operators import correlate, linear
@@ -256,6 +257,13 @@ def model_moments(spark, folder):
     return rounded(out, 3, "cross_product")
 
 
+_NESTED = "WITH RECURSIVE " + mixed_sql.fitted(f"""{READINGS},
+x AS (SELECT block AS o, collar AS g, t AS v0, d AS v1, t * d AS v2, value AS v3 FROM (
+  SELECT block, collar, value, CASE WHEN treatment = 'warming' THEN 1.0 ELSE 0.0 END::DOUBLE AS t,
+    CASE WHEN hour(ts) BETWEEN 7 AND 20 THEN 0.0 ELSE 1.0 END::DOUBLE AS d FROM readings WHERE value IS NOT NULL))""", nested=True)
+_NESTED_TERMS = ["treatment", "timeofday", "treatment:timeofday"]
+
+
 def _nested_fit(spark, folder):
     r = readings(spark, folder).withColumn("timeofday", day_or_night("ts"))
     return mixed_model(
@@ -263,31 +271,35 @@ def _nested_fit(spark, folder):
     )
 
 
-@query()
+@query(f"{_NESTED} {mixed_sql.coefficients(['(intercept)', 'treatment[warming]', 'timeofday[night]', 'treatment[warming]:timeofday[night]'])}")
 def lmm_nested(spark, folder):
     out = _nested_fit(spark, folder).coefficients()
     return rounded(out, {"estimate": 4, "std_error": 4, "df": 1, "t_value": 4, "p_value": 4})
 
 
-@query()
+@query(f"{_NESTED} {mixed_sql.components('collar', 'block')}")
 def lmm_variances(spark, folder):
     return rounded(_nested_fit(spark, folder).variance_components(), 3, "variance", "sd")
 
 
-@query()
+@query(f"{_NESTED} {mixed_sql.summary()}")
 def lmm_r2(spark, folder):
     return rounded(_nested_fit(spark, folder).summary(), {"reml": 3, "r2_marginal": 5, "r2_conditional": 5})
 
 
-@query()
+@query(f"{_NESTED} {mixed_sql.inflation(_NESTED_TERMS)}")
 def lmm_vif(spark, folder):
     return rounded(_nested_fit(spark, folder).vif(), 4, "vif", "scaled")
 
 
-@query()
+_SINGLE = "WITH RECURSIVE " + mixed_sql.fitted(f"""{FLUXES},
+x AS (SELECT 0 AS o, collar AS g, temperature AS v0, moisture AS v1, CASE WHEN season = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS v2, flux AS v3 FROM fluxes)""", nested=False)
+
+
+@query(f"{_SINGLE} {mixed_sql.coefficients(['(intercept)', 'temperature', 'moisture', 'season[O]'], 0)}")
 def lmm_single(spark, folder):
     f = fluxes(spark, folder)
     fit = mixed_model(
         f, "flux", [("temperature",), ("moisture",), ("season",)], ["collar"], ["season"]
     )
-    return rounded(fit.coefficients(), {"estimate": 4, "std_error": 4, "df": 1, "t_value": 4, "p_value": 4})
+    return rounded(fit.coefficients(), {"estimate": 4, "std_error": 4, "df": 0, "t_value": 4, "p_value": 4})

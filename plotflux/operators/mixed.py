@@ -220,7 +220,7 @@ class MixedFit:
 
 
 def _satterthwaite(
-    evaluate: Evaluator, parameters: list[float], n: int, back: np.ndarray, step: float = 1e-3
+    evaluate: Evaluator, parameters: list[float], n: int, back: np.ndarray, step: float = 1e-2
 ):
     """Degrees of freedom from the curvature of the criterion and of each variance.
 
