@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,34 +18,47 @@ _PROBES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Shape(NamedTuple):
+    """Windows of ``width`` words every ``stride`` words, ``walks`` times ``tables`` keys of ``samples`` places each."""
+
+    width: int
+    stride: int
+    walks: int
+    tables: int
+    samples: int
+
+
 class Plan:
     """Window, walk and sampling sizes.
 
     An item of which no word may be edited is met by exact windows of the band of its size, ``low`` to ``2 * low - 1``
     words: windows of ``width`` words every ``stride`` words of a document, such that any copy holds a whole one.
-    All longer items share short windows: ``width`` words every ``stride`` words of a document, from every
-    word of the item. A window's walk soon falls out of step behind an edit, so long windows would be lost; of short
-    ones an item has the more the longer it is, each with ``walks * tables`` keys, and one agreeing key is enough.
-    Every key samples the walk's whole way, ``samples`` places in as many equal parts of it.
+    Longer items share short windows, ``width`` words every ``stride`` words of a document and from every
+    word of the item; those of fewer than ``LONG`` words shorter ones with fewer samples. A window's walk soon falls
+    out of step behind an edit, so long windows would be lost; of short ones an item has the more the longer it is, each
+    with ``walks * tables`` keys, and one agreeing key is enough. Every key samples the walk's whole way, ``samples``
+    places in as many equal parts of it.
 
-    With windows of five words at every word (``width=5, stride=1``) no copy within a tenth of its words can be
+    With windows of five words at every word (``Shape(5, 1, 3, 4, 4)`` for both) no copy within a tenth of its words can be
     lost, since five words in a row of it are untouched; that is the exact plan, which costs more.
     """
 
-    #: The windows shared by all items with edits.
-    EDITED = 99
+    #: Bands of the windows shared by items with edits, and the words from which an item is in the second one.
+    SHORT_EDITED, EDITED, LONG = 98, 99, 15
 
-    def __init__(self, max_rate: float = 0.1, width: int = 6, stride: int = 2, walks: int = 3, tables: int = 4, samples: int = 4):
-        self.max_rate, self.width, self.stride = max_rate, width, stride
-        self._walks, self.tables, self.samples = walks, tables, samples
+    def __init__(self, max_rate: float = 0.1, short: Shape = Shape(6, 2, 3, 4, 4), long: Shape = Shape(8, 2, 3, 4, 6)):
+        self.max_rate = max_rate
+        self.shapes = {self.SHORT_EDITED: short, self.EDITED: long}
 
     def band(self, n: int) -> int:
-        return self.EDITED if self.edits(n) else n.bit_length() - 1
+        if not self.edits(n):
+            return n.bit_length() - 1
+        return self.EDITED if n >= self.LONG else self.SHORT_EDITED
 
     def window(self, band: int) -> tuple[int, int]:
         """Width and stride of a band's windows; of exact ones together one more than the smallest item has words."""
-        if band == self.EDITED:
-            return self.width, self.stride
+        if band in self.shapes:
+            return self.shapes[band].width, self.shapes[band].stride
         low = 1 << band
         stride = max(1, low // 3)
         return low - stride + 1, stride
@@ -54,17 +68,17 @@ class Plan:
         return int(self.max_rate * n)
 
     def walks(self, band: int) -> int:
-        return self._walks if band == self.EDITED else 1
+        return self.shapes[band].walks if band in self.shapes else 1
 
     def places(self, band: int, walk: int) -> list[list[int]]:
         """The sampled places of the embedding, per table; of exact windows all of them."""
         width, _ = self.window(band)
-        if band != self.EDITED:
+        if band not in self.shapes:
             return [list(range(2 * width))]
-        reach = 2 * width - 1
+        shape, reach = self.shapes[band], 2 * width - 1
         seed = np.random.Generator(np.random.PCG64([band, walk, 77]))
-        ends = [q * reach // self.samples for q in range(self.samples + 1)]
-        return [[int(seed.integers(low, high)) for low, high in zip(ends, ends[1:])] for _ in range(self.tables)]
+        ends = [q * reach // shape.samples for q in range(shape.samples + 1)]
+        return [[int(seed.integers(low, high)) for low, high in zip(ends, ends[1:])] for _ in range(shape.tables)]
 
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, band: int, plan: Plan) -> Iterator[np.ndarray]:
@@ -133,6 +147,21 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
     return items.mapInArrow(run, f"key long, item {kind}, start long, words long, band long, probes array<long>")
 
 
+def _pairs_of(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1]) ^ words[1:]
+
+
+def may_hold_copy(item: np.ndarray, region: np.ndarray, edits: int) -> bool:
+    """Whether enough of the item's words and pairs of neighbours occur in ``region``: an edit spoils one word and two pairs.
+
+    Every part within the distance passes; most chance hits on common phrases do not.
+    """
+    n = len(item)
+    if np.isin(item, region).sum() < n - edits:
+        return False
+    return n < 2 or np.isin(_pairs_of(item), _pairs_of(region)).sum() >= n - 1 - 2 * edits
+
+
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """Smallest edit distance of ``item`` to any part of ``region``, with that part's start and end.
 
@@ -173,7 +202,7 @@ def find_leaks(
 
     Short windows of the documents and the items are embedded by the random walk (edit distance becomes
     Hamming distance) and hashed at sampled places; a copy with a tenth of its words edited agrees with its item in some
-    window's key with a probability of at least 0.98 at 10 words, growing with the size (measured by test for 10 to
+    window's key with a probability of at least 0.97 at 10 words, growing with the size (measured by test for 10 to
     1,000 words). Keys that no item has are dropped where they arise, by a bit map of the items'
     keys whose size is fixed; the rest (ids and places, no text) meet the items by a shuffle join on the key.
     Documents with a hit are read again and every hit is checked by the exact distance between the item
@@ -270,6 +299,8 @@ def find_leaks(
             for k in range(batch.num_rows):
                 item = word_hashes((columns["text"][k].as_py() or "").encode())
                 region = columns["region"][k].values.to_numpy().astype(np.uint64)
+                if not may_hold_copy(item, region, plan.edits(len(item))):
+                    continue
                 distance, start, end = edit_distance(item, region)
                 if distance <= plan.edits(len(item)):
                     low = columns["low"][k].as_py()

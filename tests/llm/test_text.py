@@ -189,6 +189,20 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {d for d, _ in pairs}
 
 
+def test_the_quick_test_loses_no_copy():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        item = rng.integers(1 << 62, size=int(rng.integers(1, 60)), dtype=np.uint64)
+        words = item.tolist()
+        edits = len(item) // 10
+        for _ in range(edits):
+            at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[at : at + (kind != 2)] = [] if kind == 1 else [int(rng.integers(1 << 62))]
+        region = np.concatenate((rng.integers(1 << 62, size=5, dtype=np.uint64), np.array(words, np.uint64), rng.integers(1 << 62, size=9, dtype=np.uint64)))
+        assert decontaminate.may_hold_copy(item, region, edits)
+        assert len(item) < 12 or not decontaminate.may_hold_copy(item, rng.permutation(region), edits)
+
+
 @pytest.mark.parametrize("size", [10, 12, 16, 20, 32, 64, 128, 256, 512, 1000])
 def test_recall_of_the_walk_alone(size):
     """Items with a tenth of the words edited meet their copies by the keys of the random walk, at every size."""
@@ -210,6 +224,10 @@ def test_recall_of_the_walk_alone(size):
     assert met >= 0.95 * trials
 
 
+#: Windows of which every copy within a tenth of its words holds an intact one.
+EXACT = decontaminate.Shape(5, 1, 3, 4, 4)
+
+
 @pytest.mark.parametrize("size", [10, 32, 64, 128, 256, 512, 1000])
 def test_edited_copies_of_every_size_are_found(spark, size):
     """Copies with a tenth of the words edited, at random places or evenly spread, for each item size alone."""
@@ -225,7 +243,7 @@ def test_edited_copies_of_every_size_are_found(spark, size):
                 w[at : at + (kind != 2)] = [] if kind == 1 else ["edited"]
             rows.append((k * 2 + spread, " ".join([sentence(rng, rng.randrange(80)), *w, sentence(rng, 30)])))
     table = spark.createDataFrame(items, "item_id long, text string")
-    exact = decontaminate.find_leaks(frame(spark, rows), table, plan=decontaminate.Plan(width=5, stride=1)).collect()
+    exact = decontaminate.find_leaks(frame(spark, rows), table, plan=decontaminate.Plan(short=EXACT, long=EXACT)).collect()
     assert {(r["doc_id"], r["item"]) for r in exact} == {(d, d // 2) for d, _ in rows}
     got = decontaminate.find_leaks(frame(spark, rows), table).collect()
     assert {(r["doc_id"], r["item"]) for r in got} <= {(d, d // 2) for d, _ in rows} and len(got) >= 0.95 * len(rows)
