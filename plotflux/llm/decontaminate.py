@@ -46,7 +46,7 @@ class Plan:
     #: Bands of the windows shared by items with edits, and the words from which an item is in the second one.
     SHORT_EDITED, EDITED, LONG = 98, 99, 15
 
-    def __init__(self, max_rate: float = 0.1, short: Shape = Shape(6, 2, 3, 4, 4), long: Shape = Shape(8, 2, 3, 4, 6)):
+    def __init__(self, max_rate: float = 0.1, short: Shape = Shape(6, 2, 3, 4, 4), long: Shape = Shape(8, 3, 3, 4, 6)):
         self.max_rate = max_rate
         self.shapes = {self.SHORT_EDITED: short, self.EDITED: long}
 
@@ -147,19 +147,16 @@ def item_keys(items: DataFrame, plan: Plan) -> DataFrame:
     return items.mapInArrow(run, f"key long, item {kind}, start long, words long, band long, probes array<long>")
 
 
-def _pairs_of(words: np.ndarray) -> np.ndarray:
-    return mix(words[:-1]) ^ words[1:]
-
-
-def may_hold_copy(item: np.ndarray, region: np.ndarray, edits: int) -> bool:
+def may_hold_copy(item: list[int], region: list[int], edits: int) -> bool:
     """Whether enough of the item's words and pairs of neighbours occur in ``region``: an edit spoils one word and two pairs.
 
     Every part within the distance passes; most chance hits on common phrases do not.
     """
-    n = len(item)
-    if np.isin(item, region).sum() < n - edits:
+    words = set(region)
+    if sum(w in words for w in item) < len(item) - edits:
         return False
-    return n < 2 or np.isin(_pairs_of(item), _pairs_of(region)).sum() >= n - 1 - 2 * edits
+    pairs = set(zip(region, region[1:]))
+    return sum(pair in pairs for pair in zip(item, item[1:])) >= len(item) - 1 - 2 * edits
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -293,18 +290,22 @@ def find_leaks(
     checked = regions.join(whole, F.col("item").eqNullSafe(F.col("_item")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, np.ndarray] = {}
         for batch in slices(batches):
-            columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            ids, names, lows, regions, texts = (batch.column(k).to_pylist() for k in range(5))
             out: list[tuple] = []
-            for k in range(batch.num_rows):
-                item = word_hashes((columns["text"][k].as_py() or "").encode())
-                region = columns["region"][k].values.to_numpy().astype(np.uint64)
-                if not may_hold_copy(item, region, plan.edits(len(item))):
+            for k, text in enumerate(texts):
+                item = known.get(text)
+                if item is None:
+                    if len(known) >= 1000:
+                        known.clear()
+                    item = known[text] = word_hashes((text or "").encode()).astype(np.int64)
+                edits = plan.edits(len(item))
+                if not may_hold_copy(item.tolist(), regions[k], edits):
                     continue
-                distance, start, end = edit_distance(item, region)
-                if distance <= plan.edits(len(item)):
-                    low = columns["low"][k].as_py()
-                    out.append((columns["id"][k].as_py(), columns["item"][k].as_py(), distance, low + start, low + end))
+                distance, start, end = edit_distance(item, np.array(regions[k], np.int64))
+                if distance <= edits:
+                    out.append((ids[k], names[k], distance, lows[k] + start, lows[k] + end))
             if out:
                 kinds = (batch.schema.field("id").type, batch.schema.field("item").type, pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -199,8 +199,8 @@ def test_the_quick_test_loses_no_copy():
             at, kind = int(rng.integers(len(words))), int(rng.integers(3))
             words[at : at + (kind != 2)] = [] if kind == 1 else [int(rng.integers(1 << 62))]
         region = np.concatenate((rng.integers(1 << 62, size=5, dtype=np.uint64), np.array(words, np.uint64), rng.integers(1 << 62, size=9, dtype=np.uint64)))
-        assert decontaminate.may_hold_copy(item, region, edits)
-        assert len(item) < 12 or not decontaminate.may_hold_copy(item, rng.permutation(region), edits)
+        assert decontaminate.may_hold_copy(item.tolist(), region.tolist(), edits)
+        assert len(item) < 12 or not decontaminate.may_hold_copy(item.tolist(), rng.permutation(region).tolist(), edits)
 
 
 @pytest.mark.parametrize("size", [10, 12, 16, 20, 32, 64, 128, 256, 512, 1000])
