@@ -59,7 +59,56 @@ def merge_hours(
     An hour whose readings came in several batches has a row in each; they are merged by their counts,
     around a common centre so that large means cost no digits.
     """
-    rows = spark.read.parquet(partials)
+    return _merged(_valid(spark.read.parquet(partials)), keys, columns, stats)
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    """Without the batches that a compaction has taken over: folder ``-(k + 1)`` stands for all batches up to ``k``."""
+    least = rows.agg(F.min("batch").cast("long").alias("b")).scalar()
+    return rows.where((least >= 0) | (F.col("batch") == least) | (F.col("batch") > -least - 1))
+
+
+def compact_hours(
+    spark: SparkSession, partials: str, keys: Sequence[str], columns: Sequence[str], keep: int = 1
+) -> int | None:
+    """Merge the folders of all batches but the last ``keep`` into one, so that reading lists few files for ever.
+
+    Only the last batch may still be written again, so it is kept. The merged sums are written aside, then moved in
+    place in one step under the number that takes over the merged batches, whose folders go at last. A
+    run that breaks off in between leaves either the old folders or superseded ones; ``merge_hours`` gives the
+    same result at every moment. Returns the last merged batch, or None when there was nothing to do.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(partials)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(root)]
+    numbers = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    waiting = [n for n in numbers if n >= 0]
+    if len(waiting) <= keep:
+        return None
+    upto = waiting[-keep - 1] if keep else waiting[-1]
+    rows = _valid(spark.read.parquet(partials)).where(F.col("batch") <= upto)
+    sums = _merged(rows, keys, columns, ("n", "mean", "sd"))
+    parts = [
+        x
+        for c in columns
+        for x in (
+            F.col(f"n_{c}"),
+            F.col(f"mean_{c}").alias(f"m_{c}"),
+            F.when(F.col(f"n_{c}") > 1, F.col(f"sd_{c}") ** 2 * (F.col(f"n_{c}") - 1)).when(F.col(f"n_{c}") == 1, 0.0).alias(f"q_{c}"),
+        )
+    ]
+    aside = f"{partials}/_merged-{upto}"
+    sums.select(*keys, "hour_start", *parts).write.mode("overwrite").parquet(aside)
+    if not system.rename(hadoop.Path(aside), hadoop.Path(f"{partials}/batch={-upto - 1}")):
+        raise RuntimeError(f"could not move {aside} in place")
+    for n in numbers:
+        if n <= upto:
+            system.delete(hadoop.Path(f"{partials}/batch={n}"), True)
+    return upto
+
+
+def _merged(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
     centres = rows.groupBy(*keys, "hour_start").agg(
         *[F.max(f"m_{c}").alias(f"_c_{c}") for c in columns],
         F.collect_list(F.struct(*[f"{k}_{c}" for c in columns for k in "nmq"])).alias("_parts"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotflux.plans import flux, microclimate, soil
 from plotflux.sources import delimited, instruments, laboratory, tables
-from plotflux.streaming.hourly import hourly_partials, merge_hours, stream_logger_files
+from plotflux.streaming.hourly import compact_hours, hourly_partials, merge_hours, stream_logger_files
 
 BOM = "﻿"
 COLLARS = [(b, p, t) for b in (1, 2) for p in (2 * b, 2 * b + 1) for t in ("con", "war")]
@@ -395,3 +395,14 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     for a, b in zip(got, want):
         assert a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-6
         assert (a[4] is None) == (b[4] is None) and (a[4] is None or abs(a[4] - b[4]) < 1e-6)
+    # Compacted, a merged folder stands for the earlier batches; what comes later is added to it.
+    before = len(list((tmp_path / "partials").glob("batch=*")))
+    assert before > 3 and compact_hours(spark, partials, keys, ["air_t"]) is not None
+    assert len(list((tmp_path / "partials").glob("batch=*"))) == 2
+    compacted = rows(merge_hours(spark, partials, keys, ["air_t"], ("mean", "n", "sd")))
+    for a, b in zip(compacted, want, strict=True):
+        assert a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-6
+        assert (a[4] is None) == (b[4] is None) and (a[4] is None or abs(a[4] - b[4]) < 1e-6)
+    (folder / "visit 0" / "data_94206100_98.csv").write_text("1;2023.01.10 00:20;0;1;2;1000000003;300;0;0;")
+    assert sum(r["n_air_t"] for r in run().select("n_air_t").collect()) == sum(b[3] for b in want) + 1
+    assert compact_hours(spark, partials, keys, ["air_t"]) is not None and compact_hours(spark, partials, keys, ["air_t"]) is None
