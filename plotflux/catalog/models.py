@@ -199,9 +199,9 @@ rest AS (SELECT s.stratum, s.a[-1] AS rss, CASE WHEN s.stratum = 'collar' THEN z
     - (SELECT count(*) FROM taken t WHERE t.stratum = s.stratum) AS df FROM steps s, sizes z WHERE s.k = {_CROSSED_LAST}),
 names AS (SELECT unnest([{", ".join(f"'{name}'" for name, n in _CROSSED_TERMS for _ in range(n))}]) AS term, unnest(range(0, {_CROSSED_LAST})) AS k),
 terms AS (SELECT stratum, term, count(*) AS df, sum(ss) AS ss FROM taken JOIN names USING (k) GROUP BY 1, 2),
-f AS (SELECT t.*, t.ss / t.df AS ms, t.ss / t.df / (r.rss / r.df) AS f, r.df AS rdf FROM terms t JOIN rest r ON r.stratum = t.stratum)
-SELECT stratum, term, df, round(ss, 3) AS sum_sq, round(ms, 3) AS mean_sq, round(f, 5) AS f_value, round({f_tail("f", "df", "rdf")}, 6) AS p_value FROM f
-UNION ALL SELECT stratum, 'residuals', df, round(rss, 3), round(rss / df, 3), NULL, NULL FROM rest""")
+f AS (SELECT t.*, t.ss / t.df AS ms, CASE WHEN r.df > 0 THEN t.ss / t.df / (r.rss / r.df) END AS f, r.df AS rdf FROM terms t JOIN rest r ON r.stratum = t.stratum)
+SELECT stratum, term, df, round(ss, 3) AS sum_sq, round(ms, 3) AS mean_sq, round(f, 5) AS f_value, CASE WHEN f IS NOT NULL THEN round({f_tail("f", "df", "rdf")}, 6) END AS p_value FROM f
+UNION ALL SELECT stratum, 'residuals', df, round(rss, 3), round(rss / df, 3), NULL, NULL FROM rest WHERE df > 0""")
 def anova_strata_crossed(spark, folder):
     r = readings(spark, folder)
     out = linear.anova_strata(
