@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, counted_broadcast, fresh, in_bit_map, mix, slices, stored, word_hashes
+from plotflux.llm.shared import bit_map, counted_broadcast, fresh, in_bit_map, mix, slices, small_batches, stored, word_hashes
 
 _PROBES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -355,8 +355,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") ->
     Rows with null or repeated ids are told apart by a hash of their text, so each is judged by its own.
     """
     row = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("text").alias("hash"))
-    found = find_leaks(docs.select(row.alias("row"), "text"), items, "row")
     names = fresh(docs, ["gone", "hash"], "_")
+    with small_batches(docs.sparkSession):
+        found = stored(find_leaks(docs.select(row.alias("row"), "text"), items, "row"))
     gone = counted_broadcast(found.select(F.col("row.id").alias(names["gone"]), F.col("row.hash").alias(names["hash"])).distinct())
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(names["gone"])) & (F.xxhash64("text") == F.col(names["hash"]))
     return docs.join(gone, same, "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import bit_map, components, discard, in_bit_map, mix, shingle_hashes, slices, stored, without_ids, word_hashes
+from plotflux.llm.shared import bit_map, components, discard, in_bit_map, mix, shingle_hashes, slices, small_batches, stored, without_ids, word_hashes
 from plotflux.session import hot_key_join, inner_join
 
 #: Two sets link when 4 x intersection >= 3 x union; then at most a seventh of both sizes differs.
@@ -348,7 +348,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     An id stays if any of its rows is its group's smallest; of rows that repeat id and text one stays.
     Rows without an id cannot be told apart and stay.
     """
-    groups = stored(jaccard_groups(docs, id_col, text_col).withColumnRenamed(id_col, "_of"))
+    with small_batches(docs.sparkSession):
+        groups = stored(jaccard_groups(docs, id_col, text_col).withColumnRenamed(id_col, "_of"))
     ids = groups.where("_of is not null").groupBy("_of").agg(
         F.max((F.col("_of") == F.col("component_id")).cast("int")).alias("own"), F.count("*").alias("times")
     )

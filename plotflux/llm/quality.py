@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotflux.llm.shared import counted_broadcast, give_back, stored
+from plotflux.llm.shared import counted_broadcast, give_back, small_batches, stored
 
 FEATURES = (
     "log_words", "mean_word", "distinct", "top_word", "repeats", "line_repeats", "capitals", "marks",
@@ -120,8 +120,10 @@ def fit_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judge_quality(docs, fit_quality(docs, labels), keep_at=keep_at).where("_quality.keep").select("_row.*")
+    """The documents that are kept, with their own columns, stored."""
+    with small_batches(docs.sparkSession):
+        judged = judge_quality(docs, fit_quality(docs, labels), keep_at=keep_at)
+        return stored(judged.where("_quality.keep").select("_row.*"))
 
 
 def _logit(p: Column) -> Column:

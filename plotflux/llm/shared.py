@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Python workers take at most ``rows`` whole texts at a time in the actions inside; the setting is the caller's again after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name, None)
+    if held is None or not 0 < int(held) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, held)
+
+
 def give_back() -> None:
     """Hand memory that a Python worker no longer uses back to the machine; workers live through many tasks."""
     gc.collect()
