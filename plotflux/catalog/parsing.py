@@ -46,11 +46,12 @@ _LAYOUTS = [_FLUX_NAMES, _FLUX_NAMES[::-1], ["Extra", *_FLUX_NAMES[5:], "More",
 def flux_text(spark, folder):
     """Lines of one flux export per supplier, each with the header of one of three layouts; dates in two formats."""
     items = table(spark, folder, "lineitem")
+    supplier = F.coalesce(_text(F.col("l_suppkey")), F.lit("null"))
     day = F.col("l_shipdate").cast("date")
     stamp = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 13:00")))
     made = {
         "Label": _text(F.col("l_suppkey")),
-        "File Name": F.format_string("LI %d", "l_suppkey"),
+        "File Name": F.concat(F.lit("LI "), supplier),
         "Date_IV": stamp.otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 13:00:00"))),
         "Obs#": _text(F.col("l_linenumber")),
         "Exp_Flux": _text(F.col("l_extendedprice")),
@@ -58,7 +59,7 @@ def flux_text(spark, folder):
         "Tcham_IV": _text(F.col("l_quantity")),
     }
     layout = F.col("l_suppkey") % len(_LAYOUTS)
-    path = F.format_string("/flux/LI %d_offset.txt", "l_suppkey").alias("path")
+    path = F.concat(F.lit("/flux/LI "), supplier, F.lit("_offset.txt")).alias("path")
 
     def line(name_to_field):
         out = None
@@ -68,7 +69,9 @@ def flux_text(spark, folder):
         return out.alias("line")
 
     headers = items.select("l_suppkey").distinct().select(line(F.lit), path)
-    data = items.select(line(lambda n: made.get(n, F.lit("0"))), path)
+    # The fields are worked out in a projection of their own; the layouts only put them in order.
+    fields = items.select("l_suppkey", *[column.alias(n) for n, column in made.items()])
+    data = fields.select(line(lambda n: F.col(f"`{n}`") if n in made else F.lit("0")), path)
     # Written out like the files that they stand for.
     out = instruments.flux_lines(durable(headers.unionByName(data)))
     return out.select("collar", "obs", "ts", "exp_flux", "exp_r2", "chamber_t", "instrument_file")

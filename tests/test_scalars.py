@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from conftest import rows
@@ -155,3 +157,28 @@ def test_bulk_density_of_blocks(spark):
 def test_dates_of_many_exports(spark, text):
     (got,) = one(spark, text, "string", scalars.parse_timestamp("x", scalars.FLUX_DATE_FORMATS))
     assert got.replace(microsecond=0).isoformat() == "2022-01-05T07:30:00"
+
+
+def test_dates_are_tried_by_their_shape_alone(spark):
+    """A text meets only the formats of its shape, and comes out as if all had been tried in turn."""
+    shapes = [scalars.date_shape(f) for f in scalars.FLUX_DATE_FORMATS]
+    fitting = {"2022-01-05 07:30:00": [0], "1/5/2022 7:30": [1], "1/5/22 7:30:00": [2], "2022.01.05 07:30": [5], "1-5-2022 7:30": [6], "yesterday": [], "31/31/1999": []}
+    for text, expected in fitting.items():
+        assert [k for k, shape in enumerate(shapes) if re.search(shape, text)] == expected
+    assert scalars.date_shape("d MMM yyyy") is None and scalars.date_shape("h a") is None and scalars.date_shape("yyyy''M") is None
+    rng = random.Random(3)
+    texts = set()
+    for _ in range(3000):
+        year = rng.choice(["2021"] * 6 + ["21", "68", "69", "0021", "+12021", "-2021", "221", "+2021"])
+        month, day = (rng.choice([str(rng.randrange(1, 13)), f"{rng.randrange(1, 13):02d}"] * 6 + ["0", "13", "-1", "012"]) for _ in range(2))
+        sep = rng.choice("-/.")
+        hour = rng.choice(["9:05", "09:05", "23:59"] * 3 + ["24:00", "-0:05"]) + rng.choice(["", ":07", ":07", ":60"])
+        end = rng.choice([""] * 9 + [".2", ".25", ".250", ".2501", "Z", "z", ".25Z", "\n", " x"])
+        date = sep.join(rng.choice([(year, month, day), (month, day, year)]))
+        texts.add(rng.choice(["", " "]) + date + rng.choice([" ", " ", " ", "T", "t", "  "]) + hour + end)
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "x string")
+    formats = [f for f in scalars.FLUX_DATE_FORMATS if f != "M/d/yy H:mm[:ss]"]
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("x"), F.lit(f)).cast("timestamp_ntz") for f in formats])
+    got = df.select("x", scalars.parse_timestamp("x", formats).alias("got"), plain.alias("expected"))
+    assert got.where("expected is not null").count() > 150
+    assert got.where("not got <=> expected").count() == 0

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -168,6 +169,41 @@ def test_flux_folder_of_several_layouts(spark, tmp_path):
         instruments.read_flux_files(spark, str(tmp_path)).collect()
 
 
+def test_lines_are_searched_once_for_headers(spark):
+    """Before the rows themselves are read, every line is read a single time."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    lines = [(f"{i},q,{i}", "x") for i in range(500)] + [("a,junk,b", "x"), ("b,a", "y"), ("1,y", "y")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(lines, 4).map(counted), "line string, path string")
+    out = delimited.rows_by_name(df, tables.TableSpec({"b": ("b", "int"), "a": ("a", "string")}))
+    assert read.value == len(lines)
+    assert out.count() == 501 and rows(out.where("path = 'y'"), "b", "a") == [(1, "y")]
+
+
+@pytest.mark.parametrize("sep", [",", "\t", ";", "|", "."])
+def test_records_without_quotes_are_split(spark, sep):
+    """Splitting gives the fields of the CSV parser; records with quotes, line breaks or too many fields are left to it."""
+    rng = random.Random(4)
+    marks = [sep, sep, sep, "a", "NA", " ", "#", "\\", "'", "\u00e9", "\ufeff", "1", '"', "\n", "\r", "\0"]
+    lines = {"".join(rng.choice(marks[: rng.choice([12, 16])]) for _ in range(rng.randrange(1, 10))) for _ in range(2000)}
+    lines = {line for line in lines if line.strip(" ")}
+    df = spark.createDataFrame([(line,) for line in sorted(lines)], "line string")
+    df = delimited.with_fields(delimited.with_parts(df, "line", "parts", sep), "line", "fields", 10, sep)
+    split = 0
+    for line, parts, fields in df.collect():
+        assert (parts is None) == any(mark in line for mark in '"\n\r\0')
+        if parts is not None:
+            split += 1
+            assert [None if p in ("", "NA") else p for p in parts] + [None] * (10 - len(parts)) == fields
+    assert split > 500
+    few = delimited.with_parts(spark.createDataFrame([(sep.join("abc"),)], "line string"), "line", "parts", sep, most=2)
+    assert few.first()["parts"] is None
+
+
 def test_split_files_keep_their_header(spark, tmp_path):
     """A file cut in many splits is read by the header of its first one."""
     spec = tables.TableSpec({"b": ("b", "int"), "a": ("a", "string")})
